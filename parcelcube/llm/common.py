@@ -116,3 +116,37 @@ class WordMemo:
 
     def _grow(self, more: np.ndarray) -> None:
         self.values = np.concatenate([self.values, np.asarray(more, self.dtype).reshape(-1, self.width)])
+
+
+def by_length(words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words as byte matrices of equal width: (owning word numbers, matrix). Longer words come in pieces of `most` bytes."""
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    owner = np.arange(len(words))
+    if len(sizes) and sizes.max() > most:
+        parts = np.maximum(1, -(-sizes // most))
+        owner = np.repeat(owner, parts)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, sizes = starts[owner] + nth * most, np.minimum(sizes[owner] - nth * most, most)
+    order = np.argsort(sizes, kind="stable")
+    bounds = np.searchsorted(sizes[order], np.arange(1, most + 2))
+    for width, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
+        for k in range(a, b, 8192):
+            rows = order[k : min(b, k + 8192)]
+            yield owner[rows], raw[starts[rows][:, None] + np.arange(width)]
+
+
+def hash_share(column: str, seed: int) -> Column:
+    """A fixed pseudo-random number in [0, 1) per value."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
+
+
+def sample_by_class(df: DataFrame, label: str, id_col: str, per_class: int, seed: int = 11) -> DataFrame:
+    """About per_class rows of each class, by a hash of the id: a bounded sample to fit a classifier on."""
+    sizes = df.groupBy(label).agg(F.count("*").alias("n")).collect()  # one row per class
+    if not sizes:
+        return df.limit(0)
+    share = df.sparkSession.createDataFrame([(r[label], min(1.0, per_class / r["n"])) for r in sizes], f"__label {df.schema[label].dataType.simpleString()}, __share double")
+    near = df.join(F.broadcast(share), F.col(label) == F.col("__label")).where(hash_share(id_col, seed) < F.col("__share"))
+    return near.drop("__label", "__share").limit(2 * per_class * len(sizes))

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcelcube.llm.common import table
+from parcelcube.llm import language_id, toxicity
+from parcelcube.llm.common import fold, table
 from parcelcube.llm.packing import pack_documents
 from parcelcube.llm.sharding import shard_by_size
 from parcelcube.llm.token_counts import token_counts
@@ -16,6 +18,21 @@ from parcelcube.llm.url_filter import url_filter
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language_id.train(docs.where(fold("doc_id", 3) != 1))
+    held_out = fold("doc_id", 3) == 1
+    return language_id.with_language(docs.select("doc_id", "text"), network).select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    held_out = fold("doc_id", 5) == 0
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), scorer)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -50,7 +67,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op7_packing, op8_url_filter, op9_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op6_token_counts, op7_packing, op8_url_filter, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
