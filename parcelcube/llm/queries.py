@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelcube.llm import language_id, toxicity
+from parcelcube.llm.ann import nearest
 from parcelcube.llm.common import fold, table
 from parcelcube.llm.minhash import near_duplicates
 from parcelcube.llm.packing import pack_documents
@@ -34,6 +35,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -87,7 +92,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_near_dedup, op6_token_counts, op7_packing, op8_url_filter, op9_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ann, op4_near_dedup, op6_token_counts, op7_packing, op8_url_filter, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
