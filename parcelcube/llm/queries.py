@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parcelcube.llm import language_id, toxicity
 from parcelcube.llm.ann import nearest
 from parcelcube.llm.common import fold, table
+from parcelcube.llm.licenses import license_summary
 from parcelcube.llm.minhash import near_duplicates
 from parcelcube.llm.packing import pack_documents
 from parcelcube.llm.sharding import shard_by_size
@@ -59,6 +60,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_summary(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -92,7 +97,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ann, op4_near_dedup, op6_token_counts, op7_packing, op8_url_filter, op9_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ann, op4_near_dedup, op6_token_counts, op7_packing, op8_url_filter, op9_sharding, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
