@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parcelcube.llm import language_id, toxicity
 from parcelcube.llm.ann import nearest
 from parcelcube.llm.common import fold, table
+from parcelcube.llm.decontaminate import leaks
 from parcelcube.llm.licenses import license_summary
 from parcelcube.llm.minhash import near_duplicates
 from parcelcube.llm.packing import pack_documents
@@ -44,6 +45,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -97,7 +102,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ann, op4_near_dedup, op6_token_counts, op7_packing, op8_url_filter, op9_sharding, op10_license_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ann, op4_near_dedup, op5_decontaminate, op6_token_counts, op7_packing, op8_url_filter, op9_sharding, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_APART = _SPACE.copy()
+_APART[[c for c in range(128) if not chr(c).isalnum()]] = True
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,14 +44,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWER = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and the text it stands in, in order."""
+def word_hashes(texts: list[bytes], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word and the text it stands in, in order. plain: words end at ASCII punctuation too."""
     joined = b" ".join([*texts, b""])
     data = _LOWER[np.frombuffer(joined, np.uint8)]
     n = len(data)
     if len(_POWER["up"]) < n:
         _POWER["up"], _POWER["down"] = _powers(_BASE, n), _powers(_INVERSE, n)
-    space = _SPACE[data]
+    space = (_APART if plain else _SPACE)[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     ends_at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
