@@ -20,6 +20,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from parcelcube.llm.common import chunks, settle
 
 BUCKET_ROWS, MOST_BUCKETS = 1_000, 65_536
 #: Ids of at most so many words are kept by a task.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 700_000
 #: Control characters that Python takes for white space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -46,24 +47,52 @@ class Encoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.memo: dict[str, bytes] = {}
+        # special strings are matched before the case is changed: texts that hold one in any case stay as they are
+        self.specials = [t.content.lower() for t in self.lib.get_added_tokens_decoder().values()]
+        self.lowers = self.lib.encode("ÀB", add_special_tokens=False).ids == self.lib.encode("àb", add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        """Words are encoded together, joined by spaces; character offsets tell whose each id is."""
-        lines = [words[i : i + 500] for i in range(0, len(words), 500)]
+        """Words are encoded together, joined by spaces; character offsets tell whose each id is.
+
+        A word of letters and one last stop or comma is two pre-tokens, so its letters are shared.
+        """
+        memo, marked = self.memo, []
+        for word in words:
+            if word[-1] in ".," and (stem := word[:-1]).isalpha():
+                marked.append(word)
+                if stem not in memo:
+                    memo[stem] = b""
+        own = [w for w in words if not (w[-1] in ".," and w[:-1].isalpha() and w[:-1] in memo)]
+        todo = list(dict.fromkeys([*own, *(w[:-1] for w in marked if memo[w[:-1]] == b""), *((".", ",") if marked else ())]))
+        lines = [todo[i : i + 64] for i in range(0, len(todo), 64)]
         for line, enc in zip(lines, self.lib.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.asarray(enc.ids, np.uint32)
-            at = np.fromiter((a for a, _ in enc.offsets), np.int64, len(ids))
+            at = np.fromiter(map(itemgetter(0), enc.offsets), np.int64, len(ids))
             ends = np.cumsum(np.fromiter((len(w) + 1 for w in line), np.int64, len(line)))
-            cuts = np.searchsorted(at, ends, "left")
+            cuts = (4 * np.searchsorted(at, ends, "left")).tolist()
             raw, start = ids.astype("<u4").tobytes(), 0
-            for word, end in zip(line, cuts.tolist(), strict=True):
-                self.memo[word] = raw[4 * start : 4 * end]
+            for word, end in zip(line, cuts, strict=True):
+                memo[word] = raw[start:end]
                 start = end
+        for word in marked:
+            memo[word] = memo[word[:-1]] + memo[word[-1]]
+
+    def words(self, text: str | None) -> list[str]:
+        """White-space delimited words; Latin ones in lower case, as the tokenizer takes them."""
+        if not text:
+            return []
+        if ODD_SPACE.search(text):
+            return [w for w in re.split(r"[ \n\r\t]+", text) if w]
+        if self.lowers and (text.isascii() or latin(text)):
+            low = text.lower()
+            if not any(s in low for s in self.specials):
+                return low.split()
+        return text.split()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for a, b in chunks(texts):
-            docs = [[] if not t else re.split(r"[ \n\r\t]+", t) if ODD_SPACE.search(t) else t.split() for t in texts[a:b]]
+            docs = [self.words(t) for t in texts[a:b]]
             if len(self.memo) > self.limit:
                 self.memo.clear()
             seen: set[str] = set()
@@ -75,6 +104,15 @@ class Encoder:
                 yield b"".join(map(get, words))
 
 
+def latin(text: str) -> bool:
+    """All characters are below U+0100: there, lower case goes by single characters."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def pieces_of(df: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, piece, start, length, ids_crc32: documents cut where they are longer than the capacity."""
     end = np.array([end_id], "<u4").tobytes()
