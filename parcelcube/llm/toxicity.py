@@ -82,8 +82,8 @@ class Models:
 
     def __init__(self, grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> None:
         order = np.argsort(grams)
-        self.grams, shared = grams[order], Shared(grams)
-        base = shared.p(self.grams)
+        self.grams = grams[order]
+        base = Shared(self.grams).p(self.grams)
         self.heads, at = np.unique(self.grams >> np.uint64(8), return_inverse=True)
         logs, backs = [], []
         for counts in (ordinary[order], toxic[order]):
@@ -141,8 +141,8 @@ class Scorer:
             yield out
 
 
-def _gram_counts(sample: DataFrame) -> pd.DataFrame:
-    """Counts of grams by half and class over the bounded sample."""
+def _gram_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of the bounded sample, and their counts by half and class (columns 2 * half + toxic)."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -154,14 +154,20 @@ def _gram_counts(sample: DataFrame) -> pd.DataFrame:
                 if len(words):
                     found = [(codes(data), np.repeat(n[owner], data.shape[1] + 1)) for owner, data in by_length(list(words), SPAN)]
                     grams, at = np.unique(np.concatenate([c.ravel() for c, _ in found]), return_inverse=True)
-                    yield pd.DataFrame({"half": half, "toxic": toxic, "gram": grams.astype(np.int64), "n": np.bincount(at, weights=np.concatenate([k for _, k in found])).astype(np.int64)})
+                    yield pd.DataFrame({"kind": 2 * half + toxic, "gram": grams.astype(np.int64), "n": np.bincount(at, weights=np.concatenate([k for _, k in found])).astype(np.int64)})
 
-    return sample.select("half", "toxic", "text").mapInPandas(count, "half int, toxic int, gram long, n long").groupBy("half", "toxic", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.select("half", "toxic", "text").mapInPandas(count, "kind int, gram long, n int")
+    wide = counted.groupBy("gram").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).cast("int").alias(f"n{k}") for k in range(4)]).fillna(0)
+    grams, counts = [np.zeros(0, np.uint64)], [np.zeros((0, 4), np.int32)]
+    for batch in wide.toArrow().to_batches(max_chunksize=100_000):
+        grams.append(batch["gram"].to_numpy().astype(np.uint64))
+        counts.append(np.column_stack([batch[f"n{k}"].to_numpy(zero_copy_only=False).astype(np.int32) for k in range(4)]))
+    return np.concatenate(grams), np.concatenate(counts)
 
 
-def _models(counts: pd.DataFrame) -> Models:
-    wide = counts.pivot_table(index="gram", columns="toxic", values="n", aggfunc="sum", fill_value=0)
-    return Models(wide.index.to_numpy().astype(np.uint64), wide[0].to_numpy(float), wide[1].to_numpy(float))
+def _models(grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Models:
+    seen = (ordinary > 0) | (toxic > 0)
+    return Models(grams[seen], ordinary[seen].astype(float), toxic[seen].astype(float))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_DOCS) -> Scorer:
@@ -171,14 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at = F.pmod(F.xxhash64(F.lit(2), "id"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1)) + 1
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     sample = settle(texts.join(F.broadcast(few), "id").select("id", F.substring("text", at.cast("int"), F.lit(TRAIN_CHARS)).alias("text"), "toxic", (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2))).cast("int").alias("half")))
-    counts = _gram_counts(sample)
+    grams, counts = _gram_counts(sample)
     shown = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     toxic = sum(n for (_, y), n in shown.items() if y == 1)
     if len({y for _, y in shown}) < 2:
         return Scorer(None, np.zeros(4), float(toxic > 0))
-    if set(map(tuple, counts[["half", "toxic"]].drop_duplicates().to_numpy())) != {(0, 0), (0, 1), (1, 0), (1, 1)}:
-        return Scorer(_models(counts), np.array([1.0, 1.0, 1.0, -1.0]), 0.0)  # too few rows for halves
-    halves = sample.sparkSession.sparkContext.broadcast([_models(counts[counts["half"] == h]) for h in (1, 0)])
+    whole = _models(grams, counts[:, 0] + counts[:, 2], counts[:, 1] + counts[:, 3])
+    if not (counts > 0).any(0).all():
+        return Scorer(whole, np.array([1.0, 1.0, 1.0, -1.0]), 0.0)  # too few rows for halves
+    halves = sample.sparkSession.sparkContext.broadcast([_models(grams, counts[:, 2 * h], counts[:, 2 * h + 1]) for h in (1, 0)])
+    del grams, counts
 
     def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memos = [WordMemo(m.score, 3) for m in halves.value]
@@ -188,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pd.DataFrame({"toxic": own["toxic"].to_numpy(), **{f"x{k}": x[:, k] for k in range(x.shape[1])}})
 
     seen = sample.select("half", "toxic", "text").mapInPandas(describe, "toxic int, x0 double, x1 double, x2 double, x3 double").toPandas()
-    return Scorer(_models(counts), logistic(seen[["x0", "x1", "x2", "x3"]].to_numpy(), seen["toxic"].to_numpy(float)), 0.0)
+    halves.unpersist()
+    return Scorer(whole, logistic(seen[["x0", "x1", "x2", "x3"]].to_numpy(), seen["toxic"].to_numpy(float)), 0.0)
 
 
 def with_toxicity(df: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
