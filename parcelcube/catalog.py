@@ -36,3 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Importing the modules registers their queries."""
+    from parcelcube.queries import series, shapes, tables  # noqa: F401
