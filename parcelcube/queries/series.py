@@ -26,13 +26,13 @@ INDEX_SQL = {
 
 def _index_query(name: str):  # noqa: ANN202
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return pixels(spark, sf_dir, REGISTRY[name].bands).select("o", "ln", "parcel_id", F.round(index(name), 9).alias("value"))
+        return pixels(spark, sf_dir, REGISTRY[name].bands).select("o", "ln", "parcel_id", F.round(index(name), 6).alias("value"))
 
     return query
 
 
 for _name, _sql in INDEX_SQL.items():
-    register(f"idx_{_name.lower()}", f"WITH {PX} SELECT o, ln, parcel_id, round({_sql}, 9) AS value FROM px")(_index_query(_name))
+    register(f"idx_{_name.lower()}", f"WITH {PX} SELECT o, ln, parcel_id, round({_sql}, 6) AS value FROM px")(_index_query(_name))
 
 _PHASES = {p: ", ".join(map(str, m)) for p, m in X.PHASES.items()}
 
@@ -97,12 +97,12 @@ def compute_some_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute_indices(px, ["NDVI", "NDRE", "SAVI"], ["parcel_id"]).select("o", "ln", F.round("NDVI", 9).alias("NDVI"), F.round("SAVI", 9).alias("SAVI"))
 
 
-_ALL = "round(avg({c}), 9) AS {c}_mean, round(stddev_pop({c}), 9) AS {c}_std, round(median({c}), 9) AS {c}_median, round(quantile_cont({c}, 0.25), 9) AS {c}_p25, round(quantile_cont({c}, 0.75), 9) AS {c}_p75, round(quantile_cont({c}, 0.9), 9) AS {c}_p90, round(min({c}), 9) AS {c}_min, round(max({c}), 9) AS {c}_max"
+_ALL = "round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std, round(median({c}), 6) AS {c}_median, round(quantile_cont({c}, 0.25), 6) AS {c}_p25, round(quantile_cont({c}, 0.75), 6) AS {c}_p75, round(quantile_cont({c}, 0.9), 6) AS {c}_p90, round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max"
 
 
 @register("spatial_stats", f"WITH {PX} SELECT parcel_id, year, month, {_ALL.format(c='B11')}, {_ALL.format(c='VH')} FROM px GROUP BY 1, 2, 3")
 def spatial_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.spatial_stats(pixels(spark, sf_dir, ("B11", "VH")), ["parcel_id", "year", "month"], ["B11", "VH"], list(S.STATS)))
+    return rounded(S.spatial_stats(pixels(spark, sf_dir, ("B11", "VH")), ["parcel_id", "year", "month"], ["B11", "VH"], list(S.STATS)), 6)
 
 
 @register("spatial_stats_single", f"WITH {PX} SELECT parcel_id, year, round(avg(B03), 9) AS B03 FROM px GROUP BY 1, 2")
