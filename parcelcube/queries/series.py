@@ -23,16 +23,19 @@ INDEX_SQL = {
     "DpRVI": "(1 - VV / nullif(VV + VH, 0)) * ((4 * VH) / nullif(VV + VH, 0))", "LST_C": "LST - 273.15", "TP_MM": "tp * 1000", "ET_RATIO": "ET_500m / nullif(PET_500m, 0)",
 }
 
+#: Values of the red-edge index are large.
+DIGITS = {"IRECI": 3}
+
 
 def _index_query(name: str):  # noqa: ANN202
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return pixels(spark, sf_dir, REGISTRY[name].bands).select("o", "ln", "parcel_id", F.round(index(name), 6).alias("value"))
+        return pixels(spark, sf_dir, REGISTRY[name].bands).select("o", "ln", "parcel_id", F.round(index(name), DIGITS.get(name, 6)).alias("value"))
 
     return query
 
 
 for _name, _sql in INDEX_SQL.items():
-    register(f"idx_{_name.lower()}", f"WITH {PX} SELECT o, ln, parcel_id, round({_sql}, 6) AS value FROM px")(_index_query(_name))
+    register(f"idx_{_name.lower()}", f"WITH {PX} SELECT o, ln, parcel_id, round({_sql}, {DIGITS.get(_name, 6)}) AS value FROM px")(_index_query(_name))
 
 _PHASES = {p: ", ".join(map(str, m)) for p, m in X.PHASES.items()}
 
