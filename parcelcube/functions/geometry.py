@@ -115,6 +115,20 @@ def distance_to_edge(shape: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(F.flatten(F.transform(shape, edges)), near))
 
 
+def world_to_pixel(c: Column, first: Column, last: Column, n: Column) -> Column:
+    """Position on an axis of n cells from the coordinates of its first and last cell centre."""
+    return F.try_divide(c - first, last - first) * (n - 1)
+
+
+def raster_bounds(df: DataFrame, cube: tuple[str, ...] = ("parcel_id", "sensor")) -> DataFrame:
+    """Outer bounds of each image in degrees: cell centres and half a cell around."""
+    ends = df.groupBy(*cube).agg(*[f(c).alias(f"{n}{c[0]}") for c in ("x_coord", "y_coord") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count_distinct))])
+    half = {a: F.coalesce(F.try_divide(F.col(f"hi{a}") - F.col(f"lo{a}"), F.col(f"n{a}") - 1), F.lit(0.0)) / 2 for a in "xy"}
+    return ends.select(
+        *cube, to_lon(F.col("lox") - half["x"]).alias("west"), to_lat(F.col("loy") - half["y"]).alias("south"), to_lon(F.col("hix") + half["x"]).alias("east"), to_lat(F.col("hiy") + half["y"]).alias("north"),
+    )
+
+
 def mask(df: DataFrame, shape: str, cell: float, erosion_cells: float = 0.0, cube: tuple[str, ...] = ("parcel_id", "sensor"), bands: tuple[str, ...] = ()) -> DataFrame:
     """Pixels that touch the parcel, grown by one cell or shrunk by some.
 

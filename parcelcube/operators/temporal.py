@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,7 +94,3 @@ def first_per_time(df: DataFrame, keys: Iterable[str], order: Iterable[str]) ->
     """Keeps the first row per key in the given order: overlapping parts of a split cube."""
     ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("__n = 1").drop("__n")
-
-
-def week_count(days: int) -> int:
-    return math.ceil(days / 7)

@@ -74,9 +74,6 @@ def era5_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir, ("tp",)).select("o", "ln", F.round(B.deaccumulate(F.col("tp")), 9).alias("tp"))
 
 
-_LAG = "CASE WHEN {p}(1) OVER {w} IS NULL THEN {c} ELSE {p}({c}) OVER {w} END"
-
-
 @register("speckle_3x3", f"""WITH {G}, g2 AS (SELECT *, 1 AS one FROM g), n AS (SELECT a.vec_id, a.y, a.x, b.v FROM g2 a, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx), g2 b
   WHERE b.vec_id = a.vec_id AND b.y = least(greatest(a.y + dy, 0), 7) AND b.x = least(greatest(a.x + dx, 0), 7))
 SELECT vec_id, y, x, round(median(v), 9) AS v FROM n GROUP BY 1, 2, 3""")

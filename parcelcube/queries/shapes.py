@@ -89,6 +89,21 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_pixel(_cells(spark, sf_dir), ["parcel_id"], F.lit(100100), F.lit(5000123))
 
 
+_LON, _LAT = "round(degrees({} / 6378137.0), 9)", "round(degrees(2 * atan(exp({} / 6378137.0)) - pi() / 2), 9)"
+
+
+@register("raster_bounds", f"WITH {_BOX}, {_CELLS} SELECT parcel_id, {_LON.format('(min(px) - 5)')} AS west, {_LAT.format('(min(py) - 5)')} AS south, {_LON.format('(max(px) + 5)')} AS east, {_LAT.format('(max(py) + 5)')} AS north FROM c GROUP BY 1")
+def raster_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = G.raster_bounds(_cells(spark, sf_dir), ("parcel_id",))
+    return b.select("parcel_id", *[F.round(c, 9).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@register("world_to_pixel", f"WITH {_BOX} SELECT parcel_id, round((x1 - (x0 - 33.5)) / 110 * 11, 6) AS column_position FROM b")
+def world_to_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.col("x0") - 33.5
+    return _shapes(spark, sf_dir).select("parcel_id", F.round(G.world_to_pixel(F.col("x1"), first, first + 110, F.lit(12)), 6).alias("column_position"))
+
+
 _CURVE = "(pow(({a} * ({a} * (0.13 / 3.0) - 1.0)) / ({a} * (2.0 * (0.13 / 3.0) - 1.0) - 0.13 / 3.0) + 0.01, 1.8) - pow(0.01, 1.8)) / (pow(1.01, 1.8) - pow(0.01, 1.8))"
 
 
