@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -51,19 +52,25 @@ class Encoder:
         self.specials = [t.content.lower() for t in self.lib.get_added_tokens_decoder().values()]
         self.lowers = self.lib.encode("ÀB", add_special_tokens=False).ids == self.lib.encode("àb", add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        """Words are encoded together, joined by spaces; character offsets tell whose each id is.
+    def _learn(self, words: list[str], odd: set[str]) -> None:
+        """Words whose length normalisation keeps are encoded together, joined by spaces; character offsets tell whose each id is.
 
         A word of letters and one last stop or comma is two pre-tokens, so its letters are shared.
         """
-        memo, marked = self.memo, []
+        memo, marked, own = self.memo, [], []
         for word in words:
-            if word[-1] in ".," and (stem := word[:-1]).isalpha():
+            if word[-1] in ".," and (stem := word[:-1]).isalpha() and (word not in odd or even(stem)):
                 marked.append(word)
                 if stem not in memo:
                     memo[stem] = b""
-        own = [w for w in words if not (w[-1] in ".," and w[:-1].isalpha() and w[:-1] in memo)]
+            else:
+                own.append(word)
         todo = list(dict.fromkeys([*own, *(w[:-1] for w in marked if memo[w[:-1]] == b""), *((".", ",") if marked else ())]))
+        apart = [w for w in todo if w in odd and not even(w)]
+        for word, enc in zip(apart, self.lib.encode_batch(apart, add_special_tokens=False), strict=True):
+            memo[word] = np.asarray(enc.ids, "<u4").tobytes()
+        if apart:
+            todo = [w for w in todo if w not in odd or even(w)]
         lines = [todo[i : i + 64] for i in range(0, len(todo), 64)]
         for line, enc in zip(lines, self.lib.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.asarray(enc.ids, np.uint32)
@@ -77,33 +84,42 @@ class Encoder:
         for word in marked:
             memo[word] = memo[word[:-1]] + memo[word[-1]]
 
-    def words(self, text: str | None) -> list[str]:
-        """White-space delimited words; Latin ones in lower case, as the tokenizer takes them."""
+    def words(self, text: str | None) -> tuple[list[str], bool]:
+        """White-space delimited words, Latin ones in lower case, as the tokenizer takes them; and whether all are Latin."""
         if not text:
-            return []
+            return [], True
+        plain = text.isascii() or latin(text)
         if ODD_SPACE.search(text):
-            return [w for w in re.split(r"[ \n\r\t]+", text) if w]
-        if self.lowers and (text.isascii() or latin(text)):
+            return [w for w in re.split(r"[ \n\r\t]+", text) if w], plain
+        if self.lowers and plain:
             low = text.lower()
             if not any(s in low for s in self.specials):
-                return low.split()
-        return text.split()
+                return low.split(), plain
+        return text.split(), plain
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for a, b in chunks(texts):
-            docs = [self.words(t) for t in texts[a:b]]
             if len(self.memo) > self.limit:
                 self.memo.clear()
-            seen: set[str] = set()
-            for words in docs:
+            docs, seen, odd = [], set(), set()
+            for text in texts[a:b]:
+                words, plain = self.words(text)
+                docs.append(words)
                 seen.update(words)
-            self._learn([w for w in seen if w not in self.memo])
+                if not plain:
+                    odd.update(words)
+            self._learn(list(seen.difference(self.memo)), odd)
             get = self.memo.__getitem__
             for words in docs:
                 yield b"".join(map(get, words))
 
 
+def even(word: str) -> bool:
+    """Normalisation keeps the number of characters, as in all Latin words, so offsets tell words apart."""
+    return unicodedata.is_normalized("NFC", word) and len(word.lower()) == len(word)
+
+
 def latin(text: str) -> bool:
     """All characters are below U+0100: there, lower case goes by single characters."""
     try:
