@@ -2,11 +2,12 @@
 
 1. Each text becomes its set of k-word shingles, a 128-bit identity of the set, its signature and one
    key per band. Equal sets are one class from here on, whose representative is the least id.
-2. Representatives that share a band key are candidates. Buckets of up to SMALL members compare all of
-   their members. In larger ones pivots are compared with all members of other components, the most
-   connected member first, then the least member of each smaller component, until the members that
-   haven't been pivots form one component: then every pair has been compared or is linked already.
-   No bucket is collected, capped or sampled.
+2. Representatives that share a band key are candidates. Each bucket compares all members with a pivot,
+   the most connected one. Members that the links so far leave outside the bucket's largest component
+   are first compared with leading holders of what they have beyond the pivot; those still outside
+   are then compared with the members of other components that share an item the pivot lacks, or whose
+   intersections with the pivot are large enough without one. So every pair of a bucket is compared,
+   linked already or ruled out by an exact bound. No bucket is collected, capped or sampled.
 3. A candidate pair is a link if 100 * |A and B| >= percent * |A or B| on the full sets.
 4. Components of the links, by their least id.
 
@@ -25,13 +26,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from parcelcube.llm.common import chunks, settle
 from parcelcube.llm.components import connected_components
 from parcelcube.llm.shingles import band_keys, mix, shingle_hashes, super_minhash
 
-BANDS, ROWS, SMALL, PIVOTS = 42, 6, 8, 8
+BANDS, ROWS = 42, 6
+#: Bytes of text hashed at a time; the arrays in between take about fifty times as much.
+HASH_BYTES = 1_500_000
 
 
 def _bytes(text: str | None) -> bytes:
@@ -44,7 +46,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, bands: int = B
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             ids, texts = pdf["id"].to_numpy(), [_bytes(t) for t in pdf["text"]]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, HASH_BYTES):
                 sets, bounds = shingle_hashes(texts[a:b], k)
                 n = np.diff(bounds)
                 with np.errstate(over="ignore"):
@@ -62,7 +64,7 @@ def shingle_sets(df: DataFrame, k: int) -> DataFrame:
     def collect(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             ids, texts = pdf["id"].to_numpy(), [_bytes(t) for t in pdf["text"]]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, HASH_BYTES):
                 sets, bounds = shingle_hashes(texts[a:b], k)
                 sets = sets.view(np.int64)
                 yield pd.DataFrame({"id": ids[a:b], "items": [sets[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]})
@@ -70,45 +72,63 @@ def shingle_sets(df: DataFrame, k: int) -> DataFrame:
     return df.mapInPandas(collect, "id long, items array<long>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+def _compare(pairs: DataFrame, sets: DataFrame, rest: bool = False) -> DataFrame:
+    """(a, b) -> (a, b, na, nb, common): set sizes and the size of the intersection; rest: also what only a has."""
     near = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return near.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def _sizes_fit(percent: int):  # noqa: ANN202
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-
-
-def _small_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of buckets with up to SMALL members."""
-    members = buckets.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
-    one = members.select(F.posexplode("m").alias("i", "p"), "m").select("p", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("q"))
-    return one.select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("q.id").alias("b"), F.col("q.n").alias("nb")).where(_sizes_fit(percent)).select("a", "b").distinct()
-
-
-def _pivot_pairs(members: DataFrame, labels: DataFrame, weights: DataFrame | None, pivots: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members (key, id, n) of unresolved buckets -> members left, pivots (key, id), pairs to compare."""
-    seen = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    if weights is None:
-        rank = F.struct(F.lit(0).alias("w"), F.col("id"))
-    else:
-        seen = seen.join(weights, "id")
-        rank = F.struct((-F.col("weight")).alias("w"), F.col("id"))
-    groups = seen.groupBy("key", "label").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("r"), F.col("n"))).alias("best"))
-    kinds = groups.groupBy("key").agg(F.count("*").alias("kinds"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(*([F.col("best.r")] if weights is not None else [F.col("size"), F.col("best.r")])))
-    chosen = (
-        groups.join(kinds.where("kinds > 1"), "key").withColumn("nth", nth).where(F.col("nth") <= (1 if weights is not None else pivots))
-        .select("key", F.col("best.r.id").alias("a"), F.col("best.n").alias("na"), F.col("label").alias("la"))
-    )
-    chosen = settle(chosen)
-    open_members = seen.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = open_members.join(chosen, "key").where((F.col("la") != F.col("lb")) & _sizes_fit(percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = members.join(chosen.select("key").distinct(), "key", "left_semi").join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
-    return left, chosen, pairs
+    extra = [F.array_except("x", "y").alias("rest")] if rest else []
+    return near.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("common"), *extra)
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Every member of a bucket (key, id, n) with the bucket's pivot: the member that is in the most and largest buckets."""
+    weights = buckets.groupBy("id").agg(F.sum("members").alias("weight"))
+    best = F.min(F.struct((-F.col("weight")).alias("w"), F.col("id")))
+    pivots = buckets.join(weights, "id").groupBy("key").agg(best["id"].alias("pivot"))
+    return buckets.join(pivots, "key").select("key", "id", "n", "pivot")
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, id, n, pivot, common) of buckets with several components, labelled, and those outside the largest one."""
+    named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    kinds = named.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("size", F.col("label").alias("most")))["most"].alias("most"))
+    named = settle(named.join(kinds.where("kinds > 1"), "key").drop("kinds"))
+    return named.drop("most"), named.where("label != most").select("key", "pivot", F.col("id").alias("v"), F.col("n").alias("vn"), F.col("common").alias("vc"), F.col("label").alias("vl"))
+
+
+def _marks(scored: DataFrame, apart: DataFrame) -> DataFrame:
+    """(pivot, id, mark): what members hold beyond their pivot. Items that the same members hold say the same and make one mark; those of a single member make none."""
+    rest = scored.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.explode("rest").alias("item")).join(apart.select("pivot").distinct(), "pivot", "left_semi")
+    holders = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"h{k}") for k in (1, 2)]
+    kinds = rest.groupBy("pivot", "item").agg(F.count("*").alias("n"), F.struct(*holders).alias("mark")).where("n > 1")
+    return rest.join(kinds, ["pivot", "item"]).select("pivot", "id", "mark").distinct()
+
+
+def _of_marks(marks: DataFrame, apart: DataFrame) -> DataFrame:
+    return apart.select("pivot", F.col("v").alias("id"), "vl").distinct().join(marks, ["id", "pivot"]).select("pivot", "mark", F.col("id").alias("v"), "vl")
+
+
+def _leading(members: DataFrame, apart: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members apart with the member nearest to the pivot among the holders of each of their marks."""
+    near = F.max(F.struct("common", (-F.col("id")).alias("i")))
+    leads = members.select("pivot", "id", "common").distinct().join(marks, ["id", "pivot"]).groupBy("pivot", "mark").agg((-near["i"]).alias("id"))
+    return leads.join(_of_marks(marks, apart), ["pivot", "mark"]).where("id != v").select(*_ordered("id", "v")).distinct()
+
+
+def _possible(members: DataFrame, apart: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, one of them apart, that may be links.
+
+    Two members that share nothing beyond their pivot have at most the smaller of their intersections with
+    it in common: few pairs of a bucket pass that bound. All others share a mark.
+    """
+    most = F.least("common", "vc")
+    bound = members.join(apart.drop("pivot"), "key").where((F.col("label") != F.col("vl")) & (100 * most >= percent * (F.col("n") + F.col("vn") - most))).select(*_ordered("id", "v"))
+    of_members = members.select("pivot", "id", "label").distinct().join(marks, ["id", "pivot"])
+    shared = of_members.join(_of_marks(marks, apart), ["pivot", "mark"]).where(F.col("label") != F.col("vl")).select(*_ordered("id", "v"))
+    return bound.union(shared).distinct()
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,19 +143,23 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     buckets = settle(keyed.join(counts, "key"))
     candidates = buckets.select("id").distinct()
     sets = settle(shingle_sets(docs.join(candidates, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), k))
-    links = settle(_verify(_small_pairs(buckets.where(F.col("members") <= SMALL), percent), sets, percent))
-    large = buckets.where(F.col("members") > SMALL)
-    weights = settle(large.groupBy("id").agg(F.sum("members").alias("weight")))
-    left, first, pivots = large.select("key", "id", "n"), weights, PIVOTS
+    stars = settle(_stars(buckets))
+    scored = settle(_compare(stars.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, rest=True))
+    linked = 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
+    links = scored.where(linked).select(*_ordered("a", "b"))
     labels = connected_components(links)
-    while not left.isEmpty():
-        left, _, pairs = _pivot_pairs(left, labels, first, pivots, percent)
-        left = settle(left)
-        found = settle(_verify(pairs, sets, percent))
-        if not found.isEmpty():
-            links = settle(links.union(found).distinct())
-            labels = connected_components(links)
-        first, pivots = None, pivots * (1 if first is not None else 2)
+    with_pivot = scored.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "common")
+    members = stars.join(with_pivot, ["id", "pivot"], "left").withColumn("common", F.coalesce("common", "n"))
+    members, apart = _apart(members, labels)
+    marks = settle(_marks(scored, apart))
+    found = settle(_compare(_leading(members, apart, marks), sets).where(linked).select("a", "b"))
+    if not found.isEmpty():
+        links = links.union(found)
+        labels = connected_components(links)
+        members, apart = _apart(members.drop("label"), labels)
+    found = settle(_compare(_possible(members, apart, marks, percent), sets).where(linked).select("a", "b"))
+    if not found.isEmpty():
+        labels = connected_components(links.union(found))
     named = classes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
     out = signed.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
