@@ -108,7 +108,7 @@ def _marks(scored: DataFrame, apart: DataFrame) -> DataFrame:
 
 
 def _of_marks(marks: DataFrame, apart: DataFrame) -> DataFrame:
-    return apart.select("pivot", F.col("v").alias("id"), "vl").distinct().join(marks, ["id", "pivot"]).select("pivot", "mark", F.col("id").alias("v"), "vl")
+    return apart.select("pivot", F.col("v").alias("id"), "vl", "vn", "vc").distinct().join(marks, ["id", "pivot"]).select("pivot", "mark", F.col("id").alias("v"), "vl", "vn", "vc")
 
 
 def _leading(members: DataFrame, apart: DataFrame, marks: DataFrame) -> DataFrame:
@@ -126,8 +126,9 @@ def _possible(members: DataFrame, apart: DataFrame, marks: DataFrame, percent: i
     """
     most = F.least("common", "vc")
     bound = members.join(apart.drop("pivot"), "key").where((F.col("label") != F.col("vl")) & (100 * most >= percent * (F.col("n") + F.col("vn") - most))).select(*_ordered("id", "v"))
-    of_members = members.select("pivot", "id", "label").distinct().join(marks, ["id", "pivot"])
-    shared = of_members.join(_of_marks(marks, apart), ["pivot", "mark"]).where(F.col("label") != F.col("vl")).select(*_ordered("id", "v"))
+    of_members = members.select("pivot", "id", "label", "n", "common").distinct().join(marks, ["id", "pivot"])
+    both = most + F.least(F.col("n") - F.col("common"), F.col("vn") - F.col("vc"))  # the parts within and beyond the pivot
+    shared = of_members.join(_of_marks(marks, apart), ["pivot", "mark"]).where((F.col("label") != F.col("vl")) & (100 * both >= percent * (F.col("n") + F.col("vn") - both))).select(*_ordered("id", "v"))
     return bound.union(shared).distinct()
 
 
