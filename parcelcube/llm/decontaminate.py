@@ -27,14 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelcube.llm.common import chunks, settle
 from parcelcube.llm.shingles import word_hashes
 
-STRIDE, RANK, MAX_SHARE, KEEP, MAX_ITEMS = 32, 64, 0.01, 3, 100_000
-MIN_WEIGHT, MIN_COSINE, COPY, PARAPHRASE = 0.35, 0.45, 0.8, 0.6
+STRIDE, RANK, MAX_SHARE, KEEP, MAX_ITEMS = 16, 64, 0.003, 3, 1_000
+MIN_WEIGHT, MIN_COSINE, COPY, PARAPHRASE = 0.5, 0.5, 0.8, 0.6
+
+#: Bytes of text hashed at a time; the arrays in between take about fifty times as much.
+HASH_BYTES = 1_500_000
 
 
 class Terms:
@@ -64,23 +68,36 @@ class Terms:
             yield b - a, (maybe[s:e] - a).astype(np.int32), number[s:e]
 
 
+def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
 class Batch:
     """Weighted terms of the passages of some documents: sorted by passage, with the bounds of each."""
 
-    def __init__(self, pdf: pd.DataFrame, idf: np.ndarray) -> None:
-        sizes = np.fromiter(map(len, pdf["ids"]), np.int64, len(pdf))
-        ids = np.concatenate(pdf["ids"].to_list()) if sizes.sum() else np.zeros(0, np.int64)
-        places = np.concatenate(pdf["places"].to_list()) if sizes.sum() else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(pdf)), sizes)
-        use = idf[ids] > 0
-        ids, at, doc = ids[use].astype(np.int64), places[use] // STRIDE, doc[use]
-        last = np.maximum(-(-pdf["n_words"].to_numpy() // STRIDE) - 2, 0)[doc]  # a document's last window
-        key = np.concatenate([(doc << 40) + (np.minimum(at, last) << 20), (doc << 40) + (np.clip(at - 1, 0, last) << 20)])
-        both = np.unique(np.column_stack([key, np.tile(ids, 2)]), axis=0) if len(ids) else np.zeros((0, 2), np.int64)
-        self.key, self.ids = both[:, 0], both[:, 1]
-        self.starts = np.flatnonzero(np.diff(self.key, prepend=-1))
-        self.row = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(self.key))))
-        self.doc, self.window = self.key[self.starts] >> 40, (self.key[self.starts] >> 20) & ((1 << 20) - 1)
+    def __init__(self, batch: pa.RecordBatch, idf: np.ndarray) -> None:
+        self.all_ids, sizes = flat(batch.column("ids"))
+        self.places = flat(batch.column("places"))[0]
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        last = np.maximum(-(-batch.column("n_words").to_numpy().astype(np.int64) // STRIDE) - 2, 0)  # a document's last window
+        self.passages = int((last + 1).sum())
+        use = np.flatnonzero(idf[self.all_ids] > 0)
+        ids, at = self.all_ids[use].astype(np.int64), self.places[use] // STRIDE
+        doc = np.repeat(np.arange(len(sizes)), sizes)[use]
+        # a code holds document, window and term; a word stands in the windows that start at its stride and at the one before
+        hi, lo, size = np.minimum(at, last[doc]), np.clip(at - 1, 0, last[doc]), len(idf)
+        head = doc * (int(last.max(initial=0)) + 1)
+        two = hi > lo
+        codes = np.concatenate([(head + hi) * size + ids, (head[two] + lo[two]) * size + ids[two]])
+        codes.sort()
+        codes = codes[np.diff(codes, prepend=-1) != 0]
+        key = codes // size
+        self.ids = codes - key * size
+        self.starts = np.flatnonzero(np.diff(key, prepend=-1))
+        self.row = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(key))))
+        wide = int(last.max(initial=0)) + 1
+        self.doc, self.window = key[self.starts] // wide, key[self.starts] % wide
         weight = idf[self.ids]
         self.norm = np.sqrt(np.add.reduceat(weight**2, self.starts)) if len(self.starts) else np.zeros(0)
         self.weight = (weight / self.norm[self.row]).astype(np.float32)
@@ -88,7 +105,14 @@ class Batch:
     def project(self, base: np.ndarray) -> np.ndarray:
         if not len(self.starts):
             return np.zeros((0, base.shape[1]), np.float32)
-        return np.add.reduceat(base[self.ids] * self.weight[:, None], self.starts)
+        parts = base[self.ids] * self.weight[:, None]
+        sizes = np.diff(np.append(self.starts, len(self.ids)))
+        out, more, nth = parts[self.starts], np.flatnonzero(sizes > 1), 1
+        while len(more):  # passages have few weighted terms: add their first, second, ... one
+            out[more] += parts[self.starts[more] + nth]
+            nth += 1
+            more = more[sizes[more] > nth]
+        return out
 
 
 def common_length(item: list[int], words: list[int]) -> int:
@@ -108,7 +132,7 @@ def _encoded(docs: DataFrame, terms: Terms) -> DataFrame:
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             texts = [t.encode("utf-8", "replace") if t else b"" for t in pdf["text"]]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, HASH_BYTES):
                 found = list(terms.encode(texts[a:b]))
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[a:b], "n_words": [n for n, _, _ in found], "places": [p for _, p, _ in found], "ids": [i for _, _, i in found]})
 
@@ -118,39 +142,45 @@ def _encoded(docs: DataFrame, terms: Terms) -> DataFrame:
 def _frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     """Passages that hold each term, and all passages."""
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(n_terms, np.int64), 0
-        for pdf in parts:
-            total += np.bincount(Batch(pdf, np.ones(n_terms)).ids, minlength=n_terms)
-            passages += int(np.maximum(-(-pdf["n_words"].to_numpy() // STRIDE) - 1, 1).sum())
-        yield pd.DataFrame({"term": np.append(np.flatnonzero(total), -1), "n": np.append(total[total > 0], passages)})
+        for part in parts:
+            batch = Batch(part, np.ones(n_terms))
+            total += np.bincount(batch.ids, minlength=n_terms)
+            passages += batch.passages
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(np.flatnonzero(total), -1), pa.int32()), "n": pa.array(np.append(total[total > 0], passages), pa.int64())})
 
     out = np.zeros(n_terms + 1, np.int64)
-    for r in encoded.select("n_words", "places", "ids").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in encoded.select("n_words", "places", "ids").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["term"]] = r["n"]
     return out[:-1], int(out[-1])
 
 
-def _base(encoded: DataFrame, idf: np.ndarray, rank: int, seed: int = 17) -> np.ndarray:
-    """Orthonormal base (terms, rank) of the leading right singular space of the TF-IDF passages."""
+def _base(encoded: DataFrame, idf: np.ndarray, items: np.ndarray, passages: int, rank: int, seed: int = 17) -> np.ndarray:
+    """Orthonormal base (terms, rank) of the leading right singular space of the TF-IDF passages.
+
+    The items (rows of term weights) are passages too, weighted to count as much as all those of the documents.
+    """
     start = np.random.default_rng(seed).normal(size=(len(idf), rank)).astype(np.float32)
 
-    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(idf), rank))
-        for pdf in parts:
-            batch = Batch(pdf, idf)
+        for part in parts:
+            batch = Batch(part, idf)
             if len(batch.ids):
-                order = np.argsort(batch.ids, kind="stable")
-                ids = batch.ids[order]
-                first = np.flatnonzero(np.diff(ids, prepend=-1))
-                total[ids[first]] += np.add.reduceat(batch.project(start)[batch.row[order]] * batch.weight[order, None], first)
+                back = np.ascontiguousarray((batch.project(start)[batch.row] * batch.weight[:, None]).T)
+                for j in range(rank):
+                    total[:, j] += np.bincount(batch.ids, weights=back[j], minlength=len(idf))
         seen = np.flatnonzero(total.any(1))
-        yield pd.DataFrame({"term": seen, "v": list(total[seen])})
+        if len(seen):
+            offsets = pa.array(np.arange(len(seen) + 1) * rank, pa.int32())
+            yield pa.RecordBatch.from_pydict({"term": pa.array(seen, pa.int32()), "v": pa.ListArray.from_arrays(offsets, pa.array(total[seen].ravel()))})
 
-    sums = encoded.select("n_words", "places", "ids").mapInPandas(add, "term int, v array<double>").groupBy("term").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(rank)])
+    sums = encoded.select("n_words", "places", "ids").mapInArrow(add, "term int, v array<double>").groupBy("term").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(rank)])
     out = np.zeros((len(idf), rank))
     found = sums.toPandas()  # one row per term of the benchmark
     out[found["term"].to_numpy(int)] = found.drop(columns="term").to_numpy(float)
+    out += passages / max(1, len(items)) * (items.T @ (items @ start))
     return np.linalg.qr(out)[0].astype(np.float32)
 
 
@@ -171,35 +201,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rare = {i: np.unique(words)[np.argsort(df[np.unique(words)], kind="stable")[:KEEP]] for i, words in terms.items}
     for words in rare.values():
         idf[words] = raw[words]
-    base = _base(encoded, idf, min(rank, len(idf)))
-    sets = [np.unique(words) for _, words in terms.items]
-    weights = np.array([np.sqrt((idf[s] ** 2).sum()) for s in sets])
-    vectors = np.array([(base[s] * (idf[s] / w)[:, None]).sum(0) for s, w in zip(sets, weights, strict=True)], np.float32)
+    rows = np.zeros((len(terms.items), len(idf)), np.float32)
+    for row, (_, words) in zip(rows, terms.items, strict=True):
+        row[words] = idf[words]
+    weights = np.linalg.norm(rows, axis=1)
+    rows /= weights[:, None]
+    base = _base(encoded, idf, rows, passages, min(rank, len(idf)))
+    vectors = rows @ base
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     answers = {i: terms.answers.get(i) or set(rare[i].tolist()) for i, _ in terms.items}
     shared = spark.sparkContext.broadcast((idf, base, vectors, weights, [(i, w.tolist()) for i, w in terms.items], answers))
 
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, base, vectors, weights, items, answers = shared.value
-        for pdf in parts:
-            batch, out = Batch(pdf, idf), []
+        for part in parts:
+            batch, out = Batch(part, idf), []
             keep = np.flatnonzero(batch.norm >= MIN_WEIGHT * weights.min())
-            places, ids = pdf["places"].to_list(), pdf["ids"].to_list()
             projected = batch.project(base)[keep]
             projected /= np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-9)
+            names = part.column("id").to_numpy()
             for a in range(0, len(keep), 4096):
                 rows = keep[a : a + 4096]
                 cosine = projected[a : a + 4096] @ vectors.T
                 near = (cosine >= MIN_COSINE) & (batch.norm[rows][:, None] >= MIN_WEIGHT * weights)
                 for r, j in zip(*np.nonzero(near), strict=True):
                     doc, window, (item, words) = int(batch.doc[rows[r]]), int(batch.window[rows[r]]), items[j]
-                    lo, hi = np.searchsorted(places[doc], (window * STRIDE - len(words), (window + 2) * STRIDE + len(words)))
-                    around = ids[doc][lo:hi].tolist()
+                    first, end = batch.bounds[doc], batch.bounds[doc + 1]
+                    lo, hi = first + np.searchsorted(batch.places[first:end], (window * STRIDE - len(words), (window + 2) * STRIDE + len(words)))
+                    around = batch.all_ids[lo:hi].tolist()
                     share = common_length(words, around) / len(words)
                     if share >= COPY or (share >= PARAPHRASE and answers[item] <= set(around)):
-                        out.append((int(pdf["id"].iloc[doc]), item, share, float(cosine[r, j])))
-            yield pd.DataFrame(out, columns=["id", "item", "matched", "cosine"])
+                        out.append((int(names[doc]), item, share, float(cosine[r, j])))
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_pydict({"id": pa.array(columns[0], pa.int64()), "item": pa.array(columns[1], pa.int64()), "matched": pa.array(columns[2], pa.float64()), "cosine": pa.array(columns[3], pa.float64())})
 
-    found = encoded.mapInPandas(search, "id long, item long, matched double, cosine double").groupBy("id", "item").agg(F.max("matched").alias("matched"), F.max("cosine").alias("cosine"))
+    found = encoded.mapInArrow(search, "id long, item long, matched double, cosine double").groupBy("id", "item").agg(F.max("matched").alias("matched"), F.max("cosine").alias("cosine"))
     kind = F.when(F.col("matched") >= COPY, "copy").otherwise("paraphrase")
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "cosine", kind.alias("kind"))
