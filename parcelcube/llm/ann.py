@@ -74,25 +74,27 @@ class Index:
         return [o[: max(probes, int(np.searchsorted(h, enough)) + 1)] for o, h in zip(order, held, strict=True)]
 
 
-def scan(columns: list[np.ndarray], query: np.ndarray, k: int) -> np.ndarray:
-    """Rows among the k nearest of a list whose rotated components come in column blocks; see the module's text."""
+def scan(columns: list[np.ndarray], squares: list[np.ndarray], query: np.ndarray, k: int) -> np.ndarray:
+    """Rows among the k nearest of a list whose rotated components come in column blocks, with the squared lengths of each block's rows."""
     n, d = len(columns[0]), len(query)
     parts = np.split(query, np.cumsum([c.shape[1] for c in columns])[:-1])
-    first = slice(0, min(n, 4 * k))
-    head = sum(((c[first] - q) ** 2).sum(1) for c, q in zip(columns, parts, strict=True))
-    bound = np.partition(head, k - 1)[k - 1] if len(head) >= k else np.inf
-    rows, partial, seen = np.arange(first.stop, n), np.zeros(n - first.stop), 0
-    for c, q in zip(columns, parts, strict=True):
-        partial = partial + ((c[rows] - q) ** 2).sum(1)
+    first = min(n, 4 * k)
+    head = sum(s[:first] - 2 * (c[:first] @ q) + q @ q for c, s, q in zip(columns, squares, parts, strict=True))
+    bound = np.partition(head, k - 1)[k - 1] if first >= k else np.inf
+    rows: slice | np.ndarray = slice(first, n)
+    partial, seen = np.zeros(n - first), 0
+    for c, s, q in zip(columns, squares, parts, strict=True):
+        partial = partial + (s[rows] - 2 * (c[rows] @ q) + q @ q)
         seen += c.shape[1]
         if seen < d:
             stay = partial * (d / seen) <= bound * (1 + EPSILON / seen**0.5) ** 2
-            rows, partial = rows[stay], partial[stay]
-    rows, partial = np.concatenate([np.arange(first.stop), rows]), np.concatenate([head, partial])
-    return rows if len(rows) <= k else rows[partial <= np.partition(partial, k - 1)[k - 1]]
+            if not stay.all():
+                rows, partial = (np.arange(first, n) if isinstance(rows, slice) else rows)[stay], partial[stay]
+    rows, partial = np.concatenate([np.arange(first), np.arange(first, n) if isinstance(rows, slice) else rows]), np.concatenate([head, partial])
+    return rows if len(rows) <= k else rows[partial <= np.partition(partial, k - 1)[k - 1] + 1e-9]
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = 0.6) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = 0.7) -> DataFrame:
     """Returns query_id, rank, id_col, score: the k rows nearest to each query row, itself excluded."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), is_query.alias("asks")).where(_usable(F.col("vec")))
@@ -109,7 +111,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     facts = classes.agg(F.count("*").alias("n"), F.max(squares).alias("norm2")).first()
     sample = classes.where(hash_share("cid", 5) < TRAIN_ROWS / max(1, facts["n"])).select("vec").limit(2 * TRAIN_ROWS).toPandas()["vec"].tolist() or [r["vec"] for r in classes.select("vec").limit(1).collect()]
-    lists = max(1, min(MOST_LISTS, round(facts["n"] ** 0.5), len(sample)))
+    lists = max(1, min(MOST_LISTS, round(facts["n"] ** 0.5 / 3), len(sample)))
     index = spark.sparkContext.broadcast(Index(np.array(sample, float), facts["norm2"], lists))
 
     @F.pandas_udf("int")
@@ -140,9 +142,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
             x = np.array(held["vec"].tolist(), float)
             cids, turned = held["cid"].to_numpy(), index.value.rows(x)
             columns = [np.ascontiguousarray(turned[:, i : i + BLOCK]) for i in range(0, turned.shape[1], BLOCK)]
+            squares = [(c * c).sum(1) for c in columns]
             q = np.array(asking["q"].tolist(), float)
             for qid, own, turned_q in zip(asking["qid"].tolist(), q, index.value.queries(q), strict=True):
-                near = scan(columns, turned_q, k + 1)
+                near = scan(columns, squares, turned_q, k + 1)
                 score = (x[near] * own).sum(1)
                 best = np.lexsort((cids[near], -score))[: k + 1]
                 out += zip([qid] * len(best), cids[near][best].tolist(), score[best].tolist(), strict=True)
