@@ -2,13 +2,14 @@
 
 1. Every document becomes the sequence of its words that some benchmark item has, with their places.
    Other words can neither match an item nor weigh anything.
-2. Passages are windows of 2 * STRIDE words, one every STRIDE words. Document frequencies of the terms
-   are counted over all passages; terms in more than MAX_SHARE of them carry no weight, but every item
-   keeps its KEEP rarest terms.
+2. Passages are windows of 2 * STRIDE words, one every STRIDE words. Items are cut into passages of the
+   same length, evenly spaced from start to end; a shorter item is one passage. Document frequencies of
+   the terms are counted over all passages; terms in more than MAX_SHARE of them carry no weight, but
+   every passage of an item keeps its KEEP rarest terms.
 3. A distributed randomised SVD of the normalised TF-IDF passages A: each task adds up A'(A R) for a random
    matrix R, the sums meet per term, and an orthonormal base of them spans the leading right singular space.
-4. Passages whose weight suffices are projected and compared with all items by cosine, in blocks; those over
-   MIN_COSINE are candidates.
+4. Passages whose weight suffices are projected and compared with all passages of items by cosine, in
+   blocks; those over MIN_COSINE are candidates for the item.
 5. In the surroundings of a candidate the longest common subsequence with the item is taken. At COPY of the
    item's words it is a copy; from PARAPHRASE on it is one if the item's answer is also there: its last
    words after "answer:", or else its KEEP rarest terms.
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 from parcelcube.llm.common import chunks, settle
 from parcelcube.llm.shingles import word_hashes
 
-STRIDE, RANK, MAX_SHARE, KEEP, MAX_ITEMS = 16, 64, 0.003, 3, 1_000
-MIN_WEIGHT, MIN_COSINE, COPY, PARAPHRASE = 0.5, 0.5, 0.8, 0.6
+STRIDE, RANK, MAX_SHARE, KEEP, MAX_ITEMS = 16, 64, 0.01, 3, 1_000
+MIN_WEIGHT, MIN_COSINE, COPY, PARAPHRASE = 0.35, 0.45, 0.8, 0.6
 
 #: Bytes of text hashed at a time; the arrays in between take about fifty times as much.
 HASH_BYTES = 1_500_000
+#: Passages projected at a time.
+AT_ONCE = 4096
 
 
 class Terms:
@@ -95,26 +98,55 @@ class Batch:
         key = codes // size
         self.ids = codes - key * size
         self.starts = np.flatnonzero(np.diff(key, prepend=-1))
-        self.row = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(key))))
+        self.sizes = np.diff(np.append(self.starts, len(key)))
+        self.row = np.repeat(np.arange(len(self.starts)), self.sizes)
         wide = int(last.max(initial=0)) + 1
         self.doc, self.window = key[self.starts] // wide, key[self.starts] % wide
         weight = idf[self.ids]
         self.norm = np.sqrt(np.add.reduceat(weight**2, self.starts)) if len(self.starts) else np.zeros(0)
         self.weight = (weight / self.norm[self.row]).astype(np.float32)
 
-    def project(self, base: np.ndarray) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros((0, base.shape[1]), np.float32)
-        parts = base[self.ids] * self.weight[:, None]
-        sizes = np.diff(np.append(self.starts, len(self.ids)))
-        out, more, nth = parts[self.starts], np.flatnonzero(sizes > 1), 1
-        while len(more):  # passages have few weighted terms: add their first, second, ... one
-            out[more] += parts[self.starts[more] + nth]
+    def project(self, base: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The passages numbered in rows times base: their first terms, their second ones, and so on; they have few."""
+        starts, sizes = self.starts[rows], self.sizes[rows]
+        out = base[self.ids[starts]] * self.weight[starts, None]
+        more, nth = np.flatnonzero(sizes > 1), 1
+        while len(more):
+            at = starts[more] + nth
+            out[more] += base[self.ids[at]] * self.weight[at, None]
             nth += 1
             more = more[sizes[more] > nth]
         return out
 
 
+def cut(words: np.ndarray) -> list[np.ndarray]:
+    """An item's passages: of a window's length and at most that far apart, the last one up to its end."""
+    beyond, steps = len(words) - 2 * STRIDE, -(-len(words) // (2 * STRIDE)) - 1
+    return [words[beyond * k // steps :][: 2 * STRIDE] for k in range(steps + 1)] if steps > 0 else [words]
+
+
+class Rows:
+    """Weighted terms of the items' passages: a sparse matrix, sorted by passage."""
+
+    def __init__(self, passages: list[np.ndarray], idf: np.ndarray) -> None:
+        sets = [np.unique(p[idf[p] > 0]) for p in passages]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.terms, self.row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        self.starts = np.cumsum(sizes) - sizes
+        self.norm = np.sqrt(np.add.reduceat(idf[self.terms] ** 2, self.starts))
+        self.weight = (idf[self.terms] / self.norm[self.row]).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def project(self, base: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(base[self.terms] * self.weight[:, None], self.starts)
+
+    def back(self, values: np.ndarray, n_terms: int) -> np.ndarray:
+        """The transposed matrix times values."""
+        return np.column_stack([np.bincount(self.terms, weights=self.weight * values[self.row, j], minlength=n_terms) for j in range(values.shape[1])])
+
+
 def common_length(item: list[int], words: list[int]) -> int:
     """Length of the longest common subsequence, a row of the table per word as bits of a number."""
     masks: dict[int, int] = {}
@@ -156,10 +188,10 @@ def _frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _base(encoded: DataFrame, idf: np.ndarray, items: np.ndarray, passages: int, rank: int, seed: int = 17) -> np.ndarray:
+def _base(encoded: DataFrame, idf: np.ndarray, items: Rows, passages: int, rank: int, seed: int = 17) -> np.ndarray:
     """Orthonormal base (terms, rank) of the leading right singular space of the TF-IDF passages.
 
-    The items (rows of term weights) are passages too, weighted to count as much as all those of the documents.
+    The items' passages count too, weighted to count as much as all those of the documents.
     """
     start = np.random.default_rng(seed).normal(size=(len(idf), rank)).astype(np.float32)
 
@@ -167,10 +199,12 @@ def _base(encoded: DataFrame, idf: np.ndarray, items: np.ndarray, passages: int,
         total = np.zeros((len(idf), rank))
         for part in parts:
             batch = Batch(part, idf)
-            if len(batch.ids):
-                back = np.ascontiguousarray((batch.project(start)[batch.row] * batch.weight[:, None]).T)
+            for a in range(0, len(batch.starts), AT_ONCE):
+                rows = np.arange(a, min(a + AT_ONCE, len(batch.starts)))
+                own = slice(batch.starts[a], batch.starts[rows[-1]] + batch.sizes[rows[-1]])
+                back = np.ascontiguousarray((batch.project(start, rows)[batch.row[own] - a] * batch.weight[own, None]).T)
                 for j in range(rank):
-                    total[:, j] += np.bincount(batch.ids, weights=back[j], minlength=len(idf))
+                    total[:, j] += np.bincount(batch.ids[own], weights=back[j], minlength=len(idf))
         seen = np.flatnonzero(total.any(1))
         if len(seen):
             offsets = pa.array(np.arange(len(seen) + 1) * rank, pa.int32())
@@ -180,7 +214,7 @@ def _base(encoded: DataFrame, idf: np.ndarray, items: np.ndarray, passages: int,
     out = np.zeros((len(idf), rank))
     found = sums.toPandas()  # one row per term of the benchmark
     out[found["term"].to_numpy(int)] = found.drop(columns="term").to_numpy(float)
-    out += passages / max(1, len(items)) * (items.T @ (items @ start))
+    out += passages / len(items) * items.back(items.project(start), len(idf))
     return np.linalg.qr(out)[0].astype(np.float32)
 
 
@@ -198,40 +232,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     df, passages = _frequencies(encoded, len(terms.hashes))
     raw = np.log((passages + 1) / (df + 0.5))
     idf = np.where(df <= max(MAX_SHARE * passages, 2), raw, 0)
-    rare = {i: np.unique(words)[np.argsort(df[np.unique(words)], kind="stable")[:KEEP]] for i, words in terms.items}
-    for words in rare.values():
-        idf[words] = raw[words]
-    rows = np.zeros((len(terms.items), len(idf)), np.float32)
-    for row, (_, words) in zip(rows, terms.items, strict=True):
-        row[words] = idf[words]
-    weights = np.linalg.norm(rows, axis=1)
-    rows /= weights[:, None]
+    parts = [cut(words) for _, words in terms.items]
+    rarest = lambda words: np.unique(words)[np.argsort(df[np.unique(words)], kind="stable")[:KEEP]]
+    for passage in (p for own in parts for p in own):
+        idf[rarest(passage)] = raw[rarest(passage)]
+    rows = Rows([p for own in parts for p in own], idf)
+    owner = np.repeat(np.arange(len(parts)), [len(own) for own in parts])
     base = _base(encoded, idf, rows, passages, min(rank, len(idf)))
-    vectors = rows @ base
+    vectors = rows.project(base)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    answers = {i: terms.answers.get(i) or set(rare[i].tolist()) for i, _ in terms.items}
-    shared = spark.sparkContext.broadcast((idf, base, vectors, weights, [(i, w.tolist()) for i, w in terms.items], answers))
+    answers = {i: terms.answers.get(i) or set(rarest(words).tolist()) for i, words in terms.items}
+    shared = spark.sparkContext.broadcast((idf, base, vectors, rows.norm, owner, [(i, w.tolist()) for i, w in terms.items], answers))
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, base, vectors, weights, items, answers = shared.value
+        idf, base, vectors, weights, owner, items, answers = shared.value
         for part in parts:
-            batch, out = Batch(part, idf), []
+            batch, out, whole = Batch(part, idf), [], set()
             keep = np.flatnonzero(batch.norm >= MIN_WEIGHT * weights.min())
-            projected = batch.project(base)[keep]
-            projected /= np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-9)
             names = part.column("id").to_numpy()
-            for a in range(0, len(keep), 4096):
-                rows = keep[a : a + 4096]
-                cosine = projected[a : a + 4096] @ vectors.T
+            for a in range(0, len(keep), AT_ONCE):
+                rows = keep[a : a + AT_ONCE]
+                projected = batch.project(base, rows)
+                projected /= np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-9)
+                cosine = projected @ vectors.T
                 near = (cosine >= MIN_COSINE) & (batch.norm[rows][:, None] >= MIN_WEIGHT * weights)
-                for r, j in zip(*np.nonzero(near), strict=True):
-                    doc, window, (item, words) = int(batch.doc[rows[r]]), int(batch.window[rows[r]]), items[j]
-                    first, end = batch.bounds[doc], batch.bounds[doc + 1]
-                    lo, hi = first + np.searchsorted(batch.places[first:end], (window * STRIDE - len(words), (window + 2) * STRIDE + len(words)))
+                r, j = np.nonzero(near)
+                first = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(owner[j], prepend=-1) != 0))  # each item once per window
+                best = np.maximum.reduceat(cosine[r, j], first) if len(first) else cosine[:0, 0]
+                for row, n, value in zip(rows[r[first]].tolist(), owner[j[first]].tolist(), best.tolist(), strict=True):
+                    doc, window, (item, words) = int(batch.doc[row]), int(batch.window[row]), items[n]
+                    if (doc, n) in whole:  # no other match is better
+                        out.append((int(names[doc]), item, 1.0, value))
+                        continue
+                    start, end = batch.bounds[doc], batch.bounds[doc + 1]
+                    lo, hi = start + np.searchsorted(batch.places[start:end], (window * STRIDE - len(words), (window + 2) * STRIDE + len(words)))
                     around = batch.all_ids[lo:hi].tolist()
+                    seen = set(around)
+                    if sum(w in seen for w in words) / len(words) < PARAPHRASE:  # bounds the common subsequence
+                        continue
                     share = common_length(words, around) / len(words)
-                    if share >= COPY or (share >= PARAPHRASE and answers[item] <= set(around)):
-                        out.append((int(names[doc]), item, share, float(cosine[r, j])))
+                    if share == 1:
+                        whole.add((doc, n))
+                    if share >= COPY or (share >= PARAPHRASE and answers[item] <= seen):
+                        out.append((int(names[doc]), item, share, value))
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_pydict({"id": pa.array(columns[0], pa.int64()), "item": pa.array(columns[1], pa.int64()), "matched": pa.array(columns[2], pa.float64()), "cosine": pa.array(columns[3], pa.float64())})

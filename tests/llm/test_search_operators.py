@@ -149,6 +149,28 @@ def test_leaks(spark, odd_documents, empty_documents):
     assert leaks(df.union(df), bench).count() == 16
 
 
+@pytest.mark.parametrize("size", [33, 64, 150, 300, 1000])
+def test_leaks_of_long_items(spark, size):
+    """Verbatim copies at any offset, and paraphrases, of items much longer than a window."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice(["ba", "ce", "di", "fo", "gu", "ha"]) for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(size))) for i in range(4)]
+    docs = []
+    for i in range(16):
+        words = [word() for _ in range(rng.randint(0, 400))]
+        at = rng.randint(0, len(words))
+        if i < 8:
+            words[at:at] = items[i % 4][1].split()
+        elif i < 12:
+            words[at:at] = [word() if k % 9 == 8 else w for k, w in enumerate(items[i % 4][1].split())]
+        else:  # a third of an item is no leak
+            words[at:at] = items[i % 4][1].split()[: size // 3]
+        docs.append((i, " ".join(words)))
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(i, i % 4) for i in range(12)}
+    assert all(got[i, i % 4]["matched"] == 1 for i in range(8))
+
+
 def test_common_length():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
