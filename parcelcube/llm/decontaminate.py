@@ -14,7 +14,8 @@
    item's words it is a copy; from PARAPHRASE on it is one if the item's answer is also there: its last
    words after "answer:", or else its KEEP rarest terms.
 
-The benchmark is a stated query set: at most MAX_ITEMS items, checked; it is what gets broadcast.
+The benchmark may have any number of items: the driver holds their words. Steps 3 to 5 run for BLOCK
+passages of items at a time, each block with its own broadcast, and all findings are put together.
 
 Defined cases: null and empty texts and items never match; items without words are left out; an item
 that occurs several times in a document gives one row, with its best match; repeated rows of a document give one
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from parcelcube.llm.common import chunks, settle
 from parcelcube.llm.shingles import word_hashes
 
-STRIDE, RANK, MAX_SHARE, KEEP, MAX_ITEMS = 16, 64, 0.01, 3, 1_000
+STRIDE, RANK, MAX_SHARE, KEEP, BLOCK = 16, 64, 0.01, 3, 2_000
 MIN_WEIGHT, MIN_COSINE, COPY, PARAPHRASE = 0.35, 0.45, 0.8, 0.6
 
 #: Bytes of text hashed at a time; the arrays in between take about fifty times as much.
@@ -44,17 +45,28 @@ HASH_BYTES = 1_500_000
 AT_ONCE = 4096
 
 
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of many texts, some at a time."""
+    found = [(a, word_hashes(texts[a:b], plain=True)) for a, b in chunks(texts, HASH_BYTES)]
+    return np.concatenate([np.zeros(0, np.uint64), *[h for _, (h, _) in found]]), np.concatenate([np.zeros(0, np.int64), *[o + a for a, (_, o) in found]])
+
+
+def items_of(listed: list[tuple[int, str]]) -> tuple[Terms, list[tuple[int, np.ndarray, set[int]]]]:
+    """The terms of the items, and for each item with words: its id, its terms in order and those of its answer."""
+    hashes, owner = hashed([t.encode() for _, t in listed])
+    unique, numbers = np.unique(hashes, return_inverse=True)
+    tails = [re.split(r"(?i)\banswer\s*:", t) for _, t in listed]
+    answer, holder = hashed([(t[-1] if len(t) > 1 else "").encode() for t in tails])
+    answer = np.searchsorted(unique, answer)
+    cuts, ends = (np.searchsorted(o, np.arange(len(listed) + 1)) for o in (owner, holder))
+    return Terms(unique), [(i, numbers[cuts[n] : cuts[n + 1]], set(answer[ends[n] : ends[n + 1]].tolist())) for n, (i, _) in enumerate(listed) if cuts[n + 1] > cuts[n]]
+
+
 class Terms:
     """Word hashes of the benchmark, numbered; a bitmap turns most other words away."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        hashes, owner = word_hashes([t.encode() for _, t in items], plain=True)
-        self.hashes, numbers = np.unique(hashes, return_inverse=True)
-        cuts = np.searchsorted(owner, np.arange(len(items) + 1))
-        self.items = [(i, numbers[a:b]) for (i, _), a, b in zip(items, cuts[:-1], cuts[1:], strict=True) if b > a]
-        tails = [re.split(r"(?i)\banswer\s*:", t) for _, t in items]
-        answer, holder = word_hashes([(t[-1] if len(t) > 1 else "").encode() for t in tails], plain=True)
-        self.answers = {i: set(np.searchsorted(self.hashes, answer[holder == n]).tolist()) for n, (i, _) in enumerate(items) if (holder == n).any()}
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self.hashes >> np.uint64(44)] = True
 
@@ -77,16 +89,20 @@ def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Batch:
-    """Weighted terms of the passages of some documents: sorted by passage, with the bounds of each."""
+    """Weighted terms of the passages of some documents: sorted by passage, with the bounds of each.
+
+    number has the row of idf of each term, or -1 for terms that carry no weight.
+    """
 
-    def __init__(self, batch: pa.RecordBatch, idf: np.ndarray) -> None:
+    def __init__(self, batch: pa.RecordBatch, idf: np.ndarray, number: np.ndarray) -> None:
         self.all_ids, sizes = flat(batch.column("ids"))
         self.places = flat(batch.column("places"))[0]
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
         last = np.maximum(-(-batch.column("n_words").to_numpy().astype(np.int64) // STRIDE) - 2, 0)  # a document's last window
         self.passages = int((last + 1).sum())
-        use = np.flatnonzero(idf[self.all_ids] > 0)
-        ids, at = self.all_ids[use].astype(np.int64), self.places[use] // STRIDE
+        ids = number[self.all_ids]
+        use = np.flatnonzero(ids >= 0)
+        ids, at = ids[use].astype(np.int64), self.places[use] // STRIDE
         doc = np.repeat(np.arange(len(sizes)), sizes)[use]
         # a code holds document, window and term; a word stands in the windows that start at its stride and at the one before
         hi, lo, size = np.minimum(at, last[doc]), np.clip(at - 1, 0, last[doc]), len(idf)
@@ -129,7 +145,7 @@ class Rows:
     """Weighted terms of the items' passages: a sparse matrix, sorted by passage."""
 
     def __init__(self, passages: list[np.ndarray], idf: np.ndarray) -> None:
-        sets = [np.unique(p[idf[p] > 0]) for p in passages]
+        sets = [np.unique(p) for p in passages]
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         self.terms, self.row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         self.starts = np.cumsum(sizes) - sizes
@@ -177,7 +193,7 @@ def _frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(n_terms, np.int64), 0
         for part in parts:
-            batch = Batch(part, np.ones(n_terms))
+            batch = Batch(part, np.ones(n_terms), np.arange(n_terms))
             total += np.bincount(batch.ids, minlength=n_terms)
             passages += batch.passages
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(np.flatnonzero(total), -1), pa.int32()), "n": pa.array(np.append(total[total > 0], passages), pa.int64())})
@@ -188,7 +204,7 @@ def _frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _base(encoded: DataFrame, idf: np.ndarray, items: Rows, passages: int, rank: int, seed: int = 17) -> np.ndarray:
+def _base(encoded: DataFrame, idf: np.ndarray, number: np.ndarray, items: Rows, passages: int, rank: int, seed: int = 17) -> np.ndarray:
     """Orthonormal base (terms, rank) of the leading right singular space of the TF-IDF passages.
 
     The items' passages count too, weighted to count as much as all those of the documents.
@@ -198,7 +214,7 @@ def _base(encoded: DataFrame, idf: np.ndarray, items: Rows, passages: int, rank:
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(idf), rank))
         for part in parts:
-            batch = Batch(part, idf)
+            batch = Batch(part, idf, number)
             for a in range(0, len(batch.starts), AT_ONCE):
                 rows = np.arange(a, min(a + AT_ONCE, len(batch.starts)))
                 own = slice(batch.starts[a], batch.starts[rows[-1]] + batch.sizes[rows[-1]])
@@ -212,7 +228,7 @@ def _base(encoded: DataFrame, idf: np.ndarray, items: Rows, passages: int, rank:
 
     sums = encoded.select("n_words", "places", "ids").mapInArrow(add, "term int, v array<double>").groupBy("term").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(rank)])
     out = np.zeros((len(idf), rank))
-    found = sums.toPandas()  # one row per term of the benchmark
+    found = sums.toPandas()  # one row per term of the block
     out[found["term"].to_numpy(int)] = found.drop(columns="term").to_numpy(float)
     out += passages / len(items) * items.back(items.project(start), len(idf))
     return np.linalg.qr(out)[0].astype(np.float32)
@@ -221,33 +237,47 @@ def _base(encoded: DataFrame, idf: np.ndarray, items: Rows, passages: int, rank:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:
     """Returns one row per document and benchmark item found in it: id_col, item_col, matched (share of the item's words), cosine, kind (copy or paraphrase)."""
     spark = docs.sparkSession
-    listed = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t IS NOT NULL").distinct().orderBy("i", "t").limit(MAX_ITEMS + 1).collect()
-    if len(listed) > MAX_ITEMS:
-        raise ValueError(f"the benchmark has more than {MAX_ITEMS} items: call leaks() on parts of it")
-    result = f"{id_col} long, {item_col} long, matched double, cosine double, kind string"
-    terms = Terms([(r["i"], r["t"]) for r in listed])
-    if not len(terms.hashes):
-        return spark.createDataFrame([], result)
+    listed = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator()
+    terms, items = items_of([(r["i"], r["t"]) for r in listed])
+    if not items:
+        return spark.createDataFrame([], f"{id_col} long, {item_col} long, matched double, cosine double, kind string")
     encoded = settle(_encoded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), terms))
     df, passages = _frequencies(encoded, len(terms.hashes))
     raw = np.log((passages + 1) / (df + 0.5))
     idf = np.where(df <= max(MAX_SHARE * passages, 2), raw, 0)
-    parts = [cut(words) for _, words in terms.items]
+    parts = [(n, p) for n, (_, words, _) in enumerate(items) for p in cut(words)]
     rarest = lambda words: np.unique(words)[np.argsort(df[np.unique(words)], kind="stable")[:KEEP]]
-    for passage in (p for own in parts for p in own):
+    for _, passage in parts:
         idf[rarest(passage)] = raw[rarest(passage)]
-    rows = Rows([p for own in parts for p in own], idf)
-    owner = np.repeat(np.arange(len(parts)), [len(own) for own in parts])
-    base = _base(encoded, idf, rows, passages, min(rank, len(idf)))
+    items = [(i, words, answer or set(rarest(words).tolist())) for i, words, answer in items]
+    found = []
+    for k in range(0, len(parts), BLOCK):
+        owner, own = zip(*parts[k : k + BLOCK], strict=True)
+        found.append(_search(encoded, idf, list(own), np.array(owner) - owner[0], items[owner[0] : owner[-1] + 1], passages, rank, len(parts) > BLOCK))
+    while len(found) > 1:  # a shallow tree
+        found = [a.union(b) for a, b in zip(found[::2], found[1::2], strict=False)] + found[len(found) // 2 * 2 :]
+    found = found[0].groupBy("id", "item").agg(F.max("matched").alias("matched"), F.max("cosine").alias("cosine"))
+    kind = F.when(F.col("matched") >= COPY, "copy").otherwise("paraphrase")
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "cosine", kind.alias("kind"))
+
+
+def _search(encoded: DataFrame, idf: np.ndarray, own: list[np.ndarray], owner: np.ndarray, items: list[tuple[int, np.ndarray, set[int]]], passages: int, rank: int, kept: bool) -> DataFrame:
+    """(id, item, matched, cosine) of one block: the passages own, of the items numbered in owner. kept: the findings are written and the broadcast given up."""
+    used = np.unique(np.concatenate(own))
+    used = used[idf[used] > 0]
+    number = np.full(len(idf), -1, np.int32)
+    number[used] = np.arange(len(used))
+    idf = idf[used]
+    rows = Rows([number[p][number[p] >= 0] for p in own], idf)
+    base = _base(encoded, idf, number, rows, passages, min(rank, len(idf)))
     vectors = rows.project(base)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    answers = {i: terms.answers.get(i) or set(rarest(words).tolist()) for i, words in terms.items}
-    shared = spark.sparkContext.broadcast((idf, base, vectors, rows.norm, owner, [(i, w.tolist()) for i, w in terms.items], answers))
+    shared = encoded.sparkSession.sparkContext.broadcast((idf, number, base, vectors, rows.norm, owner, [(i, w.tolist(), answer) for i, w, answer in items]))
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, base, vectors, weights, owner, items, answers = shared.value
+        idf, number, base, vectors, weights, owner, items = shared.value
         for part in parts:
-            batch, out, whole = Batch(part, idf), [], set()
+            batch, out, whole = Batch(part, idf, number), [], set()
             keep = np.flatnonzero(batch.norm >= MIN_WEIGHT * weights.min())
             names = part.column("id").to_numpy()
             for a in range(0, len(keep), AT_ONCE):
@@ -260,7 +290,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 first = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(owner[j], prepend=-1) != 0))  # each item once per window
                 best = np.maximum.reduceat(cosine[r, j], first) if len(first) else cosine[:0, 0]
                 for row, n, value in zip(rows[r[first]].tolist(), owner[j[first]].tolist(), best.tolist(), strict=True):
-                    doc, window, (item, words) = int(batch.doc[row]), int(batch.window[row]), items[n]
+                    doc, window, (item, words, answer) = int(batch.doc[row]), int(batch.window[row]), items[n]
                     if (doc, n) in whole:  # no other match is better
                         out.append((int(names[doc]), item, 1.0, value))
                         continue
@@ -273,12 +303,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     share = common_length(words, around) / len(words)
                     if share == 1:
                         whole.add((doc, n))
-                    if share >= COPY or (share >= PARAPHRASE and answers[item] <= seen):
+                    if share >= COPY or (share >= PARAPHRASE and answer <= seen):
                         out.append((int(names[doc]), item, share, value))
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_pydict({"id": pa.array(columns[0], pa.int64()), "item": pa.array(columns[1], pa.int64()), "matched": pa.array(columns[2], pa.float64()), "cosine": pa.array(columns[3], pa.float64())})
 
-    found = encoded.mapInArrow(search, "id long, item long, matched double, cosine double").groupBy("id", "item").agg(F.max("matched").alias("matched"), F.max("cosine").alias("cosine"))
-    kind = F.when(F.col("matched") >= COPY, "copy").otherwise("paraphrase")
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "cosine", kind.alias("kind"))
+    found = encoded.mapInArrow(search, "id long, item long, matched double, cosine double")
+    if kept:
+        found = settle(found)
+        shared.unpersist()
+    return found

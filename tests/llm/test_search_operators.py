@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelcube.llm import ann, minhash
+from parcelcube.llm import ann, decontaminate, minhash
 from parcelcube.llm.components import connected_components
 from parcelcube.llm.decontaminate import common_length, leaks
 from parcelcube.llm.shingles import shingle_hashes, super_minhash
@@ -171,6 +171,20 @@ def test_leaks_of_long_items(spark, size):
     assert all(got[i, i % 4]["matched"] == 1 for i in range(8))
 
 
+@pytest.mark.parametrize("block", [None, 100])
+def test_leaks_of_many_items(spark, monkeypatch, block):
+    """Any number of items, in one block or in many; one item's passages may be in two blocks."""
+    if block:
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["ba", "ce", "di", "fo", "gu", "ha"]) for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(70 if i % 7 == 0 else 20))) for i in range(1_050)]
+    docs = [(i, " ".join([word() for _ in range(i % 50)] + items[i][1].split() + [word() for _ in range(20)])) for i in range(0, 1_050, 5)]
+    docs += [(5_000 + i, " ".join(word() for _ in range(100))) for i in range(50)]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == 210 and {(r["doc_id"], r["item_id"], r["kind"]) for r in got} == {(i, i, "copy") for i in range(0, 1_050, 5)}
+
+
 def test_common_length():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
