@@ -6,8 +6,10 @@ counts, so an expression that is rare in both classes is equally likely in both.
 the difference of the two log-likelihoods per byte, and how far single words exceed a threshold;
 a logistic curve over these, fitted on halves that the scoring model hasn't seen, gives a probability.
 
-The models are fitted on at most about TRAIN_DOCS labelled documents per class, chosen by hash; a
-document over TRAIN_CHARS characters gives a window of that length, placed by hash.
+Counts of the classes come from the whole texts of all labelled documents, and the shared ones from the
+texts of all documents, aggregated by Spark; the driver and the broadcast hold one entry per distinct gram.
+Only the logistic curve is fitted on a sample: at most about TRAIN_DOCS labelled documents per class, chosen
+by hash, of which one over TRAIN_CHARS characters gives a window of that length, placed by hash.
 
 Defined cases: a null or empty text scores as a text without evidence; without labels of both classes
 every score is the share of toxic labels (0 without labels); repeated rows are scored each; a document
@@ -31,6 +33,13 @@ ORDER, SPAN, DISCOUNT, EXCESS = 6, 24, 0.75, 2.5
 TRAIN_DOCS, TRAIN_CHARS = 3_000, 50_000
 START, END = 1, 2
 
+#: Kind of documents without a label; the others are 2 * half + toxic.
+OTHER = 4
+#: Distinct words counted at a time in a task.
+MOST_WORDS = 400_000
+#: Labels (an id and a number each) that are broadcast; with more, texts are shuffled to them.
+MOST_MARKS = 8_000_000
+
 
 def codes(data: np.ndarray) -> np.ndarray:
     """(words, width) bytes -> (words, width + 1) codes of the ORDER-gram that ends at each byte and at the word's end."""
@@ -80,10 +89,10 @@ def look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: floa
 class Models:
     """Log ratios toxic against ordinary: of each seen gram, and of each seen context before an unseen byte."""
 
-    def __init__(self, grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> None:
+    def __init__(self, grams: np.ndarray, base: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> None:
+        """base: what Shared gives for the grams."""
         order = np.argsort(grams)
-        self.grams = grams[order]
-        base = Shared(self.grams).p(self.grams)
+        self.grams, base = grams[order], base[order]
         self.heads, at = np.unique(self.grams >> np.uint64(8), return_inverse=True)
         logs, backs = [], []
         for counts in (ordinary[order], toxic[order]):
@@ -141,33 +150,39 @@ class Scorer:
             yield out
 
 
-def _gram_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of the bounded sample, and their counts by half and class (columns 2 * half + toxic)."""
+def _gram_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of (kind, text), and their counts by half and class (columns 2 * half + toxic); kind OTHER has no label."""
+
+    def counts(kind: int, words: Counter) -> Iterator[pd.DataFrame]:
+        n = np.fromiter(words.values(), np.int64, len(words))
+        if len(words):
+            found = [(codes(data), np.repeat(n[owner], data.shape[1] + 1)) for owner, data in by_length(list(words), SPAN)]
+            grams, at = np.unique(np.concatenate([c.ravel() for c, _ in found]), return_inverse=True)
+            yield pd.DataFrame({"kind": kind, "gram": grams.astype(np.int64), "n": np.bincount(at, weights=np.concatenate([k for _, k in found])).astype(np.int64)})
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for (half, toxic), own in pdf.groupby(["half", "toxic"]):
+            for kind, own in pdf.groupby("kind")["text"]:
                 words: Counter = Counter()
-                for text in own["text"]:
+                for text in own:
                     words.update(lower(text))
-                n = np.fromiter(words.values(), np.int64, len(words))
-                if len(words):
-                    found = [(codes(data), np.repeat(n[owner], data.shape[1] + 1)) for owner, data in by_length(list(words), SPAN)]
-                    grams, at = np.unique(np.concatenate([c.ravel() for c, _ in found]), return_inverse=True)
-                    yield pd.DataFrame({"kind": 2 * half + toxic, "gram": grams.astype(np.int64), "n": np.bincount(at, weights=np.concatenate([k for _, k in found])).astype(np.int64)})
-
-    counted = sample.select("half", "toxic", "text").mapInPandas(count, "kind int, gram long, n int")
-    wide = counted.groupBy("gram").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).cast("int").alias(f"n{k}") for k in range(4)]).fillna(0)
-    grams, counts = [np.zeros(0, np.uint64)], [np.zeros((0, 4), np.int32)]
+                    if len(words) > MOST_WORDS:
+                        yield from counts(kind, words)
+                        words.clear()
+                yield from counts(kind, words)
+
+    counted = texts.select("kind", "text").mapInPandas(count, "kind int, gram long, n long")
+    wide = counted.groupBy("gram").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(f"n{k}") for k in range(OTHER)]).fillna(0)
+    grams, out = [np.zeros(0, np.uint64)], [np.zeros((0, OTHER), np.int64)]
     for batch in wide.toArrow().to_batches(max_chunksize=100_000):
         grams.append(batch["gram"].to_numpy().astype(np.uint64))
-        counts.append(np.column_stack([batch[f"n{k}"].to_numpy(zero_copy_only=False).astype(np.int32) for k in range(4)]))
-    return np.concatenate(grams), np.concatenate(counts)
+        out.append(np.column_stack([batch[f"n{k}"].to_numpy(zero_copy_only=False) for k in range(OTHER)]))
+    return np.concatenate(grams), np.concatenate(out)
 
 
-def _models(grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Models:
+def _models(grams: np.ndarray, base: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Models:
     seen = (ordinary > 0) | (toxic > 0)
-    return Models(grams[seen], ordinary[seen].astype(float), toxic[seen].astype(float))
+    return Models(grams[seen], base[seen], ordinary[seen].astype(float), toxic[seen].astype(float))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_DOCS) -> Scorer:
@@ -176,17 +191,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = sample_by_class(known, "toxic", "id", per_class)
     at = F.pmod(F.xxhash64(F.lit(2), "id"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1)) + 1
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    sample = settle(texts.join(F.broadcast(few), "id").select("id", F.substring("text", at.cast("int"), F.lit(TRAIN_CHARS)).alias("text"), "toxic", (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2))).cast("int").alias("half")))
-    grams, counts = _gram_counts(sample)
+    half = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2)).cast("int")
+    sample = settle(texts.join(F.broadcast(few), "id").select("id", F.substring("text", at.cast("int"), F.lit(TRAIN_CHARS)).alias("text"), "toxic", half.alias("half")))
     shown = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     toxic = sum(n for (_, y), n in shown.items() if y == 1)
     if len({y for _, y in shown}) < 2:
         return Scorer(None, np.zeros(4), float(toxic > 0))
-    whole = _models(grams, counts[:, 0] + counts[:, 2], counts[:, 1] + counts[:, 3])
+    marks = F.broadcast(known) if known.count() <= MOST_MARKS else known
+    grams, counts = _gram_counts(texts.join(marks, "id", "left").select(F.coalesce(2 * half + F.col("toxic"), F.lit(OTHER)).alias("kind"), "text"))
+    base = Shared(np.sort(grams)).p(grams)
+    whole = _models(grams, base, counts[:, 0] + counts[:, 2], counts[:, 1] + counts[:, 3])
     if not (counts > 0).any(0).all():
         return Scorer(whole, np.array([1.0, 1.0, 1.0, -1.0]), 0.0)  # too few rows for halves
-    halves = sample.sparkSession.sparkContext.broadcast([_models(grams, counts[:, 2 * h], counts[:, 2 * h + 1]) for h in (1, 0)])
-    del grams, counts
+    halves = sample.sparkSession.sparkContext.broadcast([_models(grams, base, counts[:, 2 * h], counts[:, 2 * h + 1]) for h in (1, 0)])
+    del grams, base, counts
 
     def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memos = [WordMemo(m.score, 3) for m in halves.value]

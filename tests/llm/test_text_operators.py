@@ -174,6 +174,31 @@ def test_toxicity(spark, odd_documents, empty_documents):
     assert toxicity.with_toxicity(empty_documents, scorer).count() == 0
 
 
+def test_toxicity_counts_all_labelled_texts(spark):
+    """Counts come from all labelled documents and whole texts, beyond the sample of the logistic curve; the shared ones from all documents."""
+    rng = random.Random(5)
+    plain = ["".join(rng.choice(["ba", "co", "di", "fu"]) for _ in range(3)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(plain, k=20)) + (f" grubby vile{i:03d}" if i % 2 else f" mild{i:03d}"), i % 2) for i in range(200)]
+    rows.append((200, " ".join(rng.choices(plain, k=15_000)) + " zonkwix " + " ".join(rng.choices(plain, k=15_000)), 1))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(300, "unlabelled otherwise"), (301, None)], "doc_id long, text string")
+    scorer = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), per_class=20)
+    words = [Counter(), Counter()]
+    for _, text, y in rows:
+        words[y].update(toxicity.lower(text))
+    grams = [Counter(), Counter()]
+    for own, out in zip(words, grams, strict=True):
+        for owner, data in by_length(list(own), toxicity.SPAN):
+            n = list(own.values())
+            for o, line in zip(owner, toxicity.codes(data).tolist(), strict=True):
+                for g in line:
+                    out[g] += n[o]
+    seen = np.array(sorted(grams[0] | grams[1]), np.uint64)
+    other = np.concatenate([toxicity.codes(m).ravel() for _, m in by_length([b"unlabelled", b"otherwise"], toxicity.SPAN)])
+    base = toxicity.Shared(np.unique(np.concatenate([seen, other]))).p(seen)
+    want = toxicity.Models(seen, base, *[np.array([out[g] for g in seen.tolist()], float) for out in grams])
+    assert (scorer.models.grams == want.grams).all() and np.allclose(scorer.models.ratio, want.ratio, atol=1e-5) and np.allclose(scorer.models.unseen, want.unseen, atol=1e-5)
+
+
 def test_kneser_ney_sums_to_one():
     words = [b"abba", b"abc", b"b"]
     grams = np.unique(np.concatenate([toxicity.codes(m).ravel() for _, m in by_length(words, 24)]))
