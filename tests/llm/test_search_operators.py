@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelcube.llm import ann, decontaminate, minhash
+from parcelcube.llm import ann, decontaminate, minhash, queries
 from parcelcube.llm.components import connected_components
 from parcelcube.llm.decontaminate import common_length, leaks
 from parcelcube.llm.shingles import shingle_hashes, super_minhash
@@ -126,6 +126,61 @@ def test_few_neighbours(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_the_registered_query(spark, sf):
+    """The measured recall that the contract asks for, on every test table; scores are exact and ranks without gaps."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist(), float)
+    df = queries.queries()["op3_ann"](spark, f"/root/testdata/{sf}")
+    assert dict(df.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
+    got, at, hits = df.toPandas().sort_values(["query_id", "rank"]), {i: n for n, i in enumerate(ids)}, []
+    assert set(got["query_id"]) == set(ids[ids % 20 == 0].tolist())
+    for q, own in got.groupby("query_id"):
+        score = x @ x[at[q]]
+        score[at[q]] = -np.inf
+        found = [at[i] for i in own["vec_id"]]
+        assert own["rank"].tolist() == list(range(1, 21)) and np.allclose(score[found], own["score"], atol=1e-12) and (np.diff(own["score"]) <= 1e-12).all()
+        hits.append(len(set(found) & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["clusters", "few directions", "no structure"])
+def test_scan_abandons_early_and_loses_little(kind):
+    rng = np.random.default_rng(4)
+    if kind == "clusters":
+        x = rng.normal(size=(50, 64))[rng.integers(0, 50, 6_000)] + 0.5 * rng.normal(size=(6_000, 64))
+    elif kind == "few directions":
+        x = rng.normal(size=(6_000, 8)) @ rng.normal(size=(8, 64)) + 0.1 * rng.normal(size=(6_000, 64))
+    else:
+        x = rng.normal(size=(6_000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    norm = np.linalg.norm(x, axis=1).max()
+    index = ann.Index(x, norm, 40, 20)
+    q = x[:200]
+    score = q @ x.T
+    bound = ((q * q).sum(1) - 2 * np.sort(score, axis=1)[:, -21]) / norm**2 + 1
+    scan = ann.Scan(index, x, index.lists_of(x), 21)
+    who, row, _ = scan.best(q, [np.arange(40)] * 200, bound + 1e-9)
+    found = set(zip(who.tolist(), row.tolist(), strict=True))
+    best = np.argsort(-score, axis=1)[:, :21]
+    assert sum((i, j) in found for i in range(200) for j in best[i].tolist()) >= 0.97 * 200 * 21
+    assert scan.read <= {"clusters": 0.4, "few directions": 0.6, "no structure": 0.75}[kind] * scan.all
+
+
+def test_beta_quantile():
+    draws = np.random.default_rng(0).beta(4, 28, 200_000)
+    assert (draws <= ann.beta_quantile(4, 28, 0.99)).mean() == pytest.approx(0.99, abs=0.002)
+
+
+def test_neighbours_in_double_precision_and_of_several_lengths(spark):
+    tiny = 2.0**-40
+    rows = [(0, [1.0, 0.0]), (1, [1.0 + tiny, 0.0]), (2, [1.0 + 2 * tiny, 1.0]), (3, [1e200, 0.0]), (4, [1.0, 0.0, 5.0]), (20, [0.0, 1.0, 2.0]), (None, [9.0, 9.0]), (40, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect()]
+    assert got[:4] == [(0, 1, 3, 1e200), (0, 2, 2, 1.0 + 2 * tiny), (0, 3, 1, 1.0 + tiny), (0, 4, 40, 1.0)]
+    assert got[4:] == [(20, 1, 4, 10.0), (40, 1, 3, 1e200), (40, 2, 2, 1.0 + 2 * tiny), (40, 3, 1, 1.0 + tiny), (40, 4, 0, 1.0)]
+
+
 def test_leaks(spark, odd_documents, empty_documents):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice(["ba", "ce", "di", "fo", "gu", "ha"]) for _ in range(4))
