@@ -37,7 +37,7 @@ from parcelcube.llm.common import hash_share, settle
 
 TRAIN_ROWS, ROUNDS, MOST_LISTS = 20_000, 8, 2_048
 ASKED, RECALL = 256, 0.96
-UNIT_ROWS, UNIT_QUERIES, BLOCK, ALPHA = 4_096, 4_096, 8, 0.004
+UNIT_ROWS, UNIT_QUERIES, BLOCK, ALPHA = 2_048, 4_096, 8, 0.004
 #: The nearest lists that give the first bound hold so many times as many vectors as are sought.
 FIRST = 16
 #: Squared distances of vectors scaled to at most unit length that differ less are decided by the exact scores.
@@ -213,8 +213,7 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
     counts = asked.groupBy("h1", "h2").agg(F.count("*").alias("asks"))
     questions = settle(classes.join(counts, ["h1", "h2"]).select("h1", "h2", F.col("cid").alias("qid"), F.col("vec").alias("q"), "asks"))
 
-    most = F.array_max(F.transform("vec", F.abs))
-    norm = most * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))  # without overflow
+    norm = F.aggregate("vec", F.lit(0.0), F.hypot)  # large components do not overflow
     facts = classes.agg(F.count("*").alias("n"), F.max(norm).alias("norm")).first()
     sample = classes.where(hash_share("cid", 5) < TRAIN_ROWS / max(1, facts["n"])).select("cid", "vec").toPandas().sort_values("cid")["vec"].tolist() or [r["vec"] for r in classes.orderBy("cid").select("vec").limit(1).collect()]
     lists = max(1, min(MOST_LISTS, round(facts["n"] ** 0.5), -(-len(sample) // 8)))
