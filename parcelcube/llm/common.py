@@ -143,10 +143,9 @@ def hash_share(column: str, seed: int) -> Column:
 
 
 def sample_by_class(df: DataFrame, label: str, id_col: str, per_class: int, seed: int = 11) -> DataFrame:
-    """About per_class rows of each class, by a hash of the id: a bounded sample to fit a classifier on."""
+    """About per_class rows of each class, by a hash of the id (so ids are distinct): a bounded sample to fit a classifier on."""
     sizes = df.groupBy(label).agg(F.count("*").alias("n")).collect()  # one row per class
     if not sizes:
         return df.limit(0)
     share = df.sparkSession.createDataFrame([(r[label], min(1.0, per_class / r["n"])) for r in sizes], f"__label {df.schema[label].dataType.simpleString()}, __share double")
-    near = df.join(F.broadcast(share), F.col(label) == F.col("__label")).where(hash_share(id_col, seed) < F.col("__share"))
-    return near.drop("__label", "__share").limit(2 * per_class * len(sizes))
+    return df.join(F.broadcast(share), F.col(label) == F.col("__label")).where(hash_share(id_col, seed) < F.col("__share")).drop("__label", "__share")

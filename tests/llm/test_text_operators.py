@@ -174,38 +174,81 @@ def test_toxicity(spark, odd_documents, empty_documents):
     assert toxicity.with_toxicity(empty_documents, scorer).count() == 0
 
 
-def test_toxicity_counts_all_labelled_texts(spark):
-    """Counts come from all labelled documents and whole texts, beyond the sample of the logistic curve; the shared ones from all documents."""
+def plain_ratios(docs, shown):
+    """Grams and log ratios by dictionaries: docs are all texts, shown the labelled (text, class) pairs, each text once."""
+    from math import log
+
+    def grams_of(word):
+        raw = b"\x01" * 5 + word + b"\x02"
+        return [raw[i : i + 6] for i in range(len(raw) - 5)]
+
+    level, base_of = {g for t in docs for w in set(t.lower().encode().split()) for g in grams_of(w)}, []
+    for order in range(5, 0, -1):
+        n = Counter(g[-order:] for g in level)
+        level = set(n)
+        total, kinds = Counter(), Counter()
+        for g, c in n.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        base_of.append((order, n, total, kinds))
+
+    def base(g):
+        out, weight = 0.0, 1.0
+        for order, n, total, kinds in base_of:
+            h = g[-order:-1]
+            out += weight * max(n[g[-order:]] - 0.75, 0) / total[h]
+            weight *= 0.75 * kinds[h] / total[h]
+        return out + weight / 256
+
+    counts = [Counter(g for t, y in shown if y == k for w in set(t.lower().encode().split()) for g in grams_of(w)) for k in (0, 1)]
+    total, kinds = [Counter(), Counter()], [Counter(), Counter()]
+    for k in (0, 1):
+        for g, c in counts[k].items():
+            total[k][g[:-1]] += c
+            kinds[k][g[:-1]] += 1
+    out = {}
+    for g in counts[0] | counts[1]:
+        n = [total[k][g[:-1]] for k in (0, 1)]
+        p = [(max(counts[k][g] - 0.75, 0) + 0.75 * kinds[k][g[:-1]] * base(g)) / n[k] if n[k] else base(g) for k in (0, 1)]
+        if not all(n):
+            continue
+        share = (counts[0][g] + counts[1][g]) / sum(n)
+        test = 2 * sum(x * log(x / e) for k in (0, 1) for x, e in ((counts[k][g], n[k] * share), (n[k] - counts[k][g], n[k] * (1 - share))) if x)
+        if test >= toxicity.SIGNIFICANT and abs(log(p[1] / p[0])) >= log(toxicity.FACTOR):
+            out[int.from_bytes(g, "big")] = log(p[1] / p[0])
+    return out, base
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_toxicity_equals_a_plain_kneser_ney_scorer(spark, monkeypatch, parts):
+    """Counts of whole texts of all labelled documents, beyond the sample of the curve, shared ones of all documents; the score is a rising curve of the mean ratio."""
     rng = random.Random(5)
     plain = ["".join(rng.choice(["ba", "co", "di", "fu"]) for _ in range(3)) for _ in range(40)]
     rows = [(i, " ".join(rng.choices(plain, k=20)) + (f" grubby vile{i:03d}" if i % 2 else f" mild{i:03d}"), i % 2) for i in range(200)]
-    rows.append((200, " ".join(rng.choices(plain, k=15_000)) + " zonkwix " + " ".join(rng.choices(plain, k=15_000)), 1))
-    docs = spark.createDataFrame([r[:2] for r in rows] + [(300, "unlabelled otherwise"), (301, None)], "doc_id long, text string")
-    scorer = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), per_class=20)
-    words = [Counter(), Counter()]
-    for _, text, y in rows:
-        words[y].update(toxicity.lower(text))
-    grams = [Counter(), Counter()]
-    for own, out in zip(words, grams, strict=True):
-        for owner, data in by_length(list(own), toxicity.SPAN):
-            n = list(own.values())
-            for o, line in zip(owner, toxicity.codes(data).tolist(), strict=True):
-                for g in line:
-                    out[g] += n[o]
-    seen = np.array(sorted(grams[0] | grams[1]), np.uint64)
-    other = np.concatenate([toxicity.codes(m).ravel() for _, m in by_length([b"unlabelled", b"otherwise"], toxicity.SPAN)])
-    base = toxicity.Shared(np.unique(np.concatenate([seen, other]))).p(seen)
-    want = toxicity.Models(seen, base, *[np.array([out[g] for g in seen.tolist()], float) for out in grams])
-    assert (scorer.models.grams == want.grams).all() and np.allclose(scorer.models.ratio, want.ratio, atol=1e-5) and np.allclose(scorer.models.unseen, want.unseen, atol=1e-5)
-
-
-def test_kneser_ney_sums_to_one():
-    words = [b"abba", b"abc", b"b"]
-    grams = np.unique(np.concatenate([toxicity.codes(m).ravel() for _, m in by_length(words, 24)]))
-    shared = toxicity.Shared(grams)
-    for head in (b"\x01\x01\x01\x01\x01", b"\x01\x01abb"[-5:], b"zzzzz"):
-        base = int.from_bytes(head, "big") << 8
-        assert shared.p(np.array([base + c for c in range(256)], np.uint64)).sum() == pytest.approx(1)
+    rows.append((200, " ".join(rng.choices(plain, k=12_000)) + " zonkwix " * 3 + " ".join(rng.choices(plain, k=12_000)), 1))
+    rows += [(400 + i, rows[1][1], 1) for i in range(50)]  # copies count once
+    texts = [*[r[:2] for r in rows], (300, "unlabelled otherwise grubbier"), (301, None), (302, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    if parts > 1:
+        monkeypatch.setattr(toxicity, "MOST_GRAMS", 1)
+    scorer = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), per_class=60)
+    want, _ = plain_ratios([t for _, t in texts if t], sorted({(t, y) for _, t, y in rows}))
+    got = {r["gram"]: r["ratio"] for r in scorer.ratios.where("ratio != 0").collect()}
+    assert want and got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in got) and (scorer.parts >= parts)
+    assert scorer.slope > 0
+    for r in toxicity.with_toxicity(docs, scorer, name="clash").collect():
+        words = (r["text"] or "").lower().encode().split()
+        raw = [b"\x01" * 5 + w[k : k + 24] + b"\x02" for w in words for k in range(0, len(w), 24)]
+        total = sum(want.get(int.from_bytes(x[i : i + 6], "big"), 0) for x in raw for i in range(len(x) - 5))
+        mean = total / max(1, sum(len(x) - 5 for x in raw))
+        assert r["clash"] == pytest.approx(1 / (1 + np.exp(-np.clip(scorer.slope * mean + scorer.bias, -30, 30))), abs=1e-6)
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one, other = toxicity.train(docs.repartition(1), labels), toxicity.train(docs.repartition(5), labels.repartition(3))
+    assert (one.slope, one.bias) == pytest.approx((other.slope, other.bias), rel=1e-9)
+    assert {tuple(r) for r in one.ratios.select("gram", F.round("ratio", 9)).collect()} == {tuple(r) for r in other.ratios.select("gram", F.round("ratio", 9)).collect()}
 
 
 def test_licenses(spark, odd_documents, empty_documents):
