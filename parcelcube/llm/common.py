@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; where it is unset, a local one in local mode (as in tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="parcelcube-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -32,26 +34,61 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage is cut, and any executor can be lost.
 
-    The files are removed when the application ends.
+    The files are removed by release(), or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/parcelcube-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of settled tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._settled_at)
+        _written.remove((df.sparkSession, df._settled_at))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone already
             return
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_keys(df: DataFrame, key: str, parts: int = 1_000) -> DataFrame:
+    """(key, salts): keys with more than one in `parts` of the rows, so `parts` rows at most, and how many shares to deal them in."""
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    share = max(100, -(-(df.count()) // parts))
+    return counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts"))
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """Join of many with one (one row per key) in which the rows of a hot key are dealt over several tasks by the column `by`."""
+    hot = F.broadcast(settle(hot_keys(many, key)))
+    dealt = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copies = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def fold(column: str, k: int) -> Column:
     """crc32 of the id as text, modulo k."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % k

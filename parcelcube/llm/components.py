@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelcube.llm.common import settle
+from parcelcube.llm.common import release, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (id, label): every node that has a link to another, and the least id it can reach."""
     at = settle(edges.select("a", "b").where("a != b").distinct())
     while not _is_forest_of_stars(at):
-        at = settle(_small_star(_large_star(at)))
+        before, at = at, settle(_small_star(_large_star(at)))
+        release(before)
     return at.select(F.col("a").alias("id"), F.col("b").alias("label")).union(at.select("b", F.col("b")).distinct())
 
 
