@@ -7,7 +7,8 @@
    the terms are counted over all passages; terms in more than MAX_SHARE of them carry no weight, but
    every passage of an item keeps its KEEP rarest terms.
 3. A distributed randomised SVD of the normalised TF-IDF passages A: each task adds up A'(A R) for a random
-   matrix R, the sums meet per term, and an orthonormal base of them spans the leading right singular space.
+   matrix R of RANK + OVERSAMPLE columns, the sums meet per term, and a small factorisation of this sketch gives
+   the RANK leading right singular vectors by their singular values.
 4. Passages whose weight suffices are projected and compared with all passages of items by cosine, in
    blocks; those over MIN_COSINE are candidates for the item.
 5. In the surroundings of a candidate the longest common subsequence with the item is taken. At COPY of the
@@ -19,7 +20,7 @@ passages of items at a time, each block with its own broadcast, and all findings
 
 Defined cases: null and empty texts and items never match; items without words are left out; an item
 that occurs several times in a document gives one row, with its best match; repeated rows of a document give one
-row; an empty table on either side gives an empty result; other columns are ignored.
+row; a row with a null id gives a row with a null id; ids are integers; an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from parcelcube.llm.common import chunks, settle
 from parcelcube.llm.shingles import word_hashes
 
-STRIDE, RANK, MAX_SHARE, KEEP, BLOCK = 16, 64, 0.01, 3, 2_000
+STRIDE, RANK, OVERSAMPLE, MAX_SHARE, KEEP, BLOCK = 16, 64, 8, 0.01, 3, 2_000
 MIN_WEIGHT, MIN_COSINE, COPY, PARAPHRASE = 0.35, 0.45, 0.8, 0.6
 
 #: Bytes of text hashed at a time; the arrays in between take about fifty times as much.
@@ -177,14 +178,17 @@ def common_length(item: list[int], words: list[int]) -> int:
 
 
 def _encoded(docs: DataFrame, terms: Terms) -> DataFrame:
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            texts = [t.encode("utf-8", "replace") if t else b"" for t in pdf["text"]]
-            for a, b in chunks(texts, HASH_BYTES):
-                found = list(terms.encode(texts[a:b]))
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[a:b], "n_words": [n for n, _, _ in found], "places": [p for _, p, _ in found], "ids": [i for _, _, i in found]})
+    """(id, text) -> (id, n_words, places, ids)."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
-    return docs.mapInPandas(encode, "id long, n_words int, places array<int>, ids array<int>")
+    @F.pandas_udf("n_words int, places array<int>, ids array<int>")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in parts:
+            texts = [t.encode("utf-8", "replace") if t else b"" for t in series]
+            found = [x for a, b in chunks(texts, HASH_BYTES) for x in shared.value.encode(texts[a:b])]
+            yield pd.DataFrame({"n_words": [n for n, _, _ in found], "places": [p for _, p, _ in found], "ids": [i for _, _, i in found]})
+
+    return docs.withColumn("e", encode("text")).select("id", "e.*")
 
 
 def _frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -204,34 +208,51 @@ def _frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
+def leading(start: np.ndarray, sums: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors of A, by falling singular value, from start (random) and sums = A'(A start).
+
+    The factorisation of a sketch by Nystrom's method: sums (start' sums)^-1 sums' is near A'A, and its factors come from a
+    Cholesky decomposition and a small singular value decomposition. Directions without weight are left out.
+    """
+    shift = np.finfo(float).eps * np.linalg.norm(sums) * len(start) ** 0.5 + 1e-300
+    sums = sums + shift * start
+    gram = start.T @ sums
+    values, turn = np.linalg.eigh((gram + gram.T) / 2)
+    values = np.maximum(values, values.max() * 1e-12)
+    left, singular, _ = np.linalg.svd(sums @ (turn / np.sqrt(values)), full_matrices=False)
+    weight = np.maximum(singular**2 - shift, 0)
+    return left[:, : max(1, min(rank, int((weight > weight[0] * 1e-9).sum())))]
+
+
 def _base(encoded: DataFrame, idf: np.ndarray, number: np.ndarray, items: Rows, passages: int, rank: int, seed: int = 17) -> np.ndarray:
     """Orthonormal base (terms, rank) of the leading right singular space of the TF-IDF passages.
 
     The items' passages count too, weighted to count as much as all those of the documents.
     """
-    start = np.random.default_rng(seed).normal(size=(len(idf), rank)).astype(np.float32)
+    rank, wide = min(rank, len(idf)), min(rank + OVERSAMPLE, len(idf))
+    start = np.random.default_rng(seed).normal(size=(len(idf), wide)).astype(np.float32)
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(idf), rank))
+        total = np.zeros((len(idf), wide))
         for part in parts:
             batch = Batch(part, idf, number)
             for a in range(0, len(batch.starts), AT_ONCE):
                 rows = np.arange(a, min(a + AT_ONCE, len(batch.starts)))
                 own = slice(batch.starts[a], batch.starts[rows[-1]] + batch.sizes[rows[-1]])
                 back = np.ascontiguousarray((batch.project(start, rows)[batch.row[own] - a] * batch.weight[own, None]).T)
-                for j in range(rank):
+                for j in range(wide):
                     total[:, j] += np.bincount(batch.ids[own], weights=back[j], minlength=len(idf))
         seen = np.flatnonzero(total.any(1))
         if len(seen):
-            offsets = pa.array(np.arange(len(seen) + 1) * rank, pa.int32())
+            offsets = pa.array(np.arange(len(seen) + 1) * wide, pa.int32())
             yield pa.RecordBatch.from_pydict({"term": pa.array(seen, pa.int32()), "v": pa.ListArray.from_arrays(offsets, pa.array(total[seen].ravel()))})
 
-    sums = encoded.select("n_words", "places", "ids").mapInArrow(add, "term int, v array<double>").groupBy("term").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(rank)])
-    out = np.zeros((len(idf), rank))
+    sums = encoded.select("n_words", "places", "ids").mapInArrow(add, "term int, v array<double>").groupBy("term").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(wide)])
+    out = np.zeros((len(idf), wide))
     found = sums.toPandas()  # one row per term of the block
     out[found["term"].to_numpy(int)] = found.drop(columns="term").to_numpy(float)
     out += passages / len(items) * items.back(items.project(start), len(idf))
-    return np.linalg.qr(out)[0].astype(np.float32)
+    return leading(start.astype(float), out, rank).astype(np.float32)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:
@@ -269,7 +290,7 @@ def _search(encoded: DataFrame, idf: np.ndarray, own: list[np.ndarray], owner: n
     number[used] = np.arange(len(used))
     idf = idf[used]
     rows = Rows([number[p][number[p] >= 0] for p in own], idf)
-    base = _base(encoded, idf, number, rows, passages, min(rank, len(idf)))
+    base = _base(encoded, idf, number, rows, passages, rank)
     vectors = rows.project(base)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     shared = encoded.sparkSession.sparkContext.broadcast((idf, number, base, vectors, rows.norm, owner, [(i, w.tolist(), answer) for i, w, answer in items]))
@@ -279,7 +300,7 @@ def _search(encoded: DataFrame, idf: np.ndarray, own: list[np.ndarray], owner: n
         for part in parts:
             batch, out, whole = Batch(part, idf, number), [], set()
             keep = np.flatnonzero(batch.norm >= MIN_WEIGHT * weights.min())
-            names = part.column("id").to_numpy()
+            names = part.column("id").to_pylist()
             for a in range(0, len(keep), AT_ONCE):
                 rows = keep[a : a + AT_ONCE]
                 projected = batch.project(base, rows)
@@ -292,7 +313,7 @@ def _search(encoded: DataFrame, idf: np.ndarray, own: list[np.ndarray], owner: n
                 for row, n, value in zip(rows[r[first]].tolist(), owner[j[first]].tolist(), best.tolist(), strict=True):
                     doc, window, (item, words, answer) = int(batch.doc[row]), int(batch.window[row]), items[n]
                     if (doc, n) in whole:  # no other match is better
-                        out.append((int(names[doc]), item, 1.0, value))
+                        out.append((names[doc], item, 1.0, value))
                         continue
                     start, end = batch.bounds[doc], batch.bounds[doc + 1]
                     lo, hi = start + np.searchsorted(batch.places[start:end], (window * STRIDE - len(words), (window + 2) * STRIDE + len(words)))
@@ -304,7 +325,7 @@ def _search(encoded: DataFrame, idf: np.ndarray, own: list[np.ndarray], owner: n
                     if share == 1:
                         whole.add((doc, n))
                     if share >= COPY or (share >= PARAPHRASE and answer <= seen):
-                        out.append((int(names[doc]), item, share, value))
+                        out.append((names[doc], item, share, value))
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_pydict({"id": pa.array(columns[0], pa.int64()), "item": pa.array(columns[1], pa.int64()), "matched": pa.array(columns[2], pa.float64()), "cosine": pa.array(columns[3], pa.float64())})

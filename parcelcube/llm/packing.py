@@ -7,10 +7,10 @@ partner that still fits; smaller items, by falling size, go to the fullest seque
 The plan needs only how many items each length has, at most `capacity` numbers, and speaks of runs of
 alike sequences: (length, ranks, first sequence, items per sequence, offset). Its size depends on the
 capacity alone. Items then find their sequence by their rank among the items of their length, which is
-counted over hashed buckets of about BUCKET_ROWS rows.
+counted over hashed buckets of about BUCKET_ROWS rows; rows that repeat are spread over the buckets too.
 
 Defined cases: a null or empty text is the end id alone; texts of any length are cut, never shortened;
-repeated rows are packed each; an empty table gives an empty result; other columns are ignored.
+repeated rows are packed each; ids of any type stay as they are, null ones too; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,20 +133,19 @@ def pieces_of(df: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_
     """id_col, piece, start, length, ids_crc32: documents cut where they are longer than the capacity."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(tokenizer)
-        for pdf in parts:
-            out: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(pdf["__id"].tolist(), encoder.encode(pdf["__text"].tolist()), strict=True):
+        for texts in parts:
+            out = []
+            for ids in encoder.encode(texts.tolist()):
                 ids += end
-                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    for to, x in zip(out, (doc, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
-                        to.append(x)
-            yield pd.DataFrame(dict(zip(("__id", "piece", "start", "length", "ids_crc32"), out, strict=True)))
+                starts = range(0, len(ids) // 4, capacity)
+                pieces = [ids[4 * start : 4 * (start + capacity)] for start in starts]
+                out.append([{"piece": n, "start": start, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for n, (start, x) in enumerate(zip(starts, pieces, strict=True))])
+            yield pd.Series(out, dtype=object)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInPandas(cut, f"__id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("__id", id_col)
+    return df.select(F.col(id_col), F.explode(cut(F.col(text_col))).alias("__p")).select(id_col, "__p.*")
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -195,15 +194,15 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> tuple[list[tuple[in
 def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     """Adds sequence_id and offset to pieces (id_col, piece, start, length, ids_crc32)."""
     spark = pieces.sparkSession
-    pieces = settle(pieces)
+    pieces = settle(pieces.withColumn("__row", F.monotonically_increasing_id()))  # written once, so the numbers stay
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs, _ = plan_sequences(counts, capacity)
     plan = spark.createDataFrame(runs, "length long, first long, last long, sequence long, each long, at long")
     buckets = spark.createDataFrame([(size, min(MOST_BUCKETS, -(-n // BUCKET_ROWS))) for size, n in counts.items()], "length long, buckets long")
-    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.col("buckets")))
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("__row"), F.col("buckets")))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id_col, "piece", "start", "ids_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("__row")) - 1
     ranked = dealt.withColumn("inside", inside).join(starts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("inside"))
     nth = F.col("rank") - F.col("first")
     return (

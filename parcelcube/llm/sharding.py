@@ -47,6 +47,7 @@ def shard_by_size(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text)).alias("__a"),
         F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit("again"), text)).alias("__b"),
+        F.monotonically_increasing_id().alias("__row"),  # written once, so the numbers stay
     ))
     groups = rows.groupBy("__a", "__b").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     n_items = shards * items_per_shard
@@ -61,15 +62,15 @@ def shard_by_size(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     placed = schedule([(r["item"], r["bytes"]) for r in items], shards)
     plan = spark.createDataFrame([(r["item"], placed[r["item"]], -(-r["n"] // SLOT_ROWS)) for r in items], "item string, shard int, salts long")
     large = spark.createDataFrame([(r["__a"], r["__b"], r["item"]) for r in items if r["large"]], "__a long, __b long, __large string")
-    salt = F.pmod(F.xxhash64(id_col), F.col("salts"))
+    salt = F.pmod(F.xxhash64("__row"), F.col("salts"))
     dealt = (
         rows.join(F.broadcast(large), ["__a", "__b"], "left").withColumn("item", F.coalesce("__large", small))
         .join(F.broadcast(plan), "item").withColumn("salt", salt)
-        .select(id_col, "size", "text_crc32", "item", "shard", "salt")
+        .select(id_col, "size", "text_crc32", "item", "shard", "salt", "__row")
     )
     before = Window.partitionBy("shard").orderBy("item", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "item", "salt").agg(F.count("*").alias("n")).select("shard", "item", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("item", "salt").orderBy(id_col, "size", "text_crc32"))
+    rank = F.row_number().over(Window.partitionBy("item", "salt").orderBy("__row"))
     return (
         dealt.withColumn("rank", rank).join(starts.drop("shard"), ["item", "salt"])
         .select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -12,7 +12,9 @@ which scores them hasn't counted (it leaves out their fold).
 
 Counts of the classes come from the whole texts of all labelled documents, and the shared ones from the texts of all
 documents. Spark aggregates, tests and joins them; only grams that differ decisively are kept for scoring, and they are
-broadcast MOST_GRAMS at a time. The curve is fitted on a sample: about TRAIN_DOCS labelled documents per class, by hash.
+broadcast MOST_GRAMS at a time. The curve is fitted on a sample: about TRAIN_DOCS labelled documents per class, by hash,
+weighted by the square roots of the classes' sizes among all labelled texts: between equal weights, which find more, and
+natural ones, by which a text without evidence has the share of toxic ones.
 
 Defined cases: a null or empty text scores as a text without evidence; without labels of both classes
 every score is the share of toxic labels (0 without labels); repeated rows are scored each; a document
@@ -86,12 +88,12 @@ class Ratios:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
-    """Slope and bias of a logistic curve, with equal weight on both classes, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, toxic_share: float, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
+    """Slope and bias of a logistic curve by Newton's method; y weighs as if toxic_share of it were 1."""
     scale = max(float(np.std(x)), 1e-9)
     a = np.column_stack([x / scale, np.ones(len(x))])
     w = np.zeros(2)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    weight = np.where(y > 0, toxic_share / max(1, (y > 0).sum()), (1 - toxic_share) / max(1, (y == 0).sum())) * len(y)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
@@ -229,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         found = sample.select("id", "toxic", "fold", "text").mapInPandas(describe, f"id {kind}, toxic int, x double").toPandas().sort_values(["id", "x"])
         folds.unpersist()
         seen = found if seen is None else seen.assign(x=seen["x"].to_numpy() + found["x"].to_numpy())
-    scorer.slope, scorer.bias = logistic(seen["x"].to_numpy(), seen["toxic"].to_numpy(float))
+    scorer.slope, scorer.bias = logistic(seen["x"].to_numpy(), seen["toxic"].to_numpy(float), shown[1] ** 0.5 / (shown[0] ** 0.5 + shown[1] ** 0.5))
     return scorer
 
 

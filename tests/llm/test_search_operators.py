@@ -268,3 +268,124 @@ def test_pipeline_keeps_columns_and_acts(spark):
     leaked = docs.union(spark.createDataFrame([(90_003, f"word {bench} word", "en", "s", 5)], docs.schema))
     assert corpus_pipeline.unleaked(spark, leaked, SF).where("doc_id = 90003").count() == 0
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_leading_singular_vectors():
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(300, 6)) @ np.diag([9, 7, 5, 3, 2, 1.0]) @ np.linalg.qr(rng.normal(size=(40, 6)))[0].T + 1e-3 * rng.normal(size=(300, 40))
+    start = rng.normal(size=(40, 12))
+    got = decontaminate.leading(start, a.T @ (a @ start), 4)
+    true = np.linalg.svd(a)[2][:4].T
+    assert got.shape == (40, 4) and np.allclose(got.T @ got, np.eye(4), atol=1e-8) and np.linalg.svd(true.T @ got)[1].min() > 0.999
+    assert abs(true[:, 0] @ got[:, 0]) > 0.95  # by falling singular value
+
+
+@pytest.mark.parametrize("size", [10, 20, 45, 90, 400, 2000])
+def test_leaks_against_all_windows(spark, size):
+    """Every item against every window of its length: what holds 80 % of it in order is found, what holds less than 60 % is not."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice(["ba", "ce", "di", "fo", "gu", "ha"]) for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(size))) for i in range(3)]
+    docs = []
+    for i in range(12):
+        own = items[i % 3][1].split()
+        share = (1.0, 0.9, 0.5, 0.3)[i // 3]
+        changed = set(rng.sample(range(size), round((1 - share) * size)))
+        words = [word() for _ in range(rng.randint(0, 200))]
+        at = rng.randint(0, len(words))
+        words[at:at] = [word() if k in changed else w for k, w in enumerate(own)]
+        docs.append((i, " ".join(words)))
+
+    def best(text, item):
+        words, own = text.split(), item.split()
+        number = {w: n for n, w in enumerate(dict.fromkeys(own))}
+        ids, coded = [number[w] for w in own], [number.get(w, -1) for w in words]
+        step = max(1, size // 20)
+        return max(common_length(ids, coded[max(0, a - size) : a + 2 * size]) for a in range(0, len(words), step)) / size
+
+    exact = {(d, i): best(t, item) for d, t in docs for i, item in items}
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {p for p, s in exact.items() if s >= decontaminate.COPY} <= set(got) and not {p for p, s in exact.items() if s < decontaminate.PARAPHRASE} & set(got)
+    assert all(r["matched"] == pytest.approx(exact[p], abs=0.02) for p, r in got.items()) and {(i, i % 3) for i in range(6)} <= set(got)
+
+
+BIG = (1 << 60) + 1
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark, tmp_path_factory):
+    """Documents with null and large ids, repeated rows and clashing columns, and a folder with the tables the stages read."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [
+        (BIG, f"{text} fifteen"), (BIG + 2, f"{text} fifteen"), (None, f"{text} fifteen"), (None, "a text of its own without an id that nobody else has got at all"), (None, "a text of its own without an id that nobody else has got at all"),
+        (BIG + 4, "the same row twice is one document in the end as it should be"), (BIG + 4, "the same row twice is one document in the end as it should be"), (BIG + 6, None), (BIG + 8, ""), (None, None),
+        (None, f"before {bench} after"), (BIG + 10, f"before {bench} behind"), (BIG + 12, "12 34 !!"), (BIG + 14, "word " * 30_000),
+    ]
+    odd = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], base.schema)
+    docs = base.where("doc_id < 60").union(odd).withColumns({c: F.lit(f"own {c}") for c in ("lang_pred", "lang_score", "toxic_score", "kept", "document", "nth", "keys", "id", "n")})
+    return docs.persist()
+
+
+def ids_and_texts(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_stages_on_odd_rows(spark, odd_rows):
+    import corpus_pipeline as P
+
+    empty = odd_rows.where("false")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd_rows, SF)
+        assert out.columns == odd_rows.columns and stage(spark, empty, SF).count() == 0, name
+        assert out.where(" OR ".join(f"{c} != 'own {c}'" for c in ("lang_pred", "lang_score", "toxic_score", "kept", "document", "nth", "keys", "id", "n"))).count() == 0, name
+        assert {r for r in ids_and_texts(out)} <= {r for r in ids_and_texts(odd_rows)}, name
+    assert P.packed(spark, empty, SF).count() == 0
+
+
+def test_language_and_toxicity_stages_keep_rows(spark, odd_rows):
+    import corpus_pipeline as P
+
+    kept = ids_and_texts(P.language(spark, odd_rows, SF))
+    gone = [r for r in ids_and_texts(odd_rows) if r not in kept]
+    assert set(gone) <= {(BIG + 6, None), (BIG + 8, ""), (None, None), (BIG + 12, "12 34 !!")} and len(gone) == 4 and len(kept) == odd_rows.count() - 4
+    clean = ids_and_texts(P.clean(spark, odd_rows, SF))
+    assert [r for r in ids_and_texts(odd_rows) if r[0] is None or r[0] >= BIG] == [r for r in clean if r[0] is None or r[0] >= BIG]
+    more = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{more}/{t}.parquet") for t in ("documents", "labels"))
+    left = {r[0] for r in ids_and_texts(P.clean(spark, docs, more))}
+    marked = {r["doc_id"]: r["toxic"] for r in labels.where("toxic IS NOT NULL").collect()}
+    assert sum(i not in left for i, y in marked.items() if y) >= 0.75 * sum(marked.values()) and all(i in left for i, y in marked.items() if not y)
+
+
+def test_near_dedup_stage_leaves_one_row_of_each_group(spark, odd_rows):
+    import corpus_pipeline as P
+
+    kept = [r for r in ids_and_texts(P.distinct(spark, odd_rows, SF)) if r[0] is None or r[0] >= BIG]
+    assert [r[0] for r in kept if r[1] and r[1].startswith("one two")] == [BIG]
+    assert len([r for r in kept if r[1] and r[1].startswith("a text of its own")]) == 1 and len([r for r in kept if r[0] == BIG + 4]) == 1
+    assert {(BIG + 6, None), (BIG + 8, ""), (None, None)} <= set(kept)
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd_rows.select("doc_id", "text").where(f"doc_id >= {BIG} OR doc_id IS NULL"), k=5).collect()}
+    assert {(BIG, BIG, True), (BIG + 2, BIG, False), (None, BIG, False), (None, None, True), (BIG + 4, BIG + 4, True)} <= found
+
+
+def test_decontamination_and_packing_stages_keep_ids(spark, odd_rows):
+    import corpus_pipeline as P
+
+    kept = ids_and_texts(P.unleaked(spark, odd_rows, SF))
+    assert not [r for r in kept if r[1] and r[1].startswith("before ")] and len([r for r in kept if r[0] is None or r[0] >= BIG]) == 12
+    rows = P.packed(spark, odd_rows, SF).where(f"doc_id >= {BIG} OR doc_id IS NULL").collect()
+    whole = [r for r in odd_rows.collect() if r["doc_id"] is None or r["doc_id"] >= BIG]
+    assert sorted((r["doc_id"] for r in rows if r["piece"] == 0), key=str) == sorted((r["doc_id"] for r in whole), key=str) and len(rows) > len(whole)
+
+
+def test_decontamination_with_more_items_than_a_block(spark, odd_rows, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice(["ba", "ce", "di", "fo", "gu", "ha"]) for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(25))) for i in range(2_500)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = spark.createDataFrame([(i, f"some words {items[i][1]} and more") for i in (0, 1_999, 2_000, 2_499)] + [(9_000, "nothing of the kind here")], "doc_id long, text string")
+    assert ids_and_texts(P.unleaked(spark, rows, str(tmp_path))) == [(9_000, "nothing of the kind here")]
