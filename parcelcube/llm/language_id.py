@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from parcelcube.llm.common import chunks
 
-HIDDEN, CORE, MARGIN = 12, 192, 16
+HIDDEN, CORE, MARGIN = 8, 240, 16
 TRAIN_ROWS, TRAIN_CHARS, EPOCHS, BATCH = 1_500, 96, 2, 24
 #: Windows read at a time, and characters of text cut into windows at a time.
-AT_ONCE, CHUNK = 2_048, 1_000_000
+AT_ONCE, CHUNK = 1_024, 500_000
 PAD = 256
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -54,18 +54,23 @@ class Direction:
 
     def forward(self, data: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """data: (time, windows) -> states (time, hidden, windows). The half in the sigmoids' arguments is left to the weights."""
-        d = self.hidden
-        state = np.zeros((d, data.shape[1]), self.u.dtype)
-        out, trace = np.empty((len(data), d, data.shape[1]), self.u.dtype), []
+        d, wide, kind = self.hidden, data.shape[1], self.u.dtype
+        state = np.zeros((d, wide), kind)
+        out, trace = np.empty((len(data), d, wide), kind), []
+        x, h, n = np.empty((3 * d, wide), kind), np.empty((3 * d, wide), kind), np.empty((d, wide), kind)
         for t, column in enumerate(data):
-            x, h = self.x[:, column], self.u @ state
-            gates = _sigmoid(x[: 2 * d] + h[: 2 * d])
-            z, r = gates[:d], gates[d:]
-            n = np.tanh(x[2 * d :] + r * h[2 * d :])
+            np.take(self.x, column, axis=1, out=x)
+            np.matmul(self.u, state, out=h)
+            gates = x[: 2 * d]
+            gates += h[: 2 * d]
+            _sigmoid(gates)
+            np.multiply(gates[d:], h[2 * d :], out=n)
+            n += x[2 * d :]
+            np.tanh(n, out=n)
             if keep:
-                trace.append((state, z, r, n, h[2 * d :]))
+                trace.append((state, gates[:d].copy(), gates[d:].copy(), n.copy(), h[2 * d :].copy()))
             np.subtract(state, n, out=out[t])
-            out[t] *= z
+            out[t] *= gates[:d]
             out[t] += n
             state = out[t]
         return out, trace

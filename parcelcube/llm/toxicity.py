@@ -46,6 +46,8 @@ START, END = 1, 2
 FOLDS = 5
 #: Kind of documents without a label; the others are 2 * fold + toxic.
 OTHER = 2 * FOLDS
+#: Characters counted at a time in a task.
+COUNTED = 1_000_000
 #: Labels (an id and a number each) that are broadcast; with more, texts are shuffled to them.
 MOST_MARKS = 8_000_000
 #: Grams (20 bytes each) that are broadcast at a time; with more, texts are read once for each part of them.
@@ -131,7 +133,7 @@ def _counted(texts: DataFrame) -> DataFrame:
         for pdf in parts:
             for kind, own in pdf.groupby("kind")["text"]:
                 texts = own.tolist()
-                for a, b in chunks(texts):
+                for a, b in chunks(texts, COUNTED):
                     words: Counter = Counter()
                     for text in texts[a:b]:
                         words.update(set(lower(text)))
