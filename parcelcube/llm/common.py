@@ -11,12 +11,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that reach a Python worker at a time, in bytes.
+BATCH_BYTES = 4 << 20
 #: Text handled at a time inside a Python worker, in characters.
 CHUNK_CHARS = 4_000_000
 _written: list[tuple[SparkSession, str]] = []
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches hold at most BATCH_BYTES, whatever the length of the texts in them, unless the session asks for less."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m").lower().removesuffix("b")
+    size = int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +48,7 @@ def settle(df: DataFrame) -> DataFrame:
     The files are removed by release(), or else when the application ends.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark).rstrip('/')}/parcelcube-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
