@@ -48,17 +48,17 @@ def array_median(a: Column) -> Column:
 
 
 def speckle_median(df: DataFrame, bands: Iterable[str], image: Iterable[str] = ("parcel_id", "sensor", "time")) -> DataFrame:
-    """3 x 3 median per image; beyond an edge the edge pixel is repeated. Two windows, no join."""
+    """3 x 3 median per image; beyond an edge, or where a neighbour has no row, the pixel is repeated. Two windows, no join."""
     keys = list(image)
     across, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
 
-    def neighbours(c: Column, window) -> Column:  # noqa: ANN001
-        held = F.struct(c.alias("v"))
-        near = [F.coalesce(F.lag(held).over(window), held), held, F.coalesce(F.lead(held).over(window), held)]
+    def neighbours(c: Column, axis: str, window) -> Column:  # noqa: ANN001
+        held = F.struct(c.alias("v"), F.col(axis).alias("at"))
+        near = [F.when(F.abs(s["at"] - F.col(axis)) == 1, s).otherwise(held) for s in (F.lag(held).over(window), held, F.lead(held).over(window))]
         return F.transform(F.array(*near), lambda s: s["v"])
 
-    rows = df.withColumns({f"__r_{b}": neighbours(F.col(b), across) for b in bands})
-    return rows.withColumns({b: array_median(F.flatten(neighbours(F.col(f"__r_{b}"), down))) for b in bands}).select(df.columns)
+    rows = df.withColumns({f"__r_{b}": neighbours(F.col(b), "x", across) for b in bands})
+    return rows.withColumns({b: array_median(F.flatten(neighbours(F.col(f"__r_{b}"), "y", down))) for b in bands}).select(df.columns)
 
 
 def calibrate_radar(df: DataFrame, image: Iterable[str] = ("parcel_id", "sensor", "time")) -> DataFrame:

@@ -144,13 +144,17 @@ def mask(df: DataFrame, shape: str, cell: float, erosion_cells: float = 0.0, cub
         hit = inside & (far >= (erosion_cells - 0.5) * cell)
     else:
         hit = inside | (far <= 1.5 * cell)
+    # a cell is judged once, whatever the number of its times; shapes do not reach the window
+    some = F.coalesce(*[F.col(b) for b in bands]).isNotNull() if bands else F.lit(True)
+    place = [F.col(c) for c in cube]
+    cells = df.groupBy(*place, "y", "x").agg(F.min("x_coord").alias("x_coord"), F.min("y_coord").alias("y_coord"), F.first(shape).alias(shape), F.max(some).alias("__some"))
     centre = centroid_mean(s)
+    cells = cells.select(*cube, "y", "x", F.coalesce(hit, F.lit(False)).alias("__hit"), "__some", F.abs(x - centre["x"]).alias("__dx"), F.abs(y - centre["y"]).alias("__dy"))
     w = Window.partitionBy(*cube)
-    some = F.col("__hit") & (F.coalesce(*[F.col(b) for b in bands]).isNotNull() if bands else F.lit(True))
-    rows = df.withColumn("__hit", F.coalesce(hit, F.lit(False))).withColumns({"__cx": centre["x"], "__cy": centre["y"]})
-    rows = rows.withColumns({
-        "__kept": F.count_if(some).over(w),
-        "__x": F.min(F.struct(F.abs(x - F.col("__cx")).alias("d"), F.col("x").alias("v"))).over(w)["v"],
-        "__y": F.min(F.struct(F.abs(y - F.col("__cy")).alias("d"), F.col("y").alias("v"))).over(w)["v"],
+    cells = cells.withColumns({
+        "__kept": F.max(F.col("__hit") & F.col("__some")).over(w),
+        "__x": F.min(F.struct(F.col("__dx").alias("d"), F.col("x").alias("v"))).over(w)["v"],
+        "__y": F.min(F.struct(F.col("__dy").alias("d"), F.col("y").alias("v"))).over(w)["v"],
     })
-    return rows.where(F.when(F.col("__kept") > 0, F.col("__hit")).otherwise((F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")))).select(df.columns)
+    kept = cells.where(F.when(F.col("__kept"), F.col("__hit")).otherwise((F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")))).select(*cube, "y", "x")
+    return df.join(kept, [*cube, "y", "x"], "left_semi").select(df.columns)

@@ -14,28 +14,34 @@ MAX_R, MID_R, SAT, GAMMA, G_OFF = 3.0, 0.13, 1.2, 1.8, 0.01
 LINEAR_BELOW, LINEAR, ENCODE, POWER, SHIFT = 0.0031308, 12.92, 1.055, 0.41666666666, 0.055
 
 
+def _unit(c: Column) -> Column:
+    """Bounds of 0 and 1 on a value that is not null, without repeating it."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
 def byte(c: Column) -> Column:
-    return F.floor(clip(c, 0.0, 1.0) * 255).cast("int")
+    return F.when(c.isNotNull(), F.floor(_unit(c) * 255).cast("int"))
 
 
-def _contrast(c: Column) -> Column:
-    a, knee = clip(c / MAX_R, 0.0, 1.0), MID_R / MAX_R
+def _contrast(a: Column) -> Column:
+    knee, low = MID_R / MAX_R, G_OFF**GAMMA
     curve = F.coalesce(F.try_divide(a * (a * knee - 1.0), a * (2.0 * knee - 1.0) - knee), F.lit(0.0))
-    low = G_OFF**GAMMA
     return (F.pow(curve + G_OFF, F.lit(GAMMA)) - low) / ((1.0 + G_OFF) ** GAMMA - low)
 
 
 def _encode(c: Column) -> Column:
-    return F.when(c <= LINEAR_BELOW, LINEAR * c).otherwise(ENCODE * F.pow(F.greatest(c, F.lit(0.0)), F.lit(POWER)) - SHIFT)
-
-
-def true_colour(red: Column, green: Column, blue: Column) -> Column:
-    """Contrast, saturation and sRGB encoding; a missing band makes the pixel transparent."""
-    r, g, b = (_contrast(F.coalesce(c, F.lit(0.0))) for c in (red, green, blue))
-    grey = (r + g + b) / 3.0 * (1.0 - SAT)
-    out = [byte(_encode(clip(grey + c * SAT, 0.0, 1.0))) for c in (r, g, b)]
-    alpha = F.when(red.isNotNull() & green.isNotNull() & blue.isNotNull(), 255).otherwise(0)
-    return F.struct(out[0].alias("r"), out[1].alias("g"), out[2].alias("b"), alpha.alias("a"))
+    return F.when(c <= LINEAR_BELOW, LINEAR * c).otherwise(ENCODE * F.pow(c, F.lit(POWER)) - SHIFT)
+
+
+def true_colour(df: DataFrame, red: Column, green: Column, blue: Column) -> DataFrame:
+    """Adds r, g, b and a: contrast, saturation and sRGB encoding, a step of columns each; a missing band makes the pixel transparent."""
+    bands = {"r": red, "g": green, "b": blue}
+    whole = red.isNotNull() & green.isNotNull() & blue.isNotNull()
+    out = df.withColumns({"a": F.when(whole, 255).otherwise(0), **{c: _unit(F.coalesce(v, F.lit(0.0)) / MAX_R) for c, v in bands.items()}})
+    out = out.withColumns({c: _contrast(F.col(c)) for c in bands})
+    out = out.withColumn("__grey", (F.col("r") + F.col("g") + F.col("b")) / 3.0 * (1.0 - SAT))
+    out = out.withColumns({c: _unit(F.col("__grey") + F.col(c) * SAT) for c in bands}).drop("__grey")
+    return out.withColumns({c: _encode(F.col(c)) for c in bands}).withColumns({c: byte(F.col(c)) for c in bands})
 
 
 def stretch(df: DataFrame, columns: Iterable[str], image: Iterable[str], low: float = 0.02, high: float = 0.98) -> DataFrame:

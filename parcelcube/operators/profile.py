@@ -116,3 +116,15 @@ def log_progress(lines: DataFrame, text: str = "value", file: str = "file") -> D
     """Per log file: done, failed, or running, by the words in its lines."""
     done, fail = F.count_if(F.lower(text).contains("done")), F.count_if(F.lower(text).contains("fail"))
     return lines.groupBy(file).agg(F.when(fail > 0, "failed").when(done > 0, "done").otherwise("running").alias("status"))
+
+
+def yearly_values(df: DataFrame, time: str, value: str, samples: str) -> DataFrame:
+    """Per year: mean, least, greatest and number of the values, and the sum of the samples behind them."""
+    v = F.col(value)
+    return df.groupBy(F.year(time).alias("year")).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"), F.sum(samples).alias("n_samples"))
+
+
+def timestep_values(df: DataFrame, time: str, value: str) -> DataFrame:
+    """Per time step with a value: least, greatest, mean and population deviation."""
+    v = F.col(value)
+    return df.where(v.isNotNull()).groupBy(F.col(time).alias("time")).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))

@@ -125,21 +125,40 @@ def split_by_year(year: Column, validation: int, test: int) -> Column:
     return F.when(year < validation, "train").when(year == validation, "val").when(year == test, "test")
 
 
+def seeded(seed: int, key: Iterable[str]) -> Column:
+    """A fixed pseudo-random text per key, which any engine with MD5 can repeat."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
+
+
 def split_by_hash(df: DataFrame, key: Iterable[str], test: float = 0.2, val: float = 0.2, seed: int = 42) -> DataFrame:
-    """Exact sizes: test takes the ceiling of its share, then val of the rest, in the order of a seeded hash."""
+    """Exact sizes: test takes the ceiling of its share, then val of the rest, in the order of a seeded hash.
+
+    Ranks come from buckets of the hash, counted first, so no task sees more than about 1/65536 of the rows.
+    """
     n = df.count()
     n_test = -int(-n * test // 1)
     n_val = -int(-(n - n_test) * val // 1)
-    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), *key), *key))
-    return df.withColumn("__r", rank).withColumn("split", F.when(F.col("__r") <= n_test, "test").when(F.col("__r") <= n_test + n_val, "val").otherwise("train")).drop("__r")
+    key = list(key)
+    rows = df.withColumn("__h", seeded(seed, key)).withColumn("__b", F.substring("__h", 1, 4))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("__b").agg(F.count("*").alias("n")).select("__b", before.alias("__before"))  # 65536 rows at most
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", *key))
+    ranked = rows.join(F.broadcast(starts), "__b").withColumn("__r", rank)
+    return ranked.withColumn("split", F.when(F.col("__r") <= n_test, "test").when(F.col("__r") <= n_test + n_val, "val").otherwise("train")).drop("__r", "__h", "__b", "__before")
 
 
 def sample_keys(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """All rows of n distinct keys, chosen by a seeded hash."""
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(seeded(seed, [key]), key).limit(n)
     return df.join(keys, key, "left_semi")
 
 
+def sample_rows(df: DataFrame, key: Iterable[str], n: int, seed: int = 42) -> DataFrame:
+    """n rows (all, if fewer) in the order of a seeded hash of their key."""
+    key = list(key)
+    return df.orderBy(seeded(seed, key), *key).limit(n)
+
+
 def first_rows(df: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

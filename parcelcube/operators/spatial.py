@@ -28,10 +28,18 @@ def spatial_stats(df: DataFrame, keys: Iterable[str], layers: Iterable[str], sta
     return df.groupBy(*keys).agg(*[STATS[s](F.col(layer)).alias(name) for name, layer, s in stat_columns(layers, stats)])
 
 
-def fuse(df: DataFrame, keys: Iterable[str], columns: Iterable[str], order: Iterable[Column | str]) -> DataFrame:
-    """Rows of several sensors into one per key: the first value by order that is not null."""
-    rank = F.struct(*order)
-    return df.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in columns])
+def fuse(df: DataFrame, keys: Iterable[str], columns: Iterable[str], order: Iterable[Column | str], totals: Iterable[str] = ()) -> DataFrame:
+    """Rows of several sensors into one per key: the first value by order that is not null; columns in totals are summed."""
+    rank, totals = F.struct(*order), set(totals)
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) if c in totals else F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in columns])
+
+
+def nearest_time(df: DataFrame, keys: Iterable[str], time: str, at: Column, columns: Iterable[str]) -> DataFrame:
+    """The row of each key whose time is nearest to `at`: of two as near the earlier one, then the least columns. Rows without a time are left out."""
+    columns = list(columns)
+    gap = F.abs(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(at.cast("timestamp")))
+    best = df.where(F.col(time).isNotNull()).groupBy(*keys).agg(F.min(F.struct(gap.alias("gap"), F.col(time).alias(time), *columns)).alias("__best"))
+    return best.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in [time, *columns]])
 
 
 def unpack(df: DataFrame, keys: Iterable[str], variables: Iterable[str], variable: str = "variable", value: str = "value") -> DataFrame:

@@ -55,7 +55,7 @@ def dataset(cubes: Mapping[str, DataFrame], config: DatasetConfig, aoi: DataFram
     if not config.fuse:
         return out.drop("__rank", "time")
     values = [c for c in out.columns if c not in {"parcel_id", "sensor", "year", "month", "time", "__rank"}]
-    return fuse(out, ["parcel_id", "year", "month"], values, ["__rank", "time"])
+    return fuse(out, ["parcel_id", "year", "month"], values, ["__rank", "time"], totals=["n_samples"])
 
 
 def extract_features(series: DataFrame, config: FeaturesConfig, months: list[int] | None = None) -> DataFrame:

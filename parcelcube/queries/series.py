@@ -174,6 +174,13 @@ def fuse_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fuse(e, ["parcel_id", "day"], ["a", "b"], ["rank", "ts", "event_id"])
 
 
+@register("fuse_samples", """WITH e AS (SELECT user_id AS parcel_id, CAST(date_trunc('day', ts) AS DATE) AS day, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS rank, ts, event_id, value AS a, CAST(event_id % 7 AS BIGINT) AS n_samples FROM events)
+SELECT parcel_id, day, first(a ORDER BY rank, ts, event_id) FILTER (a IS NOT NULL) AS a, CAST(sum(n_samples) AS BIGINT) AS n_samples FROM e GROUP BY 1, 2""")
+def fuse_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").selectExpr("user_id AS parcel_id", "to_date(ts) AS day", "CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS rank", "ts", "event_id", "value AS a", "event_id % 7 AS n_samples")
+    return S.fuse(e, ["parcel_id", "day"], ["a", "n_samples"], ["rank", "ts", "event_id"], totals=["n_samples"])
+
+
 @register("cube_unpack", """SELECT user_id AS parcel_id, ts AS time, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY 1, 2""")
 def cube_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").groupBy("user_id", "ts", "event_type").agg(F.max("value").alias("value"))

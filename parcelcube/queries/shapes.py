@@ -112,7 +112,7 @@ e AS (SELECT vec_id, y, x, unnest(['r', 'g', 'b']) AS k, unnest([r, g, b]) * 1.2
 SELECT vec_id, y, x, CAST(max(floor(least(greatest(o, 0), 1) * 255)) FILTER (k = 'r') AS INTEGER) AS r, CAST(max(floor(least(greatest(o, 0), 1) * 255)) FILTER (k = 'g') AS INTEGER) AS g, CAST(max(floor(least(greatest(o, 0), 1) * 255)) FILTER (k = 'b') AS INTEGER) AS b, 255 AS a FROM f GROUP BY 1, 2, 3""")
 def rgb_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir)
-    return g.select("vec_id", "y", "x", V.true_colour(F.col("v"), F.col("v") * 2, F.col("v") + 0.2).alias("c")).select("vec_id", "y", "x", "c.*")
+    return V.true_colour(g.select("vec_id", "y", "x", "v"), F.col("v"), F.col("v") * 2, F.col("v") + 0.2).select("vec_id", "y", "x", "r", "g", "b", "a")
 
 
 @register("sar_rgb", f"""WITH {GRID}, c AS (SELECT vec_id, y, x, v AS r, v * v AS g, v - v * v AS b FROM g), q AS (SELECT vec_id, {', '.join(f'quantile_cont({k}, 0.02) AS {k}0, quantile_cont({k}, 0.98) AS {k}1' for k in 'rgb')} FROM c GROUP BY 1)

@@ -9,6 +9,7 @@ from parcelcube.catalog import register
 from parcelcube.operators import ml
 from parcelcube.operators import profile as P
 from parcelcube.operators import relational as R
+from parcelcube.operators import spatial as S
 from parcelcube.plans import pipelines
 from parcelcube.queries.base import M, monthly, read, rounded
 from parcelcube.sources import readers
@@ -202,8 +203,7 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("nearest_time", "SELECT o_custkey, first(o_orderkey ORDER BY abs(epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1998-06-01')), o_orderdate, o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
 def nearest_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gap = F.abs(F.unix_micros(F.col("o_orderdate").cast("timestamp")) - F.unix_micros(F.lit("1998-06-01").cast("timestamp")))
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(gap, "o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    return S.nearest_time(read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", F.lit("1998-06-01"), ["o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
 @register("date_window", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-06-01' GROUP BY 1")
@@ -234,14 +234,19 @@ def split_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", R.split_by_year(F.year("o_orderdate"), 1998, 1999).alias("split"))
 
 
-@register("split_hash", "WITH n AS (SELECT count(*) AS n FROM orders), t AS (SELECT n, CAST(ceil(n * 0.2) AS BIGINT) AS a FROM n), v AS (SELECT n, a, CAST(ceil((n - a) * 0.2) AS BIGINT) AS b FROM t) SELECT 'test' AS split, a AS n FROM v UNION ALL SELECT 'val', b FROM v UNION ALL SELECT 'train', n - a - b FROM v")
+@register("split_hash", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) AS r, count(*) OVER () AS n FROM orders), t AS (SELECT *, CAST(ceil(n * 0.2) AS BIGINT) AS a FROM r) SELECT o_orderkey, CASE WHEN r <= a THEN 'test' WHEN r <= a + CAST(ceil((n - a) * 0.2) AS BIGINT) THEN 'val' ELSE 'train' END AS split FROM t")
 def split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.split_by_hash(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"]).groupBy("split").agg(F.count("*").alias("n"))
+    return R.split_by_hash(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
-@register("sample_keys", "SELECT least(100, count(DISTINCT o_custkey)) AS n_keys FROM orders")
+@register("sample_keys", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY md5('42|' || o_custkey), o_custkey LIMIT 100)")
 def sample_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sample_keys(read(spark, sf_dir, "orders"), "o_custkey", 100).agg(F.count_distinct("o_custkey").alias("n_keys"))
+    return R.sample_keys(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 100)
+
+
+@register("sample_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7|' || o_orderkey), o_orderkey LIMIT 50")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sample_rows(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 50, seed=7)
 
 
 _ERR = "e AS (SELECT c_mktsegment AS variety, o_totalprice AS gt, o_totalprice * 0.9 + o_custkey AS p FROM orders JOIN customer ON c_custkey = o_custkey)"
@@ -341,15 +346,13 @@ def monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("processed_yearly", "SELECT CAST(year(l_shipdate) AS INTEGER) AS year, round(avg(l_discount), 6) AS mean, min(l_discount) AS min, max(l_discount) AS max, count(l_discount) AS n, round(sum(l_quantity), 2) AS n_samples FROM lineitem GROUP BY 1")
 def processed_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.year("l_shipdate").alias("year")).agg(F.round(F.avg("l_discount"), 6).alias("mean"), F.min("l_discount").alias("min"), F.max("l_discount").alias("max"), F.count("l_discount").alias("n"), F.round(F.sum("l_quantity"), 2).alias("n_samples"))
+    return P.yearly_values(read(spark, sf_dir, "lineitem"), "l_shipdate", "l_discount", "l_quantity").withColumns({"mean": F.round("mean", 6), "n_samples": F.round("n_samples", 2)})
 
 
 @register("timestep_stats", "SELECT l_shipdate AS time, min(l_tax) AS min, max(l_tax) AS max, round(avg(l_tax), 6) AS mean, round(stddev_pop(l_tax), 6) AS std FROM (SELECT l_shipdate, nullif(l_tax, 0) AS l_tax FROM lineitem) GROUP BY 1 HAVING count(l_tax) > 0")
 def timestep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select("l_shipdate", F.nullif(F.col("l_tax"), F.lit(0.0)).alias("v"))
-    out = rows.groupBy(F.col("l_shipdate").alias("time")).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"), F.count("v").alias("n"))
-    return out.where("n > 0").drop("n")
+    return P.timestep_values(rows, "l_shipdate", "v").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @register("dry_run", "SELECT count(*) FILTER (y < 1998) AS n_train, count(*) FILTER (y = 1998) AS n_val, count(*) FILTER (y = 1999) AS n_test, count(*) FILTER (y <= 1998 AND v IS NULL) AS nulls_v, 'v' AS targets, 'absent' AS missing_targets FROM (SELECT year(l_shipdate) AS y, nullif(l_tax, 0) AS v FROM lineitem)")

@@ -108,6 +108,27 @@ def test_speckle_repeats_the_edge(spark):
     assert [r["v"] for r in B.speckle_median(df, ["v"]).orderBy("x").collect()] == [1.0, 3.0, 3.0]
 
 
+def test_speckle_on_a_sparse_grid(spark):
+    """A neighbour without a row is no neighbour: the pixel itself stands in, not the next row there is."""
+    df = spark.createDataFrame([("p", "s", 1, 0, x, float(v)) for x, v in ((0, 1), (1, 9), (5, 100), (9, 7))], "parcel_id string, sensor string, time int, y int, x int, v double")
+    assert {r["x"]: r["v"] for r in B.speckle_median(df, ["v"]).collect()} == {0: 1.0, 1: 9.0, 5: 100.0, 9: 7.0}
+
+
+def test_fuse_sums_samples_and_nearest_time(spark):
+    df = spark.createDataFrame([("p", 1, None, 3), ("p", 2, 5.0, 4), ("q", 1, 1.0, None)], "k string, r int, a double, n_samples int")
+    assert {r["k"]: (r["a"], r["n_samples"]) for r in S.fuse(df, ["k"], ["a", "n_samples"], ["r"], totals=["n_samples"]).collect()} == {"p": (5.0, 7), "q": (1.0, None)}
+    times = spark.createDataFrame([("p", "2020-01-01", 1), ("p", "2020-01-09", 2), ("p", None, 3), ("q", None, 4)], "k string, t string, v int").withColumn("t", F.to_timestamp("t"))
+    got = S.nearest_time(times, ["k"], "t", F.lit("2020-01-05"), ["v"]).collect()
+    assert [(r["k"], r["v"]) for r in got] == [("p", 1)]
+
+
+def test_samples_repeat_and_cover(spark):
+    df = spark.range(100).withColumn("k", F.col("id") % 10)
+    assert R.sample_rows(df, ["id"], 7).count() == 7 and R.sample_rows(df, ["id"], 700).count() == 100
+    assert {r["id"] for r in R.sample_rows(df, ["id"], 7).collect()} == {r["id"] for r in R.sample_rows(df.repartition(3), ["id"], 7).collect()}
+    assert R.sample_keys(df, "k", 3).groupBy("k").count().where("count = 10").count() == 3
+
+
 def test_season_metrics(spark):
     got = one(X.season_metrics(series(spark), ["v"]))
     expected = {"POS": 6, "AOS": 0.615, "SOS": 4, "EOS": 9, "LOS": 5, "ROG": 0.25, "ROS": -0.30, "integral": 3.35}
@@ -231,7 +252,8 @@ def test_mask_falls_back_to_the_nearest_pixel(spark):
 
 
 def test_composites(spark):
-    black = spark.createDataFrame([(0.0, 0.0, None)], "r double, g double, b double").select(V.true_colour(F.col("r"), F.col("g"), F.col("b")).alias("c")).first()["c"]
+    black = spark.createDataFrame([(0.0, 0.0, None)], "r double, g double, b double")
+    black = V.true_colour(black, F.col("r"), F.col("g"), F.col("b")).first()
     assert tuple(black) == (0, 0, 0, 0)
     with pytest.raises(ValueError):
         V.tracking_rvi(spark.createDataFrame([("p", datetime(2021, 3, 1), 0.5)], "p string, time timestamp_ntz, RVI double"), ["p"], "2021-03-01", "2021-06-01")
