@@ -86,16 +86,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def hot_keys(df: DataFrame, key: str, parts: int = 1_000) -> DataFrame:
-    """(key, salts): keys with more than one in `parts` of the rows, so `parts` rows at most, and how many shares to deal them in."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    share = max(100, -(-(df.count()) // parts))
-    return counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts"))
+#: Rows of one key that a task takes in a salted join.
+HOT_ROWS = 1_000
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
-    """Join of many with one (one row per key) in which the rows of a hot key are dealt over several tasks by the column `by`."""
-    hot = F.broadcast(settle(hot_keys(many, key)))
+    """Join of many with one (one row per key) in which the rows of a key with more than HOT_ROWS are dealt over several tasks by the column `by`.
+
+    Adaptive execution chooses how the list of such keys is joined: it has one in HOT_ROWS of the rows at most.
+    """
+    hot = many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
     dealt = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     copies = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return dealt.join(copies, [key, "__salt"]).drop("__salt")

@@ -96,16 +96,15 @@ def _stars(buckets: DataFrame) -> DataFrame:
     """Every member of a bucket (key, id, n) with the bucket's pivot: the member that is in the most and largest buckets."""
     weights = buckets.groupBy("id").agg(F.sum("members").alias("weight"))
     best = F.min(F.struct((-F.col("weight")).alias("w"), F.col("id")))
-    pivots = settle(buckets.join(weights, "id").groupBy("key").agg(best["id"].alias("pivot")))
+    pivots = buckets.join(weights, "id").groupBy("key").agg(best["id"].alias("pivot"))
     return salted_join(buckets, pivots, "key", "id").select("key", "id", "n", "pivot")
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (key, id, n, pivot, common) of buckets with several components, labelled, and those outside the largest one."""
-    named = settle(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     kinds = named.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("size", F.col("label").alias("most")))["most"].alias("most"))
-    mixed = settle(salted_join(named, kinds.where("kinds > 1").drop("kinds"), "key", "id"))
-    release(named)
+    mixed = settle(named.join(kinds.where("kinds > 1").drop("kinds"), "key"))
     return mixed.drop("most"), mixed.where("label != most").select("key", "pivot", F.col("id").alias("v"), F.col("n").alias("vn"), F.col("common").alias("vc"), F.col("label").alias("vl"))
 
 
@@ -177,8 +176,8 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     links = scored.where(linked).select(*_ordered("a", "b"))
     labels = connected_components(links)
     with_pivot = scored.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "common")
-    members = settle(stars.join(with_pivot, ["id", "pivot"], "left").withColumn("common", F.coalesce("common", "n")))
-    release(buckets, stars)
+    members = stars.join(with_pivot, ["id", "pivot"], "left").withColumn("common", F.coalesce("common", "n"))
+    release(buckets)
     members, apart = _apart(members, labels)
     marks = settle(_marks(scored, apart))
     found = settle(_compare(_leading(members, apart, marks), sets).where(linked).select("a", "b"))
@@ -190,7 +189,6 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     if not found.isEmpty():
         labels = connected_components(links.union(found))
     named = classes.select("h1", "h2", "id", "least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = settle(named)
     reached = named.groupBy("label").agg(F.min("least").alias("component"))
     named = named.join(reached, "label").select("h1", "h2", "component")
     out = signed.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
