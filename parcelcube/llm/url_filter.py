@@ -11,6 +11,7 @@ A rule with an empty host fits every url. Columns named as the results (host, pa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pandas as pd
@@ -34,7 +35,7 @@ def path_of(url: Column) -> Column:
 
 def segments(path: str) -> list[str]:
     """"/en/x" -> ["/", "en/", "x"]; whole segments end in a slash."""
-    return [s for s in path.replace("/", "/\0").split("\0") if s]
+    return re.findall(r"[^/]*/|[^/]+", path)
 
 
 class Trie:

@@ -321,6 +321,7 @@ def test_url_filter_paths_agree(spark):
     assert got[6] == ("a.b.c/x", "block") and got[9] == (None, "allow") and got[12] == ("/ads/", "block")
     assert U.url_filter(df.where("false"), rules).count() == 0
     assert U.url_filter(df, kind).count() == len(urls)
+    assert U.segments("/en//x") == ["/", "en/", "/", "x"] and U.segments("") == [] and U.Trie(rules).match("a.example.net", "/\0en/x") == ("net/", "block")
     with pytest.raises(ValueError):
         U.Trie([("maybe", "a", "/")])
 
