@@ -90,3 +90,9 @@ def tracking_rvi(df: DataFrame, pixel: Iterable[str], start: str, end: str, valu
 
 def growth_stage(df: DataFrame, pixel: Iterable[str], start: str, end: str, value: str = "NDVI") -> DataFrame:
     return month_composite(df, value, pixel, start, end, 0.0, 0.1, 0.7)
+
+
+def overlay(df: DataFrame, value: str, image: Iterable[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """A layer for a map: the value stretched to 0..255 between two quantiles of its image; a is 0 where it has none."""
+    out = df.withColumn("a", F.when(F.col(value).isNotNull(), 255).otherwise(0))
+    return stretch(out, [value], image, low, high).withColumn(value, byte(F.col(value)))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelcube.operators.relational import number_rows
+
 
 def year_summary(df: DataFrame, key: str, value: str, year: str = "year") -> DataFrame:
     """Per year and in all (label TOTAL): rows, distinct keys, sum, mean, median, sample deviation."""
@@ -27,8 +29,9 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
 def densify_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of every pair of seen values, absent ones 0. The grid is as large as the two value sets."""
     counts = df.groupBy(a, b).agg(F.count("*").alias("n"))
-    kinds = df.agg(F.array_sort(F.collect_set(b)).alias("__b"))
-    grid = df.select(a).distinct().join(F.broadcast(kinds), F.lit(True)).select(a, F.explode("__b").alias(b))
+    blocks = 64  # every value of a meets each block of the values of b
+    kinds = df.select(b).where(F.col(b).isNotNull()).distinct().withColumn("__k", F.pmod(F.xxhash64(b), F.lit(blocks)))
+    grid = df.select(a).distinct().withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(kinds, "__k").drop("__k")
     return grid.join(counts, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -73,8 +76,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def ecdf(df: DataFrame, column: str, tie: Iterable[str] = ()) -> DataFrame:
     """Share i/n of every row in sorted order; equal values keep different shares."""
     held = df.where(F.col(column).isNotNull())
-    n = held.agg(F.count("*").alias("__n"))
-    return held.withColumn("__i", F.row_number().over(Window.orderBy(column, *tie))).join(F.broadcast(n), F.lit(True)).withColumn("share", F.col("__i") / F.col("__n")).drop("__i", "__n")
+    return number_rows(held, [column, *tie]).withColumn("share", (F.col("__r") + 1) / F.col("__rows")).drop("__r", "__rows")
 
 
 def box(df: DataFrame, by: Iterable[str], column: str) -> DataFrame:
@@ -128,3 +130,15 @@ def timestep_values(df: DataFrame, time: str, value: str) -> DataFrame:
     """Per time step with a value: least, greatest, mean and population deviation."""
     v = F.col(value)
     return df.where(v.isNotNull()).groupBy(F.col(time).alias("time")).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+
+
+def with_targets(summary: DataFrame, targets: DataFrame, year: str = "year") -> DataFrame:
+    """A yearly summary with the targets of its years; years without any stay."""
+    return summary.join(targets, year, "left")
+
+
+def monthly_totals(df: DataFrame, keys: Iterable[str], time: str, value: str) -> DataFrame:
+    """Mean over the pixels of each time, summed by month."""
+    keys = list(keys)
+    at = df.groupBy(*keys, time).agg(F.avg(value).alias("__m"))
+    return at.groupBy(*keys, F.month(time).alias("month")).agg(F.sum("__m").alias("total"))

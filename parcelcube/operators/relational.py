@@ -85,7 +85,7 @@ def iqr_outliers(df: DataFrame, column: str, by: Iterable[str] = (), factor: flo
     """Rows beyond the quartiles by more than factor times their distance."""
     by = list(by)
     q = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
-    near = df.join(F.broadcast(q), by) if by else df.join(F.broadcast(q), F.lit(True))
+    near = df.join(q, by) if by else df.join(F.broadcast(q), F.lit(True))  # without groups q is one row
     spread = F.col("__q")[1] - F.col("__q")[0]
     return near.where((F.col(column) < F.col("__q")[0] - factor * spread) | (F.col(column) > F.col("__q")[1] + factor * spread)).drop("__q")
 
@@ -106,9 +106,38 @@ def duplicate_periods(df: DataFrame) -> DataFrame:
     )
 
 
+#: Ranges of a table that is numbered as a whole, and the rows drawn to set each bound.
+RANGES, DRAWN = 256, 16
+
+
+def number_rows(df: DataFrame, order: Iterable[str], to: str = "__r") -> DataFrame:
+    """Adds the position of every row in the whole table's order, from 0, and the number of all rows as `__rows`.
+
+    Rows fall into RANGES ranges by bounds from rows drawn by a hash; positions within a range follow the rows counted in
+    the ranges before it. The bounds set only how even the tasks are. No task sorts the whole table, unless its order has
+    one value only. Nulls come first.
+    """
+    order = list(order)
+    key = F.struct(*order)
+    drawn = df.select(key.alias("k"), F.xxhash64(*order).alias("h")).distinct().orderBy("h").limit(RANGES * DRAWN)
+    marks = drawn.agg(F.sort_array(F.collect_list("k")).alias("k"))
+    bounds = marks.select(F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.get("k", F.floor(i * F.size("k") / RANGES).cast("int"))).alias("__bounds"))
+    rows = df.join(F.broadcast(bounds), F.lit(True)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < key))).drop("__bounds")
+    span = Window.orderBy("__range")  # over RANGES rows
+    before = F.coalesce(F.sum("n").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    starts = rows.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__before"), total.alias("__rows"))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return rows.join(F.broadcast(starts), "__range").withColumn(to, F.col("__before") + nth - 1).drop("__range", "__before")
+
+
 def batch(df: DataFrame, order: Iterable[str], batches: int, number: int | None = None) -> DataFrame:
     """Numbers batches of near equal size from 1, the remainder on the first ones; or only one of them."""
-    out = df.withColumn("batch", F.ntile(batches).over(Window.orderBy(*order)))
+    r, n = F.col("__r"), F.col("__rows")
+    size, longer = F.floor(n / batches), n % batches
+    head = longer * (size + 1)
+    nth = F.when(r < head, F.floor(r / (size + 1))).otherwise(longer + F.floor((r - head) / F.greatest(size, F.lit(1)))) + 1
+    out = number_rows(df, order).withColumn("batch", nth.cast("int")).drop("__r", "__rows")
     return out if number is None else out.where(F.col("batch") == number)
 
 
@@ -166,5 +195,25 @@ def first_rows(df: DataFrame, keys: Iterable[str], order: Iterable[str]) -> Data
 
 def array_tasks(df: DataFrame, order: Iterable[str], sensors: list[str]) -> DataFrame:
     """(task_id, parcel, sensor) by position: the sensor runs fastest."""
-    ranked = df.withColumn("__r", F.row_number().over(Window.orderBy(*order)) - 1)
+    ranked = number_rows(df, order).drop("__rows")
     return ranked.select("*", F.posexplode(F.array(*[F.lit(s) for s in sensors])).alias("__s", "sensor")).withColumn("task_id", F.col("__r") * len(sensors) + F.col("__s")).drop("__r", "__s")
+
+
+def code_names(code: Column, names: dict) -> Column:
+    """The name of each code; null for a code without one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), code) if names else F.lit(None).cast("string")
+
+
+def difference_percent(a: Column, b: Column) -> Column:
+    """How much a differs from b, in percent of b; null where b is 0."""
+    return F.try_divide(a - b, b) * 100
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return F.try_divide(a, F.nullif(b, F.lit(0.0)))
+
+
+def with_book(df: DataFrame, book: DataFrame, key: str) -> DataFrame:
+    """Left join with a book of places; of a place that it lists twice every entry counts."""
+    return df.join(book, key, "left")

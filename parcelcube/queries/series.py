@@ -187,19 +187,19 @@ def cube_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unpack(e.selectExpr("user_id AS parcel_id", "ts AS time", "event_type AS variable", "value"), ["parcel_id", "time"], ["click", "view"])
 
 
-@register("cube_outer_merge", """WITH a AS (SELECT l_suppkey AS parcel_id, l_orderkey AS o, l_linenumber AS ln, l_tax AS va FROM lineitem WHERE l_linenumber <= 2 AND l_suppkey % 3 <> 0), b AS (SELECT l_suppkey AS parcel_id, l_orderkey AS o, l_linenumber AS ln, l_discount AS vb FROM lineitem WHERE l_linenumber >= 2 AND l_suppkey % 5 <> 0)
-SELECT parcel_id, o, ln, va, vb FROM a FULL JOIN (SELECT * FROM b WHERE parcel_id IN (SELECT parcel_id FROM a)) USING (parcel_id, o, ln)""")
+@register("cube_outer_merge", """WITH a AS (SELECT o_custkey AS parcel_id, o_orderkey AS o, o_totalprice AS va FROM orders WHERE o_orderstatus <> 'O'), b AS (SELECT o_custkey AS parcel_id, o_orderkey AS o, o_orderpriority AS vb FROM orders WHERE o_orderstatus <> 'F')
+SELECT parcel_id, o, va, vb FROM a FULL JOIN (SELECT * FROM b WHERE parcel_id IN (SELECT parcel_id FROM a)) USING (parcel_id, o)""")
 def cube_outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem")
-    a = rows.where("l_linenumber <= 2 AND l_suppkey % 3 <> 0").selectExpr("l_suppkey AS parcel_id", "l_orderkey AS o", "l_linenumber AS ln", "l_tax AS va")
-    b = rows.where("l_linenumber >= 2 AND l_suppkey % 5 <> 0").selectExpr("l_suppkey AS parcel_id", "l_orderkey AS o", "l_linenumber AS ln", "l_discount AS vb")
-    return S.merge_cubes(a, b, ["parcel_id", "o", "ln"])
+    rows = read(spark, sf_dir, "orders")
+    a = rows.where("o_orderstatus <> 'O'").selectExpr("o_custkey AS parcel_id", "o_orderkey AS o", "o_totalprice AS va")
+    b = rows.where("o_orderstatus <> 'F'").selectExpr("o_custkey AS parcel_id", "o_orderkey AS o", "o_orderpriority AS vb")
+    return S.merge_cubes(a, b, ["parcel_id", "o"])
 
 
-@register("cube_merge_status", """SELECT s.s_suppkey AS parcel_id, CASE WHEN s.s_suppkey % 3 = 0 THEN 'skipped' WHEN s.s_suppkey % 5 = 0 THEN 'copied' ELSE 'merged' END AS status FROM supplier s WHERE s.s_suppkey % 3 <> 0 OR s.s_suppkey % 5 <> 0""")
+@register("cube_merge_status", """SELECT o_custkey AS parcel_id, CASE WHEN count(*) FILTER (o_orderstatus <> 'O') = 0 THEN 'skipped' WHEN count(*) FILTER (o_orderstatus <> 'F') = 0 THEN 'copied' ELSE 'merged' END AS status FROM orders GROUP BY 1""")
 def cube_merge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS parcel_id")
-    return S.merge_status(s.where("parcel_id % 3 <> 0"), s.where("parcel_id % 5 <> 0"))
+    rows = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "parcel_id")
+    return S.merge_status(rows.where("o_orderstatus <> 'O'"), rows.where("o_orderstatus <> 'F'"))
 
 
 @register("dup_time_first", "SELECT l_suppkey AS parcel_id, l_shipdate AS time, l_orderkey AS o, l_linenumber AS ln, l_quantity AS v FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey, l_linenumber) = 1")

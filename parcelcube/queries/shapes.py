@@ -128,6 +128,12 @@ def stretch_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.stretch_together(g, ["r", "s"], ["vec_id"]).select("vec_id", "y", "x", F.round("r", 6).alias("r"), F.round("s", 6).alias("s"))
 
 
+@register("overlay", f"WITH {GRID}, c AS (SELECT vec_id, y, x, CASE WHEN v > 0 THEN v END AS v FROM g), q AS (SELECT vec_id, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.98) AS b FROM c GROUP BY 1) SELECT c.vec_id, y, x, CASE WHEN v IS NOT NULL THEN CAST(floor(coalesce(least(greatest((v - a) / nullif(b - a, 0), 0), 1), 0) * 255) AS INTEGER) END AS v, CASE WHEN v IS NULL THEN 0 ELSE 255 END AS a FROM c JOIN q USING (vec_id)")
+def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grid(spark, sf_dir).select("vec_id", "y", "x", F.when(F.col("v") > 0, F.col("v")).alias("v"))
+    return V.overlay(g, "v", ["vec_id"]).select("vec_id", "y", "x", "v", "a")
+
+
 def _months(value: str, bias: float, low: float, high: float) -> str:
     band = f"CAST(floor(least(greatest((({bias} + coalesce(sum(v) FILTER (m = {{k}}), 0)) / greatest(count(*) FILTER (m = {{k}}), 1) - {low}) / ({high} - {low}), 0), 1) * 255) AS INTEGER)"
     return f"SELECT parcel_id, {', '.join(f'{band.format(k=k)} AS {c}' for c, k in zip('rgb', (4, 5, 6), strict=True))}, 255 AS a FROM (SELECT l_suppkey AS parcel_id, month(l_shipdate) AS m, {value} AS v FROM lineitem WHERE l_shipdate >= '1997-03-01' AND l_shipdate < '1997-07-01') GROUP BY 1"

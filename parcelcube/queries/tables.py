@@ -304,8 +304,7 @@ def scene_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("code_names", "SELECT c_custkey, CASE c_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' END AS name FROM customer")
 def code_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.create_map(F.lit(1), F.lit("one"), F.lit(2), F.lit("two"))
-    return read(spark, sf_dir, "customer").select("c_custkey", F.try_element_at(names, F.col("c_nationkey")).alias("name"))
+    return read(spark, sf_dir, "customer").select("c_custkey", R.code_names(F.col("c_nationkey"), {1: "one", 2: "two"}).alias("name"))
 
 
 @register("scalars", """SELECT l_orderkey, l_linenumber, least(greatest(l_extendedprice, -100), 20000) AS clipped, round_even(l_tax * 1000 / 7, 4) AS even, round(log10(l_extendedprice), 6) AS log10, round(ln(l_extendedprice), 6) AS log, round(exp(l_tax), 6) AS exp, CAST(dayofyear(l_shipdate) AS INTEGER) AS doy, CAST(last_day(l_shipdate) AS DATE) AS month_end,
@@ -315,8 +314,8 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, tax = c("l_extendedprice"), c("l_tax")
     return read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.least(F.greatest(price, F.lit(-100)), F.lit(20000)).alias("clipped"), F.bround(tax * 1000 / 7, 4).alias("even"), F.round(F.log10(price), 6).alias("log10"), F.round(F.ln(price), 6).alias("log"),
-        F.round(F.exp(tax), 6).alias("exp"), F.dayofyear("l_shipdate").alias("doy"), F.last_day("l_shipdate").alias("month_end"), F.round(F.try_divide(price - c("l_quantity"), c("l_quantity")) * 100, 4).alias("diff_pct"),
-        F.try_divide(c("l_discount"), F.nullif(tax, F.lit(0.0))).alias("ratio"), F.when(tax == 0, 1).otherwise(tax).alias("guarded"), F.date_format("l_shipdate", "dd MMM").alias("label"), F.regexp_extract(F.concat(F.lit("m"), c("l_partkey")), r"(\d+)", 1).alias("digits"),
+        F.round(F.exp(tax), 6).alias("exp"), F.dayofyear("l_shipdate").alias("doy"), F.last_day("l_shipdate").alias("month_end"), F.round(R.difference_percent(price, c("l_quantity")), 4).alias("diff_pct"),
+        R.ratio(c("l_discount"), tax).alias("ratio"), F.when(tax == 0, 1).otherwise(tax).alias("guarded"), F.date_format("l_shipdate", "dd MMM").alias("label"), F.regexp_extract(F.concat(F.lit("m"), c("l_partkey")), r"(\d+)", 1).alias("digits"),
     )
 
 
@@ -340,8 +339,20 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("monthly_totals", "WITH s AS (SELECT l_suppkey AS parcel_id, l_shipdate AS t, avg(l_discount) AS m FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY 1, 2) SELECT parcel_id, CAST(month(t) AS INTEGER) AS month, round(sum(m), 6) AS total FROM s GROUP BY 1, 2")
 def monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1997).groupBy(F.col("l_suppkey").alias("parcel_id"), "l_shipdate").agg(F.avg("l_discount").alias("m"))
-    return s.groupBy("parcel_id", F.month("l_shipdate").alias("month")).agg(F.round(F.sum("m"), 6).alias("total"))
+    s = read(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1997).withColumnRenamed("l_suppkey", "parcel_id")
+    return rounded6(P.monthly_totals(s, ["parcel_id"], "l_shipdate", "l_discount"))
+
+
+@register("yearly_targets", "WITH s AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, round(avg(l_discount), 6) AS mean, min(l_discount) AS min, max(l_discount) AS max, count(l_discount) AS n, round(sum(l_quantity), 2) AS n_samples FROM lineitem GROUP BY 1), t AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, max(o_totalprice) AS target FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT s.*, target FROM s LEFT JOIN t USING (year)")
+def yearly_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.year("o_orderdate").alias("year")).agg(F.max("o_totalprice").alias("target"))
+    return P.with_targets(processed_yearly(spark, sf_dir), targets)
+
+
+@register("book_join", "SELECT c_custkey, c_nationkey, s_suppkey, s_name FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey")
+def book_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = read(spark, sf_dir, "supplier").selectExpr("s_nationkey AS c_nationkey", "s_suppkey", "s_name")
+    return R.with_book(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), book, "c_nationkey")
 
 
 @register("processed_yearly", "SELECT CAST(year(l_shipdate) AS INTEGER) AS year, round(avg(l_discount), 6) AS mean, min(l_discount) AS min, max(l_discount) AS max, count(l_discount) AS n, round(sum(l_quantity), 2) AS n_samples FROM lineitem GROUP BY 1")

@@ -326,3 +326,13 @@ def test_streaming_months_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["month"].month, r["v"], r["n"]) for r in spark.table("months").collect()) == [(1, 2.0, 3), (2, 7.0, 1)]
+
+
+def test_rows_are_numbered_as_a_whole(spark):
+    values = [None, 3, 3, None, 7, *range(500), *([5] * 300)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7)
+    rows = R.number_rows(df, ["v", "i"]).collect()
+    expected = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0, i))
+    assert {r["i"]: r["__r"] for r in rows} == {i: nth for nth, i in enumerate(expected)}
+    assert {r["__rows"] for r in rows} == {len(values)}
+    assert R.number_rows(df.limit(0), ["v"]).count() == 0
