@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelcube.llm import language_id, toxicity
@@ -15,6 +15,8 @@ from parcelcube.llm.decontaminate import leaks
 from parcelcube.llm.licenses import license_summary
 from parcelcube.llm.minhash import near_duplicates
 from parcelcube.llm.packing import pack_documents
+from parcelcube.llm.periodic_runs import periodic_runs
+from parcelcube.llm.quality import LEAST_WORDS, MOST_REPEATED, RULES, STOP_WORDS, WORD, let, quality
 from parcelcube.llm.sharding import shard_by_size
 from parcelcube.llm.token_counts import token_counts
 from parcelcube.llm.url_filter import url_filter
@@ -69,6 +71,37 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_summary(table(spark, sf_dir, "documents"))
 
 
+def with_cycles(doc_id: Column, text: Column) -> Column:
+    """The text in which, for a tenth of all ids, every word from the a-th on is one of the p words from there, again and again."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def cycled(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        return F.when((h % 10 == 0) & (n > 0), F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(words[a + F.pmod(i - a, p)])), " ")).otherwise(text)
+
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), cycled)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs(docs, text=with_cycles(F.col("doc_id"), F.col("text")))
+    # exact order of length / period: the difference of cross products
+    better = lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), better)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -101,9 +134,33 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS gram FROM w),
+again AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+cover AS (SELECT r, sum(least(5, nxt - i)) AS n FROM (SELECT r, i, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i), i + 5) AS nxt FROM again) GROUP BY r),
+c AS (
+  SELECT doc_id, len(ws) AS n_words, length(translate(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars, length(x) - length(translate(x, '#*$%&|<>', '')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
+         len(list_filter(ws, lambda v: list_contains([STOPS], v))) AS n_stop_words, length(regexp_replace(x, '\P{L}+', '', 'g')) AS n_letters,
+         len(list_filter(ls, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines, len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines
+  FROM w LEFT JOIN cover USING (r)),
+f AS (SELECT *, n_words < LEAST_WORDS OR 100 * n_repeat_words > MOST_REPEATED * n_words AS base_failed, list_filter([RULES], lambda v: v IS NOT NULL) AS failed_rules FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules, NOT base_failed AND len(failed_rules) = 0 AS kept FROM f
+"""
+
+
+def op13_sql() -> str:
+    """The thresholds of the table as SQL."""
+    stops = ", ".join(f"'{form}'" for w in STOP_WORDS for form in (w, w.capitalize(), w.upper()))
+    rules = ", ".join(f"CASE WHEN 1000 * {r.count} < {r.least} * {r.per} OR 1000 * {r.count} > {r.most} * {r.per} THEN '{r.name}' END" for r in RULES)
+    return OP13_SQL.replace("STOPS", stops).replace("RULES", rules).replace("LEAST_WORDS", str(LEAST_WORDS)).replace("MOST_REPEATED", str(MOST_REPEATED))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ann, op4_near_dedup, op5_decontaminate, op6_token_counts, op7_packing, op8_url_filter, op9_sharding, op10_license_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ann, op4_near_dedup, op5_decontaminate, op6_token_counts, op7_packing, op8_url_filter, op9_sharding, op10_license_scan, op12_periodic_runs, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": OP4_SQL, "op8_url_filter": OP8_SQL}
+    return {"op4_near_dedup": OP4_SQL, "op8_url_filter": OP8_SQL, "op13_quality": op13_sql()}
