@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelcube.llm import language_id, toxicity
+from parcelcube.llm.alignment import align, scores
 from parcelcube.llm.ann import nearest
 from parcelcube.llm.common import fold, table
 from parcelcube.llm.decontaminate import leaks
@@ -71,6 +72,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_summary(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    found = scores(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def with_cycles(doc_id: Column, text: Column) -> Column:
     """The text in which, for a tenth of all ids, every word from the a-th on is one of the p words from there, again and again."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -159,7 +167,7 @@ def op13_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ann, op4_near_dedup, op5_decontaminate, op6_token_counts, op7_packing, op8_url_filter, op9_sharding, op10_license_scan, op12_periodic_runs, op13_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ann, op4_near_dedup, op5_decontaminate, op6_token_counts, op7_packing, op8_url_filter, op9_sharding, op10_license_scan, op11_alignment, op12_periodic_runs, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
