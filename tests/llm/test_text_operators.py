@@ -1,8 +1,12 @@
 """Token counts, packing, language, toxicity, licences, sharding and url filter on small fixtures."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -12,13 +16,16 @@ from pyspark.sql import functions as F
 from parcelcube.llm import language_id, licenses, queries, toxicity
 from parcelcube.llm import sharding as SH
 from parcelcube.llm import url_filter as U
+from parcelcube.llm.alignment import Aligner, align, byte_of_symbol, scores
 from parcelcube.llm.common import WordMemo, by_length
 from parcelcube.llm.packing import Encoder, pack_documents, plan_sequences
+from parcelcube.llm.periodic_runs import find_runs, periodic_runs
+from parcelcube.llm.quality import quality
 from parcelcube.llm.token_counts import token_counts
 from tests.llm.conftest import SF
 from tests.oracle import connect, rows_of_spark, rows_of_sql
 
-PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+PIECES, WORDS, BYTES = map(public_tokenizers.path, ("piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
 def test_words_by_length_and_memo_with_any_limit():
@@ -351,3 +358,168 @@ def test_query_matches_sql(spark, name):
     names, expected = rows_of_sql(connect(SF), queries.oracle_sql()[name])
     df = queries.queries()[name](spark, SF)
     assert sorted(df.columns) == names and rows_of_spark(df) == expected
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_quality(text):
+    words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    times = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if times[w] > 1 for j in range(i, i + 5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_equal_plain_python(spark, odd_documents, empty_documents):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["a", "b", "the ", " ", "\n", "\n", "#", "é🙂 ", "\x0b", "\x85", "- ", "..."]) for _ in range(rng.randint(0, 120))) for _ in range(400)]
+    texts += [r["text"] for r in odd_documents.collect()] + [" ".join("abcde" * 3), "a b c d e", "a b c d e f\n" * 2, " ".join(map(str, range(40))) + " x " + " ".join(map(str, range(3, 9)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality(df).collect()}
+    for i, text in enumerate(texts):
+        r, (words, chars, symbols, same, again) = got[i], brute_quality(text)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (words, chars, symbols, same, again), repr(text)[:90]
+        assert r["base_failed"] == (words < 10 or 100 * again > 20 * words) and (not r["kept"] or not r["base_failed"]) and r["kept"] == (not r["base_failed"] and not r["failed_rules"])
+    assert quality(odd_documents).count() == 12 and quality(empty_documents).count() == 0
+    clashing = df.limit(1).selectExpr("doc_id", "text", "1 AS n_words", "2 AS c", "true AS kept")
+    assert quality(clashing).columns == quality(df).columns and quality(clashing).count() == 1
+
+
+def test_quality_query_matches_its_sql_and_uses_no_python(spark):
+    df = queries.op13_quality(spark, SF)
+    names, expected = rows_of_sql(connect(SF), queries.oracle_sql()["op13_quality"])
+    assert sorted(df.columns) == names and rows_of_spark(df) == expected
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def brute_runs(words, least, repeats):
+    out = []
+    for q in range(1, len(words) // repeats + 1):
+        i = 0
+        while i < len(words) - q:
+            j = i
+            while j < len(words) - q and words[j] == words[j + q]:
+                j += 1
+            n = j - i + q
+            if j > i and n >= max(least, repeats * q) and not any(all(words[t] == words[t + d] for t in range(i, i + n - d)) for d in range(1, q)):
+                out.append((i, n, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_periodic_runs_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(150):
+        docs = []
+        for _ in range(rng.randint(1, 5)):
+            words = []
+            for _ in range(rng.randint(0, 6)):
+                kinds = rng.choice([1, 2, 3, 20])
+                unit = [b"%d" % rng.randint(0, kinds) for _ in range(rng.randint(1, rng.choice([3, 9, 20, 40])))]
+                unit = unit * 2 + [b"x"] if rng.random() < 0.3 else unit
+                words += (unit * 8)[: rng.randint(1, 8 * len(unit))]
+            docs.append(words)
+        for least, repeats in ((24, 3), (3, 3), (10, 4)):
+            assert find_runs(docs, least, repeats) == [brute_runs(d, least, repeats) for d in docs]
+
+
+def test_periodic_runs_query_equals_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op12_periodic_runs(spark, SF).collect()
+    assert len(got) == len(docs) and sum(r["n_runs"] for r in got) > 0
+    for r in got:
+        words, h = (docs[r["doc_id"]] or "").encode().split(), zlib.crc32(str(r["doc_id"]).encode())
+        if h % 10 == 0 and words:
+            g, n = h // 10, len(words)
+            a, p = g % n, 1 + (n - g % n) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+        runs = brute_runs(words, 24, 3)
+        gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+        best = min(runs, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=(None,) * 3)
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(runs), *best) and r["exponent_milli"] == (1000 * best[1] // best[2] if runs else None)
+        assert r["runs_sha256"] == sha256("".join(f"{s},{n},{q}\n" for s, n, q in runs).encode()).hexdigest()
+        assert r["collapsed_sha256"] == sha256(b" ".join(w for i, w in enumerate(words) if i not in gone)).hexdigest()
+
+
+def test_periodic_runs_of_odd_rows(odd_documents, empty_documents, spark):
+    got = periodic_runs(odd_documents).collect()
+    assert len(got) == 12 and periodic_runs(empty_documents).count() == 0
+    of = {r["doc_id"]: r for r in got}
+    assert (of[4]["n_words"], of[4]["runs"], of[4]["collapsed"]) == (0, [], "") and of[6]["collapsed"] == ""
+    assert [tuple(x) for x in of[7]["runs"]] == [(0, 60_000, 3)] and of[7]["collapsed"] == "der hund schläft"
+    huge = spark.createDataFrame([((1 << 62) + 1, "a " * 30), (None, "b")], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_words"]) for r in periodic_runs(huge).collect()} == {((1 << 62) + 1, 30), (None, 1)}
+    with pytest.raises(ValueError):
+        periodic_runs(odd_documents, repeats=2)
+
+
+class PlainAlignment:
+    """Both libraries on whole texts."""
+
+    def __init__(self):
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a, self.b = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+        self.a.encode_special_tokens = True
+        self.symbol = byte_of_symbol()
+
+    def __call__(self, text):
+        """n_a, n_b, the groups text and the linked pairs."""
+        if not text:
+            return 0, 0, "", []
+        a, b, raw = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text), f" {text}".encode()
+        of_a = [bytes(self.symbol[c] for c in self.a.id_to_token(i)) for i in a]
+        of_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        if b"".join(of_a) != raw or b"".join(of_b) != raw:
+            return 0, 0, "", []
+        ends_a, ends_b = list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b)))
+        groups, pairs, low = [], [], 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            x, y = ([str(i) for e, i in zip(ends, ids, strict=True) if low < e <= end] for ends, ids in ((ends_a, a), (ends_b, b)))
+            groups.append(f"{','.join(x)}|{','.join(y)}")
+            pairs.append((int(x[-1]), int(y[-1])))
+            low = end
+        return len(a), len(b), ";".join(groups), pairs
+
+
+def test_alignment_equals_whole_texts_with_any_memo():
+    rng, plain = random.Random(4), PlainAlignment()
+    texts = [None, "", " ", "  ", "▁", "a▁b", "<s> </s> <|endoftext|> x<unk>", "a  b", " a", "a ", "\n", "a \n b", "it's I'M 've don't", "\x1c a \x1c", "a \x1cb", "ﬁ x", "\x00 a", "x" * 5000]
+    texts += ["".join(rng.choice(["a", " ", " the", "ing", "▁" if rng.random() < 0.02 else "é", "\n", "\t", ".", " ", "中", "'s", "12", "!!", "　", "\x85", "🙂"]) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    expected = [plain(t) for t in texts]
+    for limit in (0, 100_000):
+        aligner, at = Aligner(BYTES, PIECES, limit), 0
+        for part in (texts, texts):
+            at = 0
+            for counts, groups, pairs, owner in aligner.align(part):
+                for k, text in enumerate(groups):
+                    a, b, whole, links = expected[at]
+                    assert (*counts[k].tolist(), text) == (a, b, len(links), whole), repr(texts[at])
+                    assert [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs[owner == k]] == links
+                    at += 1
+        assert at == len(texts)
+
+
+def test_alignment_query_equals_brute_force(spark):
+    plain = PlainAlignment()
+    docs = {r["doc_id"]: plain(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    times, most = Counter(p for *_, links in docs.values() for p in links), defaultdict(int)
+    for (_, b), n in times.items():
+        most[b] = max(most[b], n)
+    got = queries.op11_alignment(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        a, b, groups, links = docs[r["doc_id"]]
+        assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"]) == (a, b, len(links), len(links)) and r["groups_sha256"] == (sha256(groups.encode()).hexdigest() if groups else "")
+        assert r["n_best"] == sum(times[p] == most[p[1]] for p in links) and r["count_sum"] == sum(times[p] for p in links)
+
+
+def test_alignment_of_odd_rows_and_both_joins(odd_documents, empty_documents):
+    found = align(odd_documents, BYTES, PIECES)
+    wide, shuffled = ({(r["doc_id"], r["n_a"], r["n_b"], r["groups"], r["n_best"], r["count_sum"]) for r in scores(found, most).collect()} for most in (10, 10**9))
+    assert wide == shuffled and len(wide) == 11 and scores(found).count() == 12  # one row is there twice
+    assert {r[1:] for r in wide if r[0] in (4, 5, 11)} == {(0, 0, "", 0, 0)}
+    assert scores(align(empty_documents, BYTES, PIECES)).count() == 0
