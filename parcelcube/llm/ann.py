@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelcube.llm.common import hash_share, settle
+from parcelcube.llm.common import hash_share, settle, ship
 
 TRAIN_ROWS, ROUNDS, MOST_LISTS = 20_000, 8, 2_048
 ASKED, RECALL = 256, 0.96
@@ -218,7 +218,7 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
     sample = classes.where(hash_share("cid", 5) < TRAIN_ROWS / max(1, facts["n"])).select("cid", "vec").toPandas().sort_values("cid")["vec"].tolist() or [r["vec"] for r in classes.orderBy("cid").select("vec").limit(1).collect()]
     lists = max(1, min(MOST_LISTS, round(facts["n"] ** 0.5), -(-len(sample) // 8)))
     index = Index(np.array(sample, float), facts["norm"], lists, k)
-    shared = spark.sparkContext.broadcast(index)
+    shared = ship(spark, index)
 
     @F.pandas_udf("int")
     def assign(vec: pd.Series) -> pd.Series:

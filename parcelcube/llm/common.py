@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,33 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+class Shipped:
+    """A broadcast value whose classes travel with it: workers need no copy of this package.
+
+    Broadcasts are pickled by reference to modules, unlike functions of this package; so the value goes as bytes that hold its
+    classes, and a task unpacks them once.
+    """
+
+    def __init__(self, spark: SparkSession, value) -> None:  # noqa: ANN001
+        self.raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self) -> dict:
+        return {"raw": self.raw}
+
+    @property
+    def value(self):  # noqa: ANN201
+        if "kept" not in self.__dict__:
+            self.kept = cloudpickle.loads(self.raw.value)
+        return self.kept
+
+    def unpersist(self) -> None:
+        self.raw.unpersist()
+
+
+def ship(spark: SparkSession, value) -> Shipped:  # noqa: ANN001
+    return Shipped(spark, value)
+
+
 #: Rows of one key that a task takes in a salted join.
 HOT_ROWS = 1_000
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelcube.llm.common import chunks, settle
+from parcelcube.llm.common import chunks, settle, ship
 from parcelcube.llm.shingles import word_hashes
 
 STRIDE, RANK, OVERSAMPLE, MAX_SHARE, KEEP, BLOCK = 16, 64, 8, 0.01, 3, 2_000
@@ -179,7 +179,7 @@ def common_length(item: list[int], words: list[int]) -> int:
 
 def _encoded(docs: DataFrame, terms: Terms) -> DataFrame:
     """(id, text) -> (id, n_words, places, ids)."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = ship(docs.sparkSession, terms)
 
     @F.pandas_udf("n_words int, places array<int>, ids array<int>")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -293,7 +293,7 @@ def _search(encoded: DataFrame, idf: np.ndarray, own: list[np.ndarray], owner: n
     base = _base(encoded, idf, number, rows, passages, rank)
     vectors = rows.project(base)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    shared = encoded.sparkSession.sparkContext.broadcast((idf, number, base, vectors, rows.norm, owner, [(i, w.tolist(), answer) for i, w, answer in items]))
+    shared = ship(encoded.sparkSession, (idf, number, base, vectors, rows.norm, owner, [(i, w.tolist(), answer) for i, w, answer in items]))
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, number, base, vectors, weights, owner, items = shared.value

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelcube.llm.common import chunks
+from parcelcube.llm.common import chunks, ship
 
 HIDDEN, CORE, MARGIN = 8, 240, 16
 TRAIN_ROWS, TRAIN_CHARS, EPOCHS, BATCH = 1_500, 96, 2, 24
@@ -205,7 +205,7 @@ def with_language(df: DataFrame, network: Network | None, text_col: str = "text"
     """Adds the two columns of `names`, language and its probability; all columns and rows stay."""
     if network is None:
         return df.withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
-    shared = df.sparkSession.sparkContext.broadcast(network)
+    shared = ship(df.sparkSession, network)
 
     @F.pandas_udf("language string, score double")
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,8 @@ Kneser-Ney model over continuation counts. A gram whose counts in the two classe
 of the likelihood ratio test under SIGNIFICANT, or estimates less than a factor FACTOR apart) is left to the shared
 counts in both, so that rare expressions are equally likely in both and their ratio is one.
 
-A document's signal is the difference of its log-likelihoods under the two models divided by its length in bytes, and nothing else.
+A document's signal is the difference of its log-likelihoods under the two models divided by the square root of its length in bytes, the
+scale of the noise in a sum of so many terms, and nothing else: divided by the length itself, a few expressions in a long text were lost.
 A logistic curve with a slope and a bias turns it into a probability; it is fitted on documents that the model
 which scores them hasn't counted (it leaves out their fold).
 
@@ -31,15 +32,16 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelcube.llm.common import WordMemo, by_length, chunks, sample_by_class, settle
+from parcelcube.llm.common import Shipped, WordMemo, by_length, chunks, sample_by_class, settle, ship
 
 ORDER, SPAN, DISCOUNT = 6, 24, 0.75
-SIGNIFICANT, FACTOR = 20.0, 4.0
+SIGNIFICANT, FACTOR = 16.0, 4.0
 TRAIN_DOCS = 3_000
+#: Share of either label that no text explains.
+LAPSE = 0.05
 START, END = 1, 2
 
 #: The curve is fitted on documents of each fold by a model that leaves that fold out.
@@ -91,15 +93,21 @@ class Ratios:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, toxic_share: float, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
-    """Slope and bias of a logistic curve by Newton's method; y weighs as if toxic_share of it were 1."""
+    """Slope and bias of a logistic curve by Newton's method; y weighs as if toxic_share of it were 1.
+
+    A share LAPSE of either label is taken for a matter of chance: in each round a document weighs by how likely its label is
+    explained by the curve, so that a few toxic texts without any evidence do not flatten it.
+    """
     scale = max(float(np.std(x)), 1e-9)
     a = np.column_stack([x / scale, np.ones(len(x))])
     w = np.zeros(2)
     weight = np.where(y > 0, toxic_share / max(1, (y > 0).sum()), (1 - toxic_share) / max(1, (y == 0).sum())) * len(y)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
-        w -= np.linalg.solve(h, a.T @ (weight * (p - y)) + ridge * w)
+        right = (1 - 2 * LAPSE) * np.where(y > 0, p, 1 - p)
+        own = weight * right / (right + LAPSE)
+        h = (a * (own * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
+        w -= np.linalg.solve(h, a.T @ (own * (p - y)) + ridge * w)
     return float(w[0] / scale), float(w[1])
 
 
@@ -218,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = settle(texts.join(F.broadcast(few), "id").select("id", "text", "toxic", fold.alias("fold")))
     seen = None
     for nth in range(parts):
-        folds = spark.sparkContext.broadcast([scorer.part(nth, f"ratio_{f}") for f in range(FOLDS)])
+        folds = ship(spark, [scorer.part(nth, f"ratio_{f}") for f in range(FOLDS)])
 
         def describe(rows: Iterator[pd.DataFrame], folds=folds) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             memos = [WordMemo(m.score, 2) for m in folds.value]
@@ -227,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     texts = own["text"].tolist()
                     for a, b in chunks(texts):
                         sums = memos[f].sums([lower(t) for t in texts[a:b]])
-                        yield pd.DataFrame({"id": own["id"].to_numpy()[a:b], "toxic": own["toxic"].to_numpy()[a:b], "x": sums[:, 0] / np.maximum(sums[:, 1], 1)})
+                        yield pd.DataFrame({"id": own["id"].to_numpy()[a:b], "toxic": own["toxic"].to_numpy()[a:b], "x": sums[:, 0] / np.sqrt(np.maximum(sums[:, 1], 1))})
 
         kind = sample.schema["id"].dataType.simpleString()
         found = sample.select("id", "toxic", "fold", "text").mapInPandas(describe, f"id {kind}, toxic int, x double").toPandas().sort_values(["id", "x"])
@@ -237,8 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scorer
 
 
-def _mean(ratios: Broadcast) -> Callable:
-    """The log ratio of a text per byte, as far as the grams of ratios go."""
+def _mean(ratios: Shipped) -> Callable:
+    """The log ratio of a text by the square root of its bytes, as far as the grams of ratios go."""
 
     @F.pandas_udf("double")
     def mean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -247,7 +255,7 @@ def _mean(ratios: Broadcast) -> Callable:
             texts, out = series.tolist(), np.zeros(len(series))
             for a, b in chunks(texts):
                 sums = memo.sums([lower(t) if t else [] for t in texts[a:b]])
-                out[a:b] = sums[:, 0] / np.maximum(sums[:, 1], 1)
+                out[a:b] = sums[:, 0] / np.sqrt(np.maximum(sums[:, 1], 1))
             yield pd.Series(out)
 
     return mean
@@ -258,7 +266,7 @@ def with_toxicity(df: DataFrame, scorer: Scorer, text_col: str = "text", name: s
     if scorer.ratios is None:
         return df.withColumn(name, F.lit(scorer.prior))
     for nth in range(scorer.parts):
-        mean = _mean(df.sparkSession.sparkContext.broadcast(scorer.part(nth, "ratio")))(F.col(text_col))
+        mean = _mean(ship(df.sparkSession, scorer.part(nth, "ratio")))(F.col(text_col))
         df = df.withColumn(name, mean if nth == 0 else F.col(name) + mean)
         if scorer.parts > 1:  # the grams of one part are in memory at a time
             df = settle(df)

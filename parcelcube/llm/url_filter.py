@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelcube.llm.common import ship
+
 #: Rules up to this many characters are broadcast as a trie; longer lists are joined.
 BROADCAST_CHARS = 50_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,7 +89,7 @@ class Trie:
 
 
 def _by_trie(df: DataFrame, rules: list[Rule], default: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(Trie(rules))
+    shared = ship(df.sparkSession, Trie(rules))
 
     @F.pandas_udf("rule string, verdict string")
     def judge(host: pd.Series, path: pd.Series) -> pd.DataFrame:
