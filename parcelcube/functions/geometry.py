@@ -1,7 +1,8 @@
 """Geometry in projected metres (EPSG:3857 unless said otherwise) as expressions over rings.
 
-A ring is array<struct<x,y>>; a shape is an array of rings. Shapes of several parts are handled by any-part
-tests, without dissolving. Holes count by the even-odd rule.
+A ring is array<struct<x,y>>; a shape is an array of rings, parts one after another: the first ring of a part is its outline, those
+that follow are its holes. parse_wkt() writes outlines counter-clockwise and holes clockwise, so that the turn of a ring tells where
+a part starts. A point is inside a shape if it is inside one of its parts; inside a part holes count by the even-odd rule.
 """
 
 from __future__ import annotations
@@ -14,15 +15,27 @@ from pyspark.sql import functions as F
 EARTH = 6378137.0
 
 
+def turned(ring: Column, outline: Column) -> Column:
+    """The ring, counter-clockwise as an outline, clockwise as a hole."""
+    return F.when((signed_area(ring) < 0) == outline, F.reverse(ring)).otherwise(ring)
+
+
 def parse_wkt(wkt: Column) -> Column:
-    """POLYGON or MULTIPOLYGON text to its rings; null for other text."""
-    rings = F.transform(
-        F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1)),
-        lambda ring: F.transform(F.split(F.trim(ring), r"\s*,\s*"), lambda p: F.struct(F.get(F.split(p, r"\s+"), F.lit(0)).cast("double").alias("x"), F.get(F.split(p, r"\s+"), F.lit(1)).cast("double").alias("y"))),
-    )
+    """POLYGON or MULTIPOLYGON text to its rings, in the turn that tells outlines from holes; null for other text."""
+    point = lambda p: F.struct(*[F.get(F.split(p, r"\s+"), F.lit(i)).cast("double").alias(c) for i, c in enumerate("xy")])
+    # an outline follows two open brackets, a hole follows a comma
+    texts = F.regexp_extract_all(wkt, F.lit(r"(\(\s*\([^()]+|,\s*\([^()]+)\)"), F.lit(1))
+    ring = lambda t: F.transform(F.split(F.trim(F.regexp_replace(t, r"^[\s,(]+", "")), r"\s*,\s*"), point)
+    rings = F.transform(texts, lambda t: F.transform(F.array(ring(t)), lambda r: turned(r, ~t.startswith(",")))[0])
     return F.when(F.upper(F.trim(wkt)).rlike(r"^(MULTI)?POLYGON\s*\("), rings)
 
 
+def parts(shape: Column) -> Column:
+    """array<shape>: each outline with the holes that follow it. A first ring starts a part whatever its turn."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(shape) - 1), lambda i: (i == 0) | (signed_area(F.get(shape, i)) >= 0))
+    return F.when(F.size(shape) > 0, F.transform(starts, lambda s, k: F.slice(shape, s + 1, F.coalesce(F.get(starts, k + 1), F.size(shape)) - s))).otherwise(F.array().cast("array<array<array<struct<x:double,y:double>>>>"))
+
+
 def vertices(shape: Column) -> Column:
     return F.flatten(shape)
 
@@ -44,9 +57,13 @@ def edges(ring: Column) -> Column:
     return F.zip_with(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
 
 
+def signed_area(ring: Column) -> Column:
+    """Shoelace area of a closed ring, positive if it turns counter-clockwise."""
+    return F.aggregate(edges(ring), F.lit(0.0), lambda t, e: t + (e["x0"] * e["y1"] - e["x1"] * e["y0"])) / 2
+
+
 def ring_area(ring: Column) -> Column:
-    """Unsigned shoelace area of a closed ring."""
-    return F.abs(F.aggregate(edges(ring), F.lit(0.0), lambda t, e: t + (e["x0"] * e["y1"] - e["x1"] * e["y0"]))) / 2
+    return F.abs(signed_area(ring))
 
 
 def to_lon(x: Column) -> Column:
@@ -83,13 +100,30 @@ def to_utm(point: Column, central: float = 3.0) -> Column:
 
 
 def area_hectares(shape: Column, central: float = 3.0) -> Column:
-    """True area: rings in transverse Mercator; every further ring of a part is taken as its own part."""
-    return F.aggregate(F.transform(shape, lambda r: ring_area(F.transform(r, lambda p: to_utm(p, central)))), F.lit(0.0), lambda t, a: t + a) / 10_000
+    """True area: rings in transverse Mercator, outlines less their holes; parts are added, so where they overlap it counts twice."""
+    sizes = lambda part: F.transform(part, lambda r: ring_area(F.transform(r, lambda p: to_utm(p, central))))
+    part_area = lambda part: F.aggregate(F.slice(sizes(part), F.lit(2), F.size(part)), F.get(sizes(part), F.lit(0)), lambda t, a: t - a)
+    return F.aggregate(F.transform(parts(shape), part_area), F.lit(0.0), lambda t, a: t + a) / 10_000
 
 
 def geojson(shape: Column) -> Column:
-    """Polygon with its rings as coordinate lists."""
-    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.transform(shape, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))).alias("coordinates")))
+    """Polygon of one part with its holes, MultiPolygon of several, as coordinate lists."""
+    listed = F.transform(parts(shape), lambda part: F.transform(part, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get(listed, F.lit(0)).alias("coordinates")))
+    return F.when(F.size(parts(shape)) == 1, one).otherwise(F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), listed.alias("coordinates"))))
+
+
+def wkt_of_geojson(text: Column) -> Column:
+    """GeoJSON Polygon or MultiPolygon to WKT; null for other text."""
+    line = "array<array<double>>"
+    number = lambda p: F.concat_ws(" ", F.transform(F.slice(p, 1, 2), lambda c: c.cast("string")))
+    ring = lambda r: F.concat(F.lit("("), F.concat_ws(", ", F.transform(r, number)), F.lit(")"))
+    body = lambda rings: F.concat(F.lit("("), F.concat_ws(", ", F.transform(rings, ring)), F.lit(")"))
+    coordinates = F.get_json_object(text, "$.coordinates")
+    kind = F.get_json_object(text, "$.type")
+    return F.when(kind == "Polygon", F.concat(F.lit("POLYGON "), body(F.from_json(coordinates, f"array<{line}>")))).when(
+        kind == "MultiPolygon", F.concat(F.lit("MULTIPOLYGON ("), F.concat_ws(", ", F.transform(F.from_json(coordinates, f"array<array<{line}>>"), body)), F.lit(")"))
+    )
 
 
 def centroid_mean(shape: Column) -> Column:
@@ -100,9 +134,13 @@ def centroid_mean(shape: Column) -> Column:
 
 
 def contains(shape: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule over all edges."""
-    crossed = F.filter(F.flatten(F.transform(shape, edges)), lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / F.when(e["y1"] == e["y0"], 1.0).otherwise(e["y1"] - e["y0"]) + e["x0"]))
-    return F.size(crossed) % 2 == 1
+    """Inside one of the parts: even-odd rule over the edges of each."""
+
+    def inside(part: Column) -> Column:
+        crossed = F.filter(F.flatten(F.transform(part, edges)), lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / F.when(e["y1"] == e["y0"], 1.0).otherwise(e["y1"] - e["y0"]) + e["x0"]))
+        return F.size(crossed) % 2 == 1
+
+    return F.exists(parts(shape), inside)
 
 
 def distance_to_edge(shape: Column, x: Column, y: Column) -> Column:

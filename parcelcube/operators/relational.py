@@ -106,7 +106,7 @@ def duplicate_periods(df: DataFrame) -> DataFrame:
     )
 
 
-#: Ranges of a table that is numbered as a whole, and the rows drawn to set each bound.
+#: Ranges of a table that is numbered as a whole (a power of two), and the rows drawn to set each bound.
 RANGES, DRAWN = 256, 16
 
 
@@ -114,21 +114,25 @@ def number_rows(df: DataFrame, order: Iterable[str], to: str = "__r") -> DataFra
     """Adds the position of every row in the whole table's order, from 0, and the number of all rows as `__rows`.
 
     Rows fall into RANGES ranges by bounds from rows drawn by a hash; positions within a range follow the rows counted in
-    the ranges before it. The bounds set only how even the tasks are. No task sorts the whole table, unless its order has
-    one value only. Nulls come first.
+    the ranges before it. The bounds set only how even the tasks are. They hold a second hash of the whole row behind its place in the
+    order, so rows with a frequent value are spread over ranges; only rows that are equal in every column stay together. A row
+    finds its range by halving. Nulls come first; rows of equal order are numbered by their hash.
     """
     order = list(order)
-    key = F.struct(*order)
-    drawn = df.select(key.alias("k"), F.xxhash64(*order).alias("h")).distinct().orderBy("h").limit(RANGES * DRAWN)
+    held = df.withColumn("__h", F.xxhash64(*df.columns))
+    key = F.struct(*order, "__h")
+    drawn = held.select(key.alias("k"), F.xxhash64(F.lit(1), "__h").alias("draw")).orderBy("draw").limit(RANGES * DRAWN)
     marks = drawn.agg(F.sort_array(F.collect_list("k")).alias("k"))
     bounds = marks.select(F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.get("k", F.floor(i * F.size("k") / RANGES).cast("int"))).alias("__bounds"))
-    rows = df.join(F.broadcast(bounds), F.lit(True)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < key))).drop("__bounds")
+    halves = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
+    below = F.aggregate(halves, F.lit(0), lambda n, half: F.when(F.get("__bounds", n + half - 1) < key, n + half).otherwise(n))
+    rows = held.join(F.broadcast(bounds), F.lit(True)).withColumn("__range", below).drop("__bounds")
     span = Window.orderBy("__range")  # over RANGES rows
     before = F.coalesce(F.sum("n").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("n").over(span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     starts = rows.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__before"), total.alias("__rows"))
-    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return rows.join(F.broadcast(starts), "__range").withColumn(to, F.col("__before") + nth - 1).drop("__range", "__before")
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order, "__h"))
+    return rows.join(F.broadcast(starts), "__range").withColumn(to, F.col("__before") + nth - 1).drop("__range", "__before", "__h")
 
 
 def batch(df: DataFrame, order: Iterable[str], batches: int, number: int | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ def read_aoi(spark: SparkSession, path: str) -> DataFrame:
 def read_processed(df: DataFrame, key: str = "parcel_id", time: str = "time", numeric: Iterable[str] = ()) -> DataFrame:
     """Values that do not parse become null; rows without key or time go; year and day of year are added."""
     out = df.withColumn(time, F.try_to_timestamp(F.col(time).cast("string"))).withColumns({c: F.col(c).try_cast("double") for c in numeric})
-    return out.dropna(subset=[key, time]).withColumns({"year": F.year(time), "doy": F.dayofyear(time)}).orderBy(key, time)
+    return out.dropna(subset=[key, time]).withColumns({"year": F.year(time), "doy": F.dayofyear(time)})
 
 
 def read_quality(spark: SparkSession, path: str) -> DataFrame:
