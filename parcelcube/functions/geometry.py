@@ -66,6 +66,12 @@ def ring_area(ring: Column) -> Column:
     return F.abs(signed_area(ring))
 
 
+def area(shape: Column) -> Column:
+    """Planar area: outlines less their holes; parts are added, so where they overlap it counts twice."""
+    part_area = lambda part: F.aggregate(F.slice(part, F.lit(2), F.size(part)), ring_area(F.get(part, F.lit(0))), lambda t, r: t - ring_area(r))
+    return F.aggregate(F.transform(parts(shape), part_area), F.lit(0.0), lambda t, a: t + a)
+
+
 def to_lon(x: Column) -> Column:
     return F.degrees(x / EARTH)
 
@@ -101,9 +107,7 @@ def to_utm(point: Column, central: float = 3.0) -> Column:
 
 def area_hectares(shape: Column, central: float = 3.0) -> Column:
     """True area: rings in transverse Mercator, outlines less their holes; parts are added, so where they overlap it counts twice."""
-    sizes = lambda part: F.transform(part, lambda r: ring_area(F.transform(r, lambda p: to_utm(p, central))))
-    part_area = lambda part: F.aggregate(F.slice(sizes(part), F.lit(2), F.size(part)), F.get(sizes(part), F.lit(0)), lambda t, a: t - a)
-    return F.aggregate(F.transform(parts(shape), part_area), F.lit(0.0), lambda t, a: t + a) / 10_000
+    return area(F.transform(shape, lambda r: F.transform(r, lambda p: to_utm(p, central)))) / 10_000
 
 
 def geojson(shape: Column) -> Column:

@@ -125,7 +125,7 @@ def number_rows(df: DataFrame, order: Iterable[str], to: str = "__r") -> DataFra
     marks = drawn.agg(F.sort_array(F.collect_list("k")).alias("k"))
     bounds = marks.select(F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.get("k", F.floor(i * F.size("k") / RANGES).cast("int"))).alias("__bounds"))
     halves = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
-    below = F.aggregate(halves, F.lit(0), lambda n, half: F.when(F.get("__bounds", n + half - 1) < key, n + half).otherwise(n))
+    below = F.transform(F.array(key), lambda k: F.aggregate(halves, F.lit(0), lambda n, half: F.when(F.get("__bounds", n + half - 1) < k, n + half).otherwise(n)))[0]
     rows = held.join(F.broadcast(bounds), F.lit(True)).withColumn("__range", below).drop("__bounds")
     span = Window.orderBy("__range")  # over RANGES rows
     before = F.coalesce(F.sum("n").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

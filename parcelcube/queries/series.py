@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from parcelcube.operators import temporal as T
 from parcelcube.plans.config import FeaturesConfig
 from parcelcube.plans.pipelines import extract_features
 from parcelcube.queries.base import PX, G, M, grid, monthly, pixels, read, rounded
+from parcelcube.sources import zarr
+from parcelcube.sources.sinks import shared_folder
 
 INDEX_SQL = {
     "NDVI": "(B08 - B04) / nullif(B08 + B04, 0)", "EVI": "(2.5 * (B08 - B04)) / nullif(B08 + 6 * B04 - 7.5 * B02 + 1, 0)", "SAVI": "(1.5 * (B08 - B04)) / nullif(B08 + B04 + 0.5, 0)",
@@ -315,3 +319,15 @@ def static_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_high_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = monthly(spark, sf_dir).withColumn("sparse", F.when(F.col("month") == 1, F.col("w"))).drop("w")
     return X.drop_sparse_columns(m, 30, ("parcel_id", "year"))
+
+
+@register("cube_store_scan", f"""WITH {G} SELECT 'P' || label AS parcel_id, variable, y, x, CAST(count(*) AS BIGINT) AS n, round(sum(CAST(v AS FLOAT)::DOUBLE), 6) AS total FROM (SELECT label, vec_id, 'B' || (y % 2) AS variable, CAST(y // 2 AS INTEGER) AS y, x, v FROM g) GROUP BY ALL""")
+def cube_store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as images of two bands, one cube per label and a time step per vector, written as cube stores and read from them."""
+    g = grid(spark, sf_dir)
+    time = F.expr("cast(timestamp_ntz'2000-01-01' + make_interval(0, 0, 0, 0, cast(vec_id as int)) as timestamp_ntz)")
+    pixels = g.select(F.lit("S2").alias("sensor"), F.concat(F.lit("P"), F.col("label").cast("string")).alias("parcel_id"), time.alias("time"), F.concat(F.lit("B"), (F.col("y") % 2).cast("string")).alias("variable"), F.floor(F.col("y") / 2).cast("double").alias("y_coord"), F.col("x").cast("double").alias("x_coord"), F.col("v").alias("value"))
+    path = f"{shared_folder(spark)}/cubes-{uuid.uuid4().hex}"
+    zarr.write_cubes(pixels, path)
+    read_back = zarr.CubeStores(spark, path).load("S2")
+    return read_back.where("value IS NOT NULL").groupBy("parcel_id", "variable", "y", "x").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))

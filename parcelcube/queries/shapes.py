@@ -66,6 +66,38 @@ def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("parcel_id", G.geojson(F.col("shape")).alias("g"))
 
 
+def _many_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two overlapping boxes of a side that grows with the supplier's number, the first with a hole; every third one drawn clockwise."""
+    s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS parcel_id", "CAST(s_suppkey AS double) AS x0", "40D + s_suppkey % 7 AS side")
+    box = lambda x, y, side, back="false": f"""CASE WHEN {back} THEN concat('(', {x}, ' ', {y}, ',', {x}, ' ', {y} + {side}, ', ', {x} + {side}, ' ', {y} + {side}, ', ', {x} + {side}, ' ', {y}, ',', {x}, ' ', {y}, ')')
+        ELSE concat('(', {x}, ' ', {y}, ', ', {x} + {side}, ' ', {y}, ', ', {x} + {side}, ' ', {y} + {side}, ', ', {x}, ' ', {y} + {side}, ', ', {x}, ' ', {y}, ')') END"""
+    wkt = f"concat('MULTIPOLYGON ((', {box('x0', '0D', 'side', 'parcel_id % 3 = 0')}, ', ', {box('x0 + 10', '10D', '10D', 'parcel_id % 2 = 0')}, '), (', {box('x0 + 30', '15D', 'side')}, '))')"
+    return s.withColumn("shape", G.parse_wkt(F.expr(wkt)))
+
+
+@register("multipart_area", "SELECT s_suppkey AS parcel_id, CAST(2 * side * side - 100 AS DOUBLE) AS area FROM (SELECT s_suppkey, 40 + s_suppkey % 7 AS side FROM supplier)")
+def multipart_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _many_parts(spark, sf_dir).select("parcel_id", G.area(F.col("shape")).alias("area"))
+
+
+@register("multipart_contains", """SELECT s_suppkey AS parcel_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT s_suppkey, 40 + s_suppkey % 7 AS side FROM supplier), (SELECT unnest(range(0, 40)) * 2.5 + 0.25 AS x), (SELECT unnest(range(0, 40)) * 2.5 + 0.25 AS y)
+WHERE (x BETWEEN 0 AND side AND y BETWEEN 0 AND side AND NOT (x BETWEEN 10 AND 20 AND y BETWEEN 10 AND 20)) OR (x BETWEEN 30 AND 30 + side AND y BETWEEN 15 AND 15 + side) GROUP BY 1""")
+def multipart_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.col("x0") + i * 2.5 + 0.25
+    points = _many_parts(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    return points.where(G.contains(F.col("shape"), at(F.col("i")), F.col("j") * 2.5 + 0.25)).groupBy("parcel_id").agg(F.count("*").alias("n"))
+
+
+@register("multipart_geojson", """SELECT s_suppkey AS parcel_id, 'MultiPolygon' AS kind, CAST(2 AS INTEGER) AS n_parts, CAST(2 AS INTEGER) AS n_rings, true AS same FROM supplier""")
+def multipart_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and holes stay where they are on the way to GeoJSON and back."""
+    text = _many_parts(spark, sf_dir).withColumn("text", G.geojson(F.col("shape")))
+    back = text.withColumn("again", G.parse_wkt(G.wkt_of_geojson(F.col("text"))))
+    first = F.get(F.from_json(F.get_json_object("text", "$.coordinates"), "array<array<array<array<double>>>>"), F.lit(0))
+    listed = F.from_json(F.get_json_object("text", "$.coordinates"), "array<array<array<array<double>>>>")
+    return back.select("parcel_id", F.get_json_object("text", "$.type").alias("kind"), F.size(listed).alias("n_parts"), F.size(first).alias("n_rings"), (F.col("again") == F.col("shape")).alias("same"))
+
+
 _CELLS = "c AS (SELECT parcel_id, x0, y0, x1, y1, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, x0 - 33.5 + 10 * i AS px, y0 - 33.5 + 10 * j AS py FROM b, (SELECT unnest(range(0, 12)) AS i), (SELECT unnest(range(0, 12)) AS j)), d AS (SELECT *, greatest(x0 - px, 0, px - x1) AS dx, greatest(y0 - py, 0, py - y1) AS dy, least(px - x0, x1 - px, py - y0, y1 - py) AS depth FROM c)"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterable
 from dataclasses import asdict, is_dataclass
 from datetime import datetime
@@ -106,3 +107,14 @@ def run_metadata(config: Any, results: dict[str, Any], started: datetime, finish
 
 def save_model(model: Any, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir; where it is unset, a local one in local mode (as in tests), else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="parcelcube-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
