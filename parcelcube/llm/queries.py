@@ -107,7 +107,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 OP4_SQL = r"""
@@ -155,7 +155,7 @@ c AS (
          len(list_filter(ls, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines, len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines
   FROM w LEFT JOIN cover USING (r)),
 f AS (SELECT *, n_words < LEAST_WORDS OR 100 * n_repeat_words > MOST_REPEATED * n_words AS base_failed, list_filter([RULES], lambda v: v IS NOT NULL) AS failed_rules FROM c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules, NOT base_failed AND len(failed_rules) = 0 AS kept FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, array_to_string(failed_rules, ',') AS failed_rules, NOT base_failed AND len(failed_rules) = 0 AS kept FROM f
 """
 
 
