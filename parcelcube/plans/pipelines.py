@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelcube.functions import bands as B
-from parcelcube.functions.geometry import mask
 from parcelcube.functions.indices import compute_indices
 from parcelcube.operators import features as X
 from parcelcube.operators import ml
+from parcelcube.operators.clip import clip
 from parcelcube.operators.relational import feature_columns
 from parcelcube.operators.spatial import fuse, interpolate, spatial_stats
 from parcelcube.operators.temporal import composite
@@ -32,7 +32,7 @@ def sensor_series(cube: DataFrame, sensor: str, config: DatasetConfig, aoi: Data
     bands = bands or [c for c in cube.columns if c not in {*PIXEL, "time"}]
     df = BEFORE.get(sensor, lambda d, _: d)(cube, bands)
     if config.mask_for(sensor) and aoi is not None:
-        df = mask(df.join(aoi.select("parcel_id", "shape"), "parcel_id"), "shape", config.cell, config.erosion_for(sensor), bands=tuple(bands)).drop("shape")
+        df = clip(df, aoi, config.cell, config.erosion_for(sensor), bands=tuple(bands))
     t = config.temporal_for(sensor)
     time = "time"
     if t.freq or t.window:

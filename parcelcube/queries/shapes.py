@@ -9,6 +9,8 @@ from parcelcube.catalog import register
 from parcelcube.functions import geometry as G
 from parcelcube.functions import raster as V
 from parcelcube.operators import ml
+from parcelcube.operators.clip import clip
+from parcelcube.operators.dissolve import dissolve
 from parcelcube.operators.relational import split_by_year
 from parcelcube.operators.spatial import nearest_pixel
 from parcelcube.queries.base import G as GRID
@@ -116,6 +118,32 @@ def polygon_mask_eroded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.mask(_cells(spark, sf_dir), "shape", 10.0, 2.0).select("parcel_id", "x", "y")
 
 
+@register("polygon_clip", f"WITH {_BOX}, {_CELLS} SELECT parcel_id, x, y FROM d WHERE pow(greatest(dx - 5, 0), 2) + pow(greatest(dy - 5, 0), 2) <= 100")
+def polygon_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that touch a box grown by a cell, round at its corners."""
+    return clip(_cells(spark, sf_dir), _shapes(spark, sf_dir), 10.0).select("parcel_id", "x", "y")
+
+
+@register("polygon_clip_eroded", f"WITH {_BOX}, {_CELLS} SELECT parcel_id, x, y FROM d WHERE px + 5 >= x0 + 20 AND px - 5 <= x1 - 20 AND py + 5 >= y0 + 20 AND py - 5 <= y1 - 20")
+def polygon_clip_eroded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clip(_cells(spark, sf_dir), _shapes(spark, sf_dir), 10.0, 2.0).select("parcel_id", "x", "y")
+
+
+_LOTS = "c_nationkey, CAST(c_custkey * 31 % 197 AS INTEGER) AS x0, CAST(c_custkey * 17 % 179 AS INTEGER) AS y0, CAST(1 + c_custkey % 9 AS INTEGER) AS w, CAST(1 + c_custkey % 7 AS INTEGER) AS h"
+
+
+@register("dissolve_area", f"""WITH l AS (SELECT {_LOTS} FROM customer), c AS (SELECT DISTINCT c_nationkey, x, y0 + unnest(range(0, h)) AS y FROM (SELECT c_nationkey, y0, h, x0 + unnest(range(0, w)) AS x FROM l))
+SELECT c_nationkey AS nation, CAST(count(*) AS DOUBLE) AS area, CAST(min(x) AS DOUBLE) AS minx, CAST(min(y) AS DOUBLE) AS miny, CAST(max(x) + 1 AS DOUBLE) AS maxx, CAST(max(y) + 1 AS DOUBLE) AS maxy FROM c GROUP BY 1""")
+def dissolve_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as boxes on whole coordinates, which overlap, touch and nest: area and bounds of their union per nation."""
+    lots = read(spark, sf_dir, "customer").selectExpr(*_LOTS.split(", "))
+    at = lambda x, y: F.struct((F.col("x0") + x).cast("double").alias("x"), (F.col("y0") + y).cast("double").alias("y"))
+    w, h, o = F.col("w"), F.col("h"), F.lit(0)
+    boxes = lots.select(F.col("c_nationkey").alias("nation"), F.array(F.array(at(o, o), at(w, o), at(w, h), at(o, h), at(o, o))).alias("shape"))
+    united = dissolve(boxes, ["nation"])
+    return united.select("nation", F.round(G.area(F.col("shape")), 6).alias("area"), G.bounds(F.col("shape")).alias("b")).select("nation", "area", "b.*")
+
+
 @register("nearest_pixel", f"WITH {_BOX}, {_CELLS} SELECT parcel_id, first(x ORDER BY abs(px - 100100), x) AS x, first(y ORDER BY abs(py - 5000123), y) AS y FROM c GROUP BY 1")
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_pixel(_cells(spark, sf_dir), ["parcel_id"], F.lit(100100), F.lit(5000123))
