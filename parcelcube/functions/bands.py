@@ -20,11 +20,20 @@ def clip(c: Column, low: float | None = None, high: float | None = None) -> Colu
 
 
 def scale_reflectance(df: DataFrame, bands: Iterable[str], cube: Iterable[str] = ("parcel_id", "sensor"), scale: float = 10_000.0) -> DataFrame:
-    """Digital numbers to reflectance, band by band: a cube whose median is at most 1 is scaled already."""
+    """Digital numbers to reflectance, band by band: a cube whose median is at most 1 is scaled already.
+
+    Whether it is follows from how many values are at most 1, and if these are just half from the two values around 1: no values are gathered.
+    """
     keys, bands = list(cube), list(bands)
-    medians = df.groupBy(*keys).agg(*[F.median(b).alias(f"__m_{b}") for b in bands])
-    out = df.join(medians.withColumnsRenamed({k: f"__k_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left")
-    out = out.withColumns({b: F.when(F.col(f"__m_{b}") <= 1.0, F.col(b)).otherwise(clip(F.col(b) / scale, 0.0, 1.0)) for b in bands})
+
+    def small(b: str) -> Column:
+        v = F.col(b)
+        low, n = F.count_if(v <= 1.0), F.count(v)
+        return F.when(2 * low == n, (F.max(F.when(v <= 1.0, v)) + F.min(F.when(v > 1.0, v))) / 2 <= 1.0).otherwise(2 * low > n)
+
+    scaled = df.groupBy(*keys).agg(*[small(b).alias(f"__m_{b}") for b in bands])
+    out = df.join(scaled.withColumnsRenamed({k: f"__k_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left")
+    out = out.withColumns({b: F.when(F.col(f"__m_{b}"), F.col(b)).otherwise(clip(F.col(b) / scale, 0.0, 1.0)) for b in bands})
     return out.select(df.columns)
 
 

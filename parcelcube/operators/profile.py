@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelcube.operators.quantiles import quantiles
+
 from parcelcube.operators.relational import number_rows
 
 
@@ -85,7 +87,10 @@ def box(df: DataFrame, by: Iterable[str], column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, percentiles: Iterable[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), *[F.percentile(column, p).alias(f"p{round(p * 100)}") for p in percentiles], F.max(column).alias("max"))
+    percentiles = list(percentiles)
+    found = [F.lit(q).cast("double").alias(f"p{round(p * 100)}") for p, q in zip(percentiles, quantiles(df, column, percentiles), strict=True)]
+    ends = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return ends.select("n", "mean", "std", "min", *found, "max")
 
 
 def error_by(df: DataFrame, by: str, error: str = "error", percent: str | None = "pct_error") -> DataFrame:

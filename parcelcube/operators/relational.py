@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelcube.operators.quantiles import quantiles
+
 
 def normalise_name(name: str) -> str:
     """Lower-case ASCII letters and digits with single underscores between."""
@@ -71,9 +73,8 @@ def lookup_lists(df: DataFrame, lookup: DataFrame, lists: dict[str, str], row_ke
 
 
 def quantile_band(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Rows between two interpolated quantiles, both included. The two numbers are one row that meets every row."""
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    return df.join(F.broadcast(q), F.lit(True)).where(F.col(column).between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
+    """Rows between two interpolated quantiles, both included. The quantiles are found at once, so that the scan can prune by them."""
+    return df.where(F.col(column).between(*[F.lit(q).cast("double") for q in quantiles(df, column, (low, high))]))
 
 
 def tolerance(df: DataFrame, a: str, b: str, percent: float = 20) -> DataFrame:
@@ -84,17 +85,19 @@ def tolerance(df: DataFrame, a: str, b: str, percent: float = 20) -> DataFrame:
 def iqr_outliers(df: DataFrame, column: str, by: Iterable[str] = (), factor: float = 1.5) -> DataFrame:
     """Rows beyond the quartiles by more than factor times their distance."""
     by = list(by)
-    q = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
-    near = df.join(q, by) if by else df.join(F.broadcast(q), F.lit(True))  # without groups q is one row
+    if by:
+        q = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+        near = df.join(q, by)
+    else:
+        near = df.withColumn("__q", F.array(*[F.lit(q).cast("double") for q in quantiles(df, column, (0.25, 0.75))]))
     spread = F.col("__q")[1] - F.col("__q")[0]
     return near.where((F.col(column) < F.col("__q")[0] - factor * spread) | (F.col(column) > F.col("__q")[1] + factor * spread)).drop("__q")
 
 
 def iqr_normalise(df: DataFrame, column: str, to: str) -> DataFrame:
     """(value - median) / interquartile range."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
-    value = F.try_divide(F.col(column) - F.col("__q")[1], F.col("__q")[2] - F.col("__q")[0])
-    return df.join(F.broadcast(q), F.lit(True)).withColumn(to, value).drop("__q")
+    low, middle, high = [F.lit(q).cast("double") for q in quantiles(df, column, (0.25, 0.5, 0.75))]
+    return df.withColumn(to, F.try_divide(F.col(column) - middle, high - low))
 
 
 def duplicate_periods(df: DataFrame) -> DataFrame:
