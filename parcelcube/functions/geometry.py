@@ -21,8 +21,8 @@ def turned(ring: Column, outline: Column) -> Column:
 
 
 def parse_wkt(wkt: Column) -> Column:
-    """POLYGON or MULTIPOLYGON text to its rings, in the turn that tells outlines from holes; null for other text."""
-    point = lambda p: F.struct(*[F.get(F.split(p, r"\s+"), F.lit(i)).cast("double").alias(c) for i, c in enumerate("xy")])
+    """POLYGON or MULTIPOLYGON text to its rings, in the turn that tells outlines from holes; null for other text, and for coordinates that are no numbers."""
+    point = lambda p: F.struct(*[F.get(F.split(p, r"\s+"), F.lit(i)).try_cast("double").alias(c) for i, c in enumerate("xy")])
     # an outline follows two open brackets, a hole follows a comma
     texts = F.regexp_extract_all(wkt, F.lit(r"(\(\s*\([^()]+|,\s*\([^()]+)\)"), F.lit(1))
     ring = lambda t: F.transform(F.split(F.trim(F.regexp_replace(t, r"^[\s,(]+", "")), r"\s*,\s*"), point)

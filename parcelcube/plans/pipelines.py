@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelcube.functions import bands as B
+from parcelcube.functions import geometry as G
 from parcelcube.functions.indices import compute_indices
 from parcelcube.operators import features as X
 from parcelcube.operators import ml
@@ -58,6 +60,60 @@ def dataset(cubes: Mapping[str, DataFrame], config: DatasetConfig, aoi: DataFram
     return fuse(out, ["parcel_id", "year", "month"], values, ["__rank", "time"], totals=["n_samples"])
 
 
+@dataclass
+class Run:
+    """Rows of the parcels that went through, what became of every parcel and sensor, and the counts of the run.
+
+    counts.get waits until rows has been read; it holds n_rows and n_parcels, the latter to within about 5 %.
+    """
+
+    rows: DataFrame
+    report: DataFrame
+    counts: Observation = field(default_factory=Observation)
+
+
+def parcel_report(cubes: Mapping[str, DataFrame], config: DatasetConfig, aoi: DataFrame) -> DataFrame:
+    """One row per parcel and sensor: status (done, missing, failed, skipped), stage and reason of a failure, number of pixels.
+
+    Parcels are those of aoi and of the cubes. Missing is a parcel without pixels of a sensor: no fault. Failed are pixels without a time or
+    a place, and where a sensor is masked, a parcel without a shape, with points that have no coordinates, without area, or with two shapes. What
+    follows a failure in the order of the sensors is skipped. Only keys and places of the pixels are read.
+    """
+    sensors = list(cubes)
+    ranks = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("sensor"), F.lit(config.mask_for(s)).alias("masked")) for i, s in enumerate(sensors)])
+    seen: DataFrame | None = None
+    for sensor, cube in cubes.items():
+        lost = F.greatest(*[F.col(c).isNull() for c in ("time", "y", "x", "y_coord", "x_coord")])
+        found = cube.groupBy("parcel_id").agg(F.count("*").alias("n_pixels"), F.count_if(lost).alias("n_lost")).withColumn("sensor", F.lit(sensor))
+        seen = found if seen is None else seen.unionByName(found)
+    if seen is None:
+        raise ValueError("no sensor is given")
+    blank = F.exists("shape", lambda ring: ring.isNull() | F.exists(ring, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"])))
+    fault = F.when(F.col("shape").isNull(), "no shape").when(blank, "points without coordinates").when(G.area(F.col("shape")) <= 0, "no area")
+    shapes = aoi.groupBy("parcel_id").agg(F.count("*").alias("n"), F.max(fault).alias("fault"))
+    shapes = shapes.select("parcel_id", F.when(F.col("n") > 1, "more than one shape").otherwise(F.col("fault")).alias("fault"), F.lit(True).alias("listed"))
+    parcels = seen.select("parcel_id").union(aoi.select("parcel_id")).where("parcel_id IS NOT NULL").distinct().join(shapes, "parcel_id", "left")
+    asked = parcels.select("parcel_id", F.when(F.col("listed"), F.col("fault")).otherwise("no shape").alias("fault"), F.inline(ranks))
+    met = asked.join(seen, ["parcel_id", "sensor"], "left").withColumn("n_pixels", F.coalesce("n_pixels", F.lit(0)))
+    stage = F.when(F.col("n_pixels") == 0, None).when(F.col("n_lost") > 0, "scan").when(F.col("masked") & F.col("fault").isNotNull(), "mask")
+    reason = F.when(stage == "scan", F.concat(F.col("n_lost"), F.lit(" pixels without a time or a place"))).when(stage == "mask", F.col("fault"))
+    first = F.min(F.when(F.col("stage").isNotNull(), F.col("rank"))).over(Window.partitionBy("parcel_id"))  # a parcel has as many rows as there are sensors
+    judged = met.withColumns({"stage": stage, "reason": reason}).withColumn("first", first)
+    status = F.when(F.col("n_pixels") == 0, "missing").when(F.col("rank") > F.col("first"), "skipped").when(F.col("rank") == F.col("first"), "failed").otherwise("done")
+    failed = status == "failed"
+    return judged.select("parcel_id", "sensor", status.alias("status"), F.when(failed, F.col("stage")).alias("stage"), F.when(failed, F.col("reason")).alias("reason"), "n_pixels")
+
+
+def isolated_dataset(cubes: Mapping[str, DataFrame], config: DatasetConfig, aoi: DataFrame) -> Run:
+    """dataset() without the pixels of failed and skipped parcels and sensors, so that a broken parcel stops no other."""
+    report = parcel_report(cubes, config, aoi)
+    gone = report.where(F.col("status").isin("failed", "skipped")).select("parcel_id", "sensor")
+    kept = {s: cube.join(gone.where(F.col("sensor") == s).select("parcel_id"), "parcel_id", "left_anti").where("parcel_id IS NOT NULL") for s, cube in cubes.items()}
+    run = Run(dataset(kept, config, aoi.where("shape IS NOT NULL").dropDuplicates(["parcel_id"])), report)
+    run.rows = run.rows.observe(run.counts, F.count("*").alias("n_rows"), F.approx_count_distinct("parcel_id").alias("n_parcels"))
+    return run
+
+
 def extract_features(series: DataFrame, config: FeaturesConfig, months: list[int] | None = None) -> DataFrame:
     """One groupBy over (parcel, year) for all extractors; later ones win equal names."""
     columns = [c for c in config.columns if c in series.columns]
@@ -128,7 +184,7 @@ def acquisition_tasks(parcels: DataFrame, sensors: list[str]) -> DataFrame:
     return month_windows(parcels.select("*", F.explode(F.array(*[F.lit(s) for s in sensors])).alias("sensor")))
 
 
-STEPS: dict[str, Callable[..., Any]] = {"dataset": dataset, "features": features, "training": training}
+STEPS: dict[str, Callable[..., Any]] = {"dataset": dataset, "isolated_dataset": isolated_dataset, "features": features, "training": training}
 
 
 def run_step(name: str, *args: Any, **kwargs: Any) -> Any:

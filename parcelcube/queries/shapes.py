@@ -13,6 +13,8 @@ from parcelcube.operators.clip import clip
 from parcelcube.operators.dissolve import dissolve
 from parcelcube.operators.relational import split_by_year
 from parcelcube.operators.spatial import nearest_pixel
+from parcelcube.plans import pipelines
+from parcelcube.plans.config import DatasetConfig
 from parcelcube.queries.base import G as GRID
 from parcelcube.queries.base import grid, pixels, read
 
@@ -228,3 +230,43 @@ def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("train_rf")
 def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "rf", {"numTrees": 10, "maxDepth": [3, 5], "subsamplingRate": 0.8, "seed": 42})
+
+
+_LOST = "l_quantity = 1 AND l_tax = 0.08"
+
+
+def _report_inputs(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DatasetConfig, DataFrame]:
+    """Two sensors over lineitem: the second has few pixels; some pixels lack a time; suppliers in debt have no shape, those of region 0 a flat one."""
+    px = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey AS parcel_id", f"CASE WHEN NOT ({_LOST}) THEN CAST(l_shipdate AS timestamp_ntz) END AS time", "CAST(l_linenumber AS int) AS y", "CAST(l_orderkey % 8 AS int) AS x",
+        "5000000D + 10 * l_linenumber AS y_coord", "100000D + 10 * (l_orderkey % 8) AS x_coord", "l_discount AS tp", "l_quantity", "l_discount",
+    )
+    first = px.select(px.columns[:7]).withColumn("sensor", F.lit("era5"))
+    second = px.where("l_quantity = 50 AND l_discount = 0.1").select("parcel_id", "time", "y", "x", "y_coord", "x_coord", F.col("l_quantity").alias("ET"), F.lit("modis").alias("sensor"))
+    at = "100000 {0}, 100050 {0}, 100050 {1}, 100000 {1}, 100000 {0}"
+    text = F.expr(f"CASE WHEN s_acctbal < 0 THEN 'none' WHEN s_nationkey < 5 THEN 'POLYGON (({at.format(5000000, 5000000)}))' ELSE 'POLYGON (({at.format(5000000, 5000050)}))' END")
+    aoi = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("parcel_id"), G.parse_wkt(text).alias("shape"))
+    config = DatasetConfig.of({"sensors": {"modis": {"mask": True}, "era5": {"mask": False}}, "fuse": False})
+    return {"modis": second, "era5": first}, config, aoi
+
+
+_REPORT = f"""WITH p AS (SELECT s_suppkey AS parcel_id, CASE WHEN s_acctbal < 0 THEN 'no shape' WHEN s_nationkey < 5 THEN 'no area' END AS fault FROM supplier),
+n AS (SELECT l_suppkey AS parcel_id, count(*) AS n1, count(*) FILTER ({_LOST}) AS lost1, count(*) FILTER (l_quantity = 50 AND l_discount = 0.1) AS n0 FROM lineitem GROUP BY 1),
+j AS (SELECT p.parcel_id, fault, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(lost1, 0) AS lost1 FROM p LEFT JOIN n USING (parcel_id)),
+r AS (SELECT parcel_id, 'modis' AS sensor, CASE WHEN n0 = 0 THEN 'missing' WHEN fault IS NOT NULL THEN 'failed' ELSE 'done' END AS status, fault AS reason, 'mask' AS stage, n0 AS n_pixels FROM j UNION ALL
+SELECT parcel_id, 'era5', CASE WHEN n1 = 0 THEN 'missing' WHEN n0 > 0 AND fault IS NOT NULL THEN 'skipped' WHEN lost1 > 0 THEN 'failed' ELSE 'done' END, lost1 || ' pixels without a time or a place', 'scan', n1 FROM j)
+"""
+
+
+@register("parcel_report", _REPORT + "SELECT parcel_id, sensor, status, CASE WHEN status = 'failed' THEN stage END AS stage, CASE WHEN status = 'failed' THEN reason END AS reason, n_pixels FROM r")
+def parcel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.parcel_report(*_report_inputs(spark, sf_dir))
+
+
+@register("isolated_dataset", _REPORT + """SELECT l_suppkey AS parcel_id, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, CAST(count(*) AS BIGINT) AS n_times, round(sum(tp), 6) AS tp FROM
+(SELECT l_suppkey, l_shipdate, avg(l_discount) AS tp FROM lineitem JOIN r ON r.parcel_id = l_suppkey AND sensor = 'era5' AND status = 'done' GROUP BY 1, 2) GROUP BY 1, 2, 3""")
+def isolated_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the parcels that went through, the second sensor's means per month."""
+    run = pipelines.isolated_dataset(*_report_inputs(spark, sf_dir))
+    kept = run.rows.where("sensor = 'era5'").groupBy("parcel_id", "year", "month")
+    return kept.agg(F.count("*").alias("n_times"), F.round(F.sum("tp") * 12.5, 6).alias("tp"))
