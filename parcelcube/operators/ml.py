@@ -40,23 +40,62 @@ def assemble(df: DataFrame, features: Iterable[str], target: str, log: bool = Fa
 
 @dataclass
 class Search:
-    """Result of a grid search: the model of the least validation error, first in the grid's order, and every trial."""
+    """Result of a grid search: the model of the least validation error, first in the grid's order, every trial, and the rounds of a boosted model that was stopped early."""
 
     model: Any
     params: dict[str, Any]
     trials: list[dict[str, Any]] = field(default_factory=list)
+    rounds: list[dict[str, Any]] = field(default_factory=list)
+
+
+def boosting_rounds(model: Any, train: DataFrame, val: DataFrame, loss: str = "absolute") -> list[dict[str, Any]]:
+    """Mean loss on both sides after each round of a boosted model, one job a side; nulls for a side without rows."""
+    sides = {s: [None] * len(model.treeWeights) if d.isEmpty() else model.evaluateEachIteration(d, loss) for s, d in (("train", train), ("val", val))}
+    return [{"round": i, f"train_{loss}": t, f"val_{loss}": v} for i, (t, v) in enumerate(zip(sides["train"], sides["val"], strict=True), 1)]
+
+
+def fit_boosted(train: DataFrame, val: DataFrame, loss: str = "absolute", **params: Any) -> tuple[Any, list[dict[str, Any]]]:
+    """A boosted model of as many rounds as have the least validation loss, the fewest of equals, and the losses of all rounds.
+
+    The first rounds of a longer run are a shorter run of the same seed, so the model is fitted again with the best number of rounds.
+    """
+    params = {"seed": 42} | params
+    model = make("gbt", **params).fit(train)
+    rounds = boosting_rounds(model, train, val, loss)
+    if any(r[f"val_{loss}"] is None for r in rounds):
+        raise ValueError("the validation split has no rows to choose by")
+    best = min(rounds, key=lambda r: (r[f"val_{loss}"], r["round"]))["round"]
+    for r in rounds:
+        r["best"] = r["round"] == best
+    return (model if best == len(rounds) else make("gbt", **params | {"maxIter": best}).fit(train)), rounds
+
+
+def rounds_table(spark: Any, rounds: list[dict[str, Any]], loss: str = "absolute") -> DataFrame:
+    """The losses of a run as rows: round, both losses, and whether it is the best round."""
+    return spark.createDataFrame([(r["round"], r[f"train_{loss}"], r[f"val_{loss}"], r["best"]) for r in rounds], f"round int, train_{loss} double, val_{loss} double, best boolean")
 
 
 def grid_search(name: str, train: DataFrame, val: DataFrame, grid: dict[str, Any]) -> Search:
+    """Every combination of the grid is fitted on train and judged on val. stop_early=True cuts boosted models at their best round."""
+    stop_early = bool(grid.get("stop_early"))
+    if stop_early and name != "gbt":
+        raise ValueError(f"{name!r} has no rounds to stop at")
     train, val = train.cache(), val.cache()
     best: Search | None = None
     trials, least = [], None
-    for params in param_grid(grid):
-        model = make(name, **params).fit(train)
-        mae = model.transform(val).agg(F.avg(F.abs(F.col("__y") - F.col("__p"))).alias("mae")).first()["mae"]
-        trials.append(params | {"val_mae": mae})
-        if mae is not None and (least is None or mae < least):
-            best, least = Search(model, params), mae
+    try:
+        for params in param_grid({k: v for k, v in grid.items() if k != "stop_early"}):
+            if stop_early:
+                model, rounds = fit_boosted(train, val, **params)
+            else:
+                model, rounds = make(name, **params).fit(train), []
+            mae = model.transform(val).agg(F.avg(F.abs(F.col("__y") - F.col("__p"))).alias("mae")).first()["mae"]
+            trials.append(params | {"val_mae": mae} | ({"rounds": model.getNumTrees} if stop_early else {}))
+            if mae is not None and (least is None or mae < least):
+                best, least = Search(model, params, rounds=rounds), mae
+    finally:
+        train.unpersist()
+        val.unpersist()
     if best is None:
         raise ValueError("the validation split has no rows to choose by")
     best.trials = sorted(trials, key=lambda t: (t["val_mae"] is None, t["val_mae"]))

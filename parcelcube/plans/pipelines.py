@@ -160,7 +160,7 @@ def training(table: DataFrame, config: TrainingConfig) -> dict[tuple[str, str],
             train, val, test = ml.temporal_split(ml.assemble(table, columns, target, config.log_target), config.split)
             found = ml.grid_search(name, train, val, dict(grid))
             predictions = {s: ml.predict(found.model, d, target, config.log_target) for s, d in (("val", val), ("test", test)) if not d.isEmpty()}
-            out[name, target] = {"model": found.model, "params": found.params, "trials": found.trials, "features": columns, "predictions": predictions, "metrics": {s: ml.metrics(d, target).first().asDict() for s, d in predictions.items()}}
+            out[name, target] = {"model": found.model, "params": found.params, "trials": found.trials, "rounds": found.rounds, "features": columns, "predictions": predictions, "metrics": {s: ml.metrics(d, target).first().asDict() for s, d in predictions.items()}}
     return out
 
 

@@ -227,6 +227,14 @@ def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "gbt", {"maxIter": 8, "maxDepth": [2, 3], "stepSize": 0.3, "seed": 42, "lossType": "absolute"})
 
 
+@register("boost_rounds")
+def boost_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of both sides after every round, and the round a model is cut at."""
+    train, val, _ = ml.temporal_split(ml.assemble(_table(spark, sf_dir), ["a", "b", "c"], "y", log=True))
+    found = ml.grid_search("gbt", train, val, {"maxIter": 10, "maxDepth": 3, "stepSize": 0.3, "seed": 42, "lossType": "absolute", "stop_early": True})
+    return ml.rounds_table(spark, found.rounds)
+
+
 @register("train_rf")
 def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "rf", {"numTrees": 10, "maxDepth": [3, 5], "subsamplingRate": 0.8, "seed": 42})

@@ -9,6 +9,7 @@ from dataclasses import asdict, is_dataclass
 from datetime import datetime
 from typing import Any
 
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ UNITS = {
 META = {"time": "date", "parcel_key": "identifier", "sensor": "identifier", "n_samples": "count"}
 
 
+LOADED: dict[str, type] = {"gbt": GBTRegressionModel, "rf": RandomForestRegressionModel}
+
+
 def unit_of(column: str, strict: bool = True) -> str:
     """strict: the name without its last part decides, so single-stat names may miss; else the whole name comes first."""
     if column in META:
@@ -109,6 +113,13 @@ def save_model(model: Any, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(name: str, path: str) -> Any:
+    """A model that save_model() wrote; name is that of its kind in operators.ml."""
+    if name not in LOADED:
+        raise ValueError(f"unknown model {name!r}; known are {sorted(LOADED)}")
+    return LOADED[name].load(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; where it is unset, a local one in local mode (as in tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
