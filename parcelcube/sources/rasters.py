@@ -253,7 +253,9 @@ class RasterReader(DataSourceReader):
         (ys, xs), (west, south, east, north) = centres(block), self.window
         return bool(((xs >= west) & (xs <= east)).any() and ((ys >= south) & (ys <= north)).any())
 
-    def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Block | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
         files, base = at(self.path)
         with files.open_input_file(f"{base}/{partition.scene}/{partition.file}") as f:
             f.seek(partition.offset)

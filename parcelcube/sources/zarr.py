@@ -226,7 +226,9 @@ class CubeReader(DataSourceReader):
         found = [(name, open_array(files, store, name)) for name in folders(files, store)]
         return [([name], a) for name, a in found if a is not None and a.dims == ["time", "y", "x"]]
 
-    def read(self, partition: Step) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Step | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
         files, _ = at(self.path)
         axes = {k: open_array(files, partition.store, k) for k in ("time", "y", "x")}
         times = times_of(axes["time"], files)
