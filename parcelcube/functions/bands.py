@@ -57,17 +57,37 @@ def array_median(a: Column) -> Column:
 
 
 def speckle_median(df: DataFrame, bands: Iterable[str], image: Iterable[str] = ("parcel_id", "sensor", "time")) -> DataFrame:
-    """3 x 3 median per image; beyond an edge, or where a neighbour has no row, the pixel is repeated. Two windows, no join."""
-    keys = list(image)
-    across, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-
-    def neighbours(c: Column, axis: str, window) -> Column:  # noqa: ANN001
-        held = F.struct(c.alias("v"), F.col(axis).alias("at"))
-        near = [F.when(F.abs(s["at"] - F.col(axis)) == 1, s).otherwise(held) for s in (F.lag(held).over(window), held, F.lead(held).over(window))]
-        return F.transform(F.array(*near), lambda s: s["v"])
+    """3 x 3 median per image. In place of a neighbour without a row stands the pixel of its column in the middle row, then that of its row in
+    the middle column, then the pixel itself, so that edges are repeated. A neighbour with a row and no value counts as no value.
 
-    rows = df.withColumns({f"__r_{b}": neighbours(F.col(b), "x", across) for b in bands})
-    return rows.withColumns({b: array_median(F.flatten(neighbours(F.col(f"__r_{b}"), "y", down))) for b in bands}).select(df.columns)
+    Two windows, no join: the first one finds the three pixels of each place in its row, of places without a pixel beside one too.
+    """
+    keys, bands = list(image), list(bands)
+    across, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    own, x = F.struct(F.col("x").alias("at"), *bands), F.col("x")
+    rows = df.withColumns({"__own": own, "__left": F.lag(own).over(across), "__right": F.lead(own).over(across)})
+    left, right = F.col("__left"), F.col("__right")
+
+    def place(at: Column, seen: Column, *three: Column) -> Column:
+        absent = F.when(F.lit(False), F.col("__own"))
+        return F.struct(at.alias("x"), seen.alias("__seen"), *[(absent if c is None else c).alias(f"__{i}") for i, c in enumerate(three)])
+
+    places = F.array(
+        place(x, F.lit(True), F.when(left["at"] == x - 1, left), F.col("__own"), F.when(right["at"] == x + 1, right)),
+        F.when(left.isNull() | (left["at"] < x - 2), place(x - 1, F.lit(False), None, None, F.col("__own"))),
+        F.when(right.isNull() | (right["at"] > x + 1), place(x + 1, F.lit(False), F.col("__own"), None, F.when(right["at"] == x + 2, right))),
+    )
+    rest = [F.col(c) for c in df.columns if c != "x"]
+    spread = rows.withColumn("__places", F.filter(places, lambda p: p.isNotNull())).select(*rest, F.inline("__places"))
+    three = F.struct(F.col("y").alias("at"), "__0", "__1", "__2")
+    spread = spread.withColumns({"__up": F.lag(three).over(down), "__down": F.lead(three).over(down)}).where("__seen")
+    above = F.when(F.col("__up")["at"] == F.col("y") - 1, F.col("__up"))
+    below = F.when(F.col("__down")["at"] == F.col("y") + 1, F.col("__down"))
+    middle = F.col("__1")
+    nine = [F.coalesce(F.col(f"__{i}"), middle) for i in range(3)]
+    nine += [F.coalesce(line[f"__{i}"], F.col(f"__{i}"), line["__1"], middle) for line in (above, below) for i in range(3)]
+    near = spread.withColumn("__nine", F.array(*nine))
+    return near.withColumns({b: array_median(F.col("__nine").getField(b)) for b in bands}).select(df.columns)
 
 
 def calibrate_radar(df: DataFrame, image: Iterable[str] = ("parcel_id", "sensor", "time")) -> DataFrame:

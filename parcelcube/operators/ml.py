@@ -8,10 +8,12 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelcube.operators.group_quantiles import quantiles_by
 from parcelcube.operators.profile import regression_metrics, within
 
 MODELS: dict[str, type] = {"gbt": GBTRegressor, "rf": RandomForestRegressor}
@@ -75,6 +77,72 @@ def rounds_table(spark: Any, rounds: list[dict[str, Any]], loss: str = "absolute
     return spark.createDataFrame([(r["round"], r[f"train_{loss}"], r[f"val_{loss}"], r["best"]) for r in rounds], f"round int, train_{loss} double, val_{loss} double, best boolean")
 
 
+@dataclass
+class MedianForest:
+    """A grown forest whose leaves answer with medians: forest as it was grown, leaves as a table (tree, leaf, median, n)."""
+
+    forest: Any
+    leaves: DataFrame
+
+    @property
+    def featureImportances(self) -> Any:  # noqa: N802
+        return self.forest.featureImportances
+
+    @property
+    def getNumTrees(self) -> int:  # noqa: N802
+        return self.forest.getNumTrees
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds the mean over the trees of the medians of a row's leaves as __p. The medians travel as one row of as many numbers as the model has leaves."""
+        one = self.leaves.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("leaf", "median"))).alias("of"))
+        one = one.agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "of"))), lambda t: t["of"]["median"]).alias("__medians"))
+        rows = self.forest.setLeafCol("__leaf").transform(df).drop("__p").withColumn("__leaf", vector_to_array("__leaf")).join(F.broadcast(one), F.lit(True))
+        met = F.transform("__leaf", lambda leaf, tree: F.get(F.get("__medians", tree), leaf.cast("int")))
+        return rows.withColumn("__p", F.aggregate(met, F.lit(0.0), lambda a, m: a + m) / F.size("__leaf")).drop("__leaf", "__medians")
+
+    def save(self, path: str) -> None:
+        self.forest.write().overwrite().save(f"{path}/forest")
+        self.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+
+    @staticmethod
+    def load(spark: Any, path: str) -> MedianForest:
+        from pyspark.ml.regression import RandomForestRegressionModel
+
+        return MedianForest(RandomForestRegressionModel.load(f"{path}/forest"), spark.read.parquet(f"{path}/leaves"))
+
+
+def leaf_labels(forest: Any, df: DataFrame) -> DataFrame:
+    """A row for each tree and row: tree, leaf, __y. Every leaf has at least one row of those the forest was grown from."""
+    rows = forest.setLeafCol("__leaf").transform(df).select("__y", vector_to_array("__leaf").alias("__leaf"))
+    return rows.select("__y", F.posexplode("__leaf").alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+
+
+def fit_median_forest(train: DataFrame, **params: Any) -> MedianForest:
+    """A forest for the least absolute error: splits are those of the least variance, each leaf then answers with the median of its rows.
+
+    A leaf's rows are all rows of train that reach it, not only those drawn for its tree. Medians are exact and no task holds a leaf's rows.
+    The table of leaves is kept cached: it is as large as the model.
+    """
+    forest = make("rf", **params).fit(train)
+    labels = leaf_labels(forest, train)
+    sizes = labels.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
+    leaves = quantiles_by(labels, ["tree", "leaf"], "__y", {"median": 0.5}).join(sizes, ["tree", "leaf"]).select("tree", "leaf", "median", "n")
+    return MedianForest(forest, leaves.cache())
+
+
+# The names of a forest's criteria in configurations.
+SQUARED, ABSOLUTE = "squared_error", "absolute_error"
+
+
+def fit(name: str, train: DataFrame, criterion: str = SQUARED, **params: Any) -> Any:
+    """A model of a kind; a forest may ask for the criterion of absolute error."""
+    if criterion == SQUARED:
+        return make(name, **params).fit(train)
+    if name != "rf" or criterion != ABSOLUTE:
+        raise ValueError(f"{name!r} knows no criterion {criterion!r}")
+    return fit_median_forest(train, **params)
+
+
 def grid_search(name: str, train: DataFrame, val: DataFrame, grid: dict[str, Any]) -> Search:
     """Every combination of the grid is fitted on train and judged on val. stop_early=True cuts boosted models at their best round."""
     stop_early = bool(grid.get("stop_early"))
@@ -88,11 +156,14 @@ def grid_search(name: str, train: DataFrame, val: DataFrame, grid: dict[str, Any
             if stop_early:
                 model, rounds = fit_boosted(train, val, **params)
             else:
-                model, rounds = make(name, **params).fit(train), []
+                model, rounds = fit(name, train, **params), []
             mae = model.transform(val).agg(F.avg(F.abs(F.col("__y") - F.col("__p"))).alias("mae")).first()["mae"]
             trials.append(params | {"val_mae": mae} | ({"rounds": model.getNumTrees} if stop_early else {}))
+            loser = model
             if mae is not None and (least is None or mae < least):
-                best, least = Search(model, params, rounds=rounds), mae
+                loser, best, least = best and best.model, Search(model, params, rounds=rounds), mae
+            if isinstance(loser, MedianForest):
+                loser.leaves.unpersist()
     finally:
         train.unpersist()
         val.unpersist()

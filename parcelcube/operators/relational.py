@@ -113,9 +113,11 @@ def duplicate_periods(df: DataFrame) -> DataFrame:
 RANGES, DRAWN = 256, 16
 
 
-def number_rows(df: DataFrame, order: Iterable[str], to: str = "__r") -> DataFrame:
+def number_rows(df: DataFrame, order: Iterable[str], to: str = "__r", times: str | None = None) -> DataFrame:
     """Adds the position of every row in the whole table's order, from 0, and the number of all rows as `__rows`.
 
+    A row that stands for as many rows as its column `times` says gets the first of their positions.
+
     Rows fall into RANGES ranges by bounds from rows drawn by a hash; positions within a range follow the rows counted in
     the ranges before it. The bounds set only how even the tasks are. They hold a second hash of the whole row behind its place in the
     order, so rows with a frequent value are spread over ranges; only rows that are equal in every column stay together. A row
@@ -133,9 +135,10 @@ def number_rows(df: DataFrame, order: Iterable[str], to: str = "__r") -> DataFra
     span = Window.orderBy("__range")  # over RANGES rows
     before = F.coalesce(F.sum("n").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("n").over(span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    starts = rows.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__before"), total.alias("__rows"))
-    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order, "__h"))
-    return rows.join(F.broadcast(starts), "__range").withColumn(to, F.col("__before") + nth - 1).drop("__range", "__before", "__h")
+    starts = rows.groupBy("__range").agg((F.sum(times) if times else F.count("*")).alias("n")).select("__range", before.alias("__before"), total.alias("__rows"))
+    inside = Window.partitionBy("__range").orderBy(*order, "__h")
+    nth = F.coalesce(F.sum(times).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if times else F.row_number().over(inside) - 1
+    return rows.join(F.broadcast(starts), "__range").withColumn(to, F.col("__before") + nth).drop("__range", "__before", "__h")
 
 
 def batch(df: DataFrame, order: Iterable[str], batches: int, number: int | None = None) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -19,6 +21,7 @@ from parcelcube.operators.relational import feature_columns
 from parcelcube.operators.spatial import fuse, interpolate, spatial_stats
 from parcelcube.operators.temporal import composite
 from parcelcube.plans.config import DatasetConfig, FeaturesConfig, TrainingConfig
+from parcelcube.sources.readers import read_yaml
 
 PIXEL = ["parcel_id", "sensor", "y", "x", "y_coord", "x_coord"]
 BEFORE: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
@@ -36,13 +39,13 @@ def sensor_series(cube: DataFrame, sensor: str, config: DatasetConfig, aoi: Data
     if config.mask_for(sensor) and aoi is not None:
         df = clip(df, aoi, config.cell, config.erosion_for(sensor), bands=tuple(bands))
     t = config.temporal_for(sensor)
-    time = "time"
+    at = "time"
     if t.freq or t.window:
         df = composite(df, PIXEL, bands, t.freq, t.agg or "median", t.window, t.rolling_agg)
-        time = "bucket" if t.freq else "time"
+        at = "bucket" if t.freq else "time"
     df = AFTER.get(sensor, lambda d: d)(compute_indices(df, own.indices))
     layers = [*bands, *[i for i in own.indices if i in df.columns and i not in bands]]
-    keys = ["parcel_id", "sensor", F.year(time).alias("year"), F.month(time).alias("month"), F.col(time).alias("time")]
+    keys = ["parcel_id", "sensor", F.year(at).alias("year"), F.month(at).alias("month"), F.col(at).alias("time")]
     return spatial_stats(df, keys, layers, config.stats_for(sensor), own.output_bands)
 
 
@@ -194,6 +197,31 @@ def run_step(name: str, *args: Any, **kwargs: Any) -> Any:
     return STEPS[name](*args, **kwargs)
 
 
+def resolve_config(step: str, experiment: str | Path | None = None, defaults: str | Path | None = None) -> Path | None:
+    """The configuration file of a step: that of the experiment's folder, else that of the defaults, else none."""
+    if step not in STEPS:
+        raise ValueError(f"unknown step {step!r}; known are {sorted(STEPS)}")
+    found = (Path(d) / f"{step}.yml" for d in (experiment, defaults) if d is not None)
+    return next((f for f in found if f.is_file()), None)
+
+
+def run_steps(runners: Mapping[str, Callable[[dict[str, Any]], Any]], experiment: str | Path | None = None, defaults: str | Path | None = None) -> dict[str, dict[str, Any]]:
+    """Runs each step's function on its configuration, in order: per step its file, seconds and result, or the status skipped where it has no file.
+
+    A runner gets the content of the YAML file. Its errors stop the run.
+    """
+    out: dict[str, dict[str, Any]] = {}
+    files = {step: resolve_config(step, experiment, defaults) for step in runners}
+    for step, file in files.items():
+        if file is None:
+            out[step] = {"status": "skipped", "config": None}
+            continue
+        started = time.monotonic()
+        result = runners[step](read_yaml(str(file)))
+        out[step] = {"status": "done", "config": str(file), "seconds": round(time.monotonic() - started, 1), "result": result}
+    return out
+
+
 def session(app: str = "parcelcube", partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
     return (builder.config("spark.sql.shuffle.partitions", partitions) if partitions else builder).getOrCreate()

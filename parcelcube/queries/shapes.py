@@ -13,7 +13,7 @@ from parcelcube.operators.clip import clip
 from parcelcube.operators.dissolve import dissolve
 from parcelcube.operators.relational import split_by_year
 from parcelcube.operators.spatial import nearest_pixel
-from parcelcube.plans import pipelines
+from parcelcube.plans import panels, pipelines
 from parcelcube.plans.config import DatasetConfig
 from parcelcube.queries.base import G as GRID
 from parcelcube.queries.base import grid, pixels, read
@@ -240,6 +240,24 @@ def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "rf", {"numTrees": 10, "maxDepth": [3, 5], "subsamplingRate": 0.8, "seed": 42})
 
 
+@register("train_rf_median")
+def train_rf_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit(spark, sf_dir, "rf", {"numTrees": 10, "maxDepth": 4, "subsamplingRate": 0.8, "seed": 42, "criterion": "absolute_error"})
+
+
+@register("snapshot", """WITH p AS (SELECT l_suppkey AS parcel_id, l_shipdate AS time, l_orderkey AS y, l_linenumber AS x, l_extendedprice AS nir, l_quantity * 1000 AS red FROM lineitem),
+t AS (SELECT parcel_id, arg_min(time, (abs(epoch_us(CAST(time AS TIMESTAMP)) - epoch_us(TIMESTAMP '1995-06-17')), time)) AS time FROM p GROUP BY 1),
+s AS (SELECT p.* FROM p JOIN t USING (parcel_id, time)), q AS (SELECT parcel_id, time, quantile_cont(nir, 0.02) AS low, quantile_cont(nir, 0.98) AS high FROM s GROUP BY 1, 2)
+SELECT 'NDVI' AS panel, parcel_id, time, y, x, round((nir - red) / nullif(nir + red, 0), 9) AS value, round(greatest(least(((nir - red) / nullif(nir + red, 0) + 1) / 2, 1), 0), 9) AS shade FROM s UNION ALL
+SELECT 'B08', parcel_id, time, y, x, round(nir, 9), round(greatest(least(coalesce((nir - low) / nullif(high - low, 0), 0), 1), 0), 9) FROM s JOIN q USING (parcel_id, time)""")
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as cubes, at the day nearest to one: the index and a band."""
+    px = read(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS parcel_id", "'s2' AS sensor", "l_shipdate AS time", "l_orderkey AS y", "l_linenumber AS x", "l_extendedprice AS B08", "l_quantity * 1000 AS B04")
+    shot = panels.snapshot(px, "1995-06-17", ["B08"])
+    first, second = (f.select(F.lit(p.name).alias("panel"), "parcel_id", "time", "y", "x", F.round("value", 9).alias("value"), F.round("shade", 9).alias("shade")) for p, f in zip(shot.panels, shot.frames, strict=True))
+    return first.unionByName(second)
+
+
 _LOST = "l_quantity = 1 AND l_tax = 0.08"
 
 

@@ -10,6 +10,7 @@ from parcelcube.operators import ml
 from parcelcube.operators import profile as P
 from parcelcube.operators import relational as R
 from parcelcube.operators import spatial as S
+from parcelcube.operators.group_quantiles import quantiles_by
 from parcelcube.plans import pipelines
 from parcelcube.queries.base import M, monthly, read, rounded
 from parcelcube.sources import readers
@@ -370,3 +371,20 @@ def timestep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select(R.split_by_year(F.year("l_shipdate"), 1998, 1999).alias("split"), F.nullif(F.col("l_tax"), F.lit(0.0)).alias("v"))
     return ml.dry_run(rows, ["v"], ["v", "absent"])
+
+
+@register("group_quantiles", "SELECT l_suppkey AS parcel_id, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {n}" for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))) + " FROM lineitem GROUP BY 1")
+def group_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("parcel_id"), "l_extendedprice")
+    return rounded(quantiles_by(rows, ["parcel_id"], "l_extendedprice", {"p05": 0.05, "p50": 0.5, "p95": 0.95}), 6)
+
+
+@register("density", """WITH e AS (SELECT l_returnflag AS flag, min(l_extendedprice) AS low, max(l_extendedprice) AS high, count(*) AS n, stddev_samp(l_extendedprice) * pow(count(*), -0.2) AS h FROM lineitem GROUP BY 1),
+g AS (SELECT flag, n, h, low - 3 * h AS start, (high - low + 6 * h) / 63 AS step FROM e), b AS (SELECT flag, n, h, start, step, (l_extendedprice - start) / step AS place FROM lineitem JOIN g ON flag = l_returnflag),
+w AS (SELECT flag, n, h, start, step, floor(place) AS i, sum(1 - (place - floor(place))) AS w FROM b GROUP BY ALL UNION ALL SELECT flag, n, h, start, step, floor(place) + 1, sum(place - floor(place)) FROM b GROUP BY ALL)
+SELECT flag, CAST(point AS INTEGER) AS point, round(start + point * step, 4) AS x, round(1e6 * sum(w * exp(-0.5 * pow((i - point) * step / h, 2))) / (sqrt(2 * pi()) * h * n), 6) AS density
+FROM w, (SELECT unnest(range(0, 64)) AS point) GROUP BY flag, point, start, step, h, n""")
+def density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density of prices in millionths."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return P.density(rows, ["flag"], "l_extendedprice", points=64).select("flag", "point", F.round("x", 4).alias("x"), F.round(F.col("density") * 1e6, 6).alias("density"))

@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionMode
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelcube.operators.ml import MedianForest
 from parcelcube.operators.profile import column_profile, error_by
 
 # Units of bands and indices, and of meta columns.
@@ -110,13 +111,18 @@ def run_metadata(config: Any, results: dict[str, Any], started: datetime, finish
 
 
 def save_model(model: Any, path: str) -> None:
-    model.write().overwrite().save(path)
+    if isinstance(model, MedianForest):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def load_model(name: str, path: str) -> Any:
     """A model that save_model() wrote; name is that of its kind in operators.ml."""
+    if name == "rf_median":
+        return MedianForest.load(SparkSession.active(), path)
     if name not in LOADED:
-        raise ValueError(f"unknown model {name!r}; known are {sorted(LOADED)}")
+        raise ValueError(f"unknown model {name!r}; known are {sorted([*LOADED, 'rf_median'])}")
     return LOADED[name].load(path)
 
 
