@@ -10,6 +10,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelcube.operators.relational import number_rows
+
 K = ("parcel_id", "year")
 # Months of the growth phases; month 8 is in two of them.
 PHASES: dict[str, tuple[int, ...]] = {"dormancy": (12, 1, 2), "budbreak": (3, 4), "flowering": (5, 6), "veraison": (7, 8), "harvest": (8, 9), "postharvest": (10, 11)}
@@ -156,10 +158,10 @@ def harvest_features(df: DataFrame, columns: Iterable[str], keys: Iterable[str]
 
 
 def label_codes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """{col}_enc: position of the value among the sorted distinct ones; null stays null."""
+    """{col}_enc: position of the value among the sorted distinct ones, however many they are; null stays null."""
     for c in columns:
         kinds = df.where(F.col(c).isNotNull()).select(F.col(c).alias("__c")).distinct()
-        codes = kinds.withColumn(f"{c}_enc", (F.row_number().over(Window.orderBy("__c")) - 1).cast("double"))
+        codes = number_rows(kinds, ["__c"]).select("__c", F.col("__r").cast("double").alias(f"{c}_enc"))
         df = df.join(codes, F.col(c) == F.col("__c"), "left").drop("__c")
     return df
 

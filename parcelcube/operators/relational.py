@@ -227,3 +227,15 @@ def ratio(a: Column, b: Column) -> Column:
 def with_book(df: DataFrame, book: DataFrame, key: str) -> DataFrame:
     """Left join with a book of places; of a place that it lists twice every entry counts."""
     return df.join(book, key, "left")
+
+
+def incomplete(df: DataFrame, keys: Iterable[str], columns: Iterable[str]) -> DataFrame:
+    """Keys of the rows that lack a value in any of columns, and the names of those columns as an array in their order."""
+    gaps = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
+    return df.select(*keys, gaps.alias("missing")).where(F.size("missing") > 0)
+
+
+def beyond(df: DataFrame, column: str, limit: float, order: Iterable[str], n: int | None = None) -> DataFrame:
+    """Rows whose value lies further from 0 than a limit, in order; the first n of them if a number is given."""
+    out = df.where(F.abs(column) > limit).orderBy(*order)
+    return out if n is None else out.limit(n)

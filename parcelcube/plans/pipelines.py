@@ -17,7 +17,7 @@ from parcelcube.functions.indices import compute_indices
 from parcelcube.operators import features as X
 from parcelcube.operators import ml
 from parcelcube.operators.clip import clip
-from parcelcube.operators.relational import feature_columns
+from parcelcube.operators.relational import feature_columns, incomplete
 from parcelcube.operators.spatial import fuse, interpolate, spatial_stats
 from parcelcube.operators.temporal import composite
 from parcelcube.plans.config import DatasetConfig, FeaturesConfig, TrainingConfig
@@ -155,15 +155,16 @@ def features(series: DataFrame, targets: DataFrame, config: FeaturesConfig) -> D
 
 
 def training(table: DataFrame, config: TrainingConfig) -> dict[tuple[str, str], dict[str, Any]]:
-    """Per model and target: chosen parameters, trials, and predictions with their metrics on val and test."""
+    """Per model and target: chosen parameters, trials, predictions with their metrics on val and test, and the rows left out for want of a feature."""
     out: dict[tuple[str, str], dict[str, Any]] = {}
     columns = feature_columns(table, config.targets)
+    dropped = incomplete(table, [c for c in ("parcel_id", "year") if c in table.columns], columns)
     for name, grid in config.models.items():
         for target in config.targets:
             train, val, test = ml.temporal_split(ml.assemble(table, columns, target, config.log_target), config.split)
             found = ml.grid_search(name, train, val, dict(grid))
             predictions = {s: ml.predict(found.model, d, target, config.log_target) for s, d in (("val", val), ("test", test)) if not d.isEmpty()}
-            out[name, target] = {"model": found.model, "params": found.params, "trials": found.trials, "rounds": found.rounds, "features": columns, "predictions": predictions, "metrics": {s: ml.metrics(d, target).first().asDict() for s, d in predictions.items()}}
+            out[name, target] = {"model": found.model, "params": found.params, "trials": found.trials, "rounds": found.rounds, "features": columns, "dropped": dropped, "predictions": predictions, "metrics": {s: ml.metrics(d, target).first().asDict() for s, d in predictions.items()}}
     return out
 
 

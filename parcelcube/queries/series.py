@@ -124,10 +124,10 @@ def spatial_stats_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.spatial_stats(pixels(spark, sf_dir, ("B03", "B04")), ["parcel_id", "year"], ["B03", "B04"], ["mean"], output=["B03"]))
 
 
-@register("spatial_stats_empty", f"WITH {PX} SELECT parcel_id, ln, round(avg(B11), 9) AS mean, round(quantile_cont(B11, 0.9), 9) AS p90, count(B11) AS n FROM px GROUP BY 1, 2")
+@register("spatial_stats_empty", f"WITH {PX} SELECT parcel_id, ln, round(avg(B11), 9) AS B11_mean, round(quantile_cont(B11, 0.9), 9) AS B11_p90, round(stddev_pop(B11), 6) AS B11_std FROM px GROUP BY 1, 2")
 def spatial_stats_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark, sf_dir, ("B11",))
-    return rounded(px.groupBy("parcel_id", "ln").agg(F.avg("B11").alias("mean"), F.percentile("B11", 0.9).alias("p90"), F.count("B11").alias("n")))
+    out = S.spatial_stats(pixels(spark, sf_dir, ("B11",)), ["parcel_id", "ln"], ["B11"], ["mean", "p90", "std"])
+    return rounded(out.withColumn("B11_std", F.round("B11_std", 6)))
 
 
 _RESAMPLED = {"median": "median({c})", "mean": "avg({c})", "sum": "coalesce(sum({c}), 0)", "max": "max({c})", "min": "min({c})", "std": "stddev_pop({c})"}
@@ -274,12 +274,13 @@ def boolean_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly(spark, sf_dir).groupBy("parcel_id", "year").agg(*X.boolean_flags(["v"]))
 
 
-_HARVEST = "h AS (SELECT s_suppkey AS parcel_id, y AS year, make_date(y, 8 + CAST(s_suppkey % 2 AS INTEGER), 1 + CAST(s_suppkey % 27 AS INTEGER)) AS harvest_date FROM supplier, (SELECT CAST(unnest(range(1996, 2001)) AS INTEGER) AS y) WHERE s_suppkey % 10 <> 0)"
+_HARVEST = "h AS (SELECT s_suppkey AS parcel_id, y AS year, make_date(y, 8 + CAST(s_suppkey % 2 AS INTEGER), 1 + CAST(s_suppkey % 27 AS INTEGER)) AS harvest_date FROM supplier, (SELECT CAST(unnest(range(1996, 2001)) AS INTEGER) AS y) WHERE s_acctbal >= 0)"
 
 
 def _harvests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("parcel_id"), F.explode(F.sequence(F.lit(1996), F.lit(2000))).alias("year"))
-    return s.withColumn("harvest_date", F.expr("make_date(year, 8 + CAST(parcel_id % 2 AS INT), 1 + CAST(parcel_id % 27 AS INT))"))
+    """Suppliers in debt have years without a date, which the operator leaves out."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("parcel_id"), "s_acctbal", F.explode(F.sequence(F.lit(1996), F.lit(2000))).alias("year"))
+    return s.withColumn("harvest_date", F.expr("CASE WHEN s_acctbal >= 0 THEN make_date(year, 8 + CAST(parcel_id % 2 AS INT), 1 + CAST(parcel_id % 27 AS INT)) END")).drop("s_acctbal")
 
 
 @register("harvest_features", f"""WITH {M}, {_HARVEST}, j AS (SELECT m.parcel_id, m.year, m.month, m.v, last_day(make_date(m.year, m.month, 1)) AS t, h.harvest_date AS hd FROM m JOIN h USING (parcel_id, year)),

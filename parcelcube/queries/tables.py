@@ -338,10 +338,10 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unionByName(read(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_acctbal AS balance", "c_mktsegment AS segment"), allowMissingColumns=True)
 
 
-@register("monthly_totals", "WITH s AS (SELECT l_suppkey AS parcel_id, l_shipdate AS t, avg(l_discount) AS m FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY 1, 2) SELECT parcel_id, CAST(month(t) AS INTEGER) AS month, round(sum(m), 6) AS total FROM s GROUP BY 1, 2")
+@register("monthly_totals", "WITH s AS (SELECT l_suppkey AS parcel_id, l_shipdate AS t, avg(l_discount) AS m FROM lineitem GROUP BY 1, 2) SELECT parcel_id, CAST(year(t) AS INTEGER) AS year, CAST(month(t) AS INTEGER) AS month, round(sum(m), 6) AS total FROM s GROUP BY 1, 2, 3")
 def monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1997).withColumnRenamed("l_suppkey", "parcel_id")
-    return rounded6(P.monthly_totals(s, ["parcel_id"], "l_shipdate", "l_discount"))
+    s = read(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "parcel_id").withColumn("year", F.year("l_shipdate"))
+    return rounded6(P.monthly_totals(s, ["parcel_id", "year"], "l_shipdate", "l_discount"))
 
 
 @register("yearly_targets", "WITH s AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, round(avg(l_discount), 6) AS mean, min(l_discount) AS min, max(l_discount) AS max, count(l_discount) AS n, round(sum(l_quantity), 2) AS n_samples FROM lineitem GROUP BY 1), t AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, max(o_totalprice) AS target FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT s.*, target FROM s LEFT JOIN t USING (year)")
@@ -388,3 +388,16 @@ def density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density of prices in millionths."""
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
     return P.density(rows, ["flag"], "l_extendedprice", points=64).select("flag", "point", F.round("x", 4).alias("x"), F.round(F.col("density") * 1e6, 6).alias("density"))
+
+
+@register("incomplete_rows", "SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN tax IS NULL THEN 'tax' END, CASE WHEN discount IS NULL THEN 'discount' END) AS missing FROM (SELECT l_orderkey, l_linenumber, nullif(l_tax, 0) AS tax, nullif(l_discount, 0) AS discount FROM lineitem) WHERE tax IS NULL OR discount IS NULL")
+def incomplete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "nullif(l_tax, 0) AS tax", "nullif(l_discount, 0) AS discount")
+    return R.incomplete(rows, ["l_orderkey", "l_linenumber"], ["tax", "discount"]).withColumn("missing", F.array_join("missing", ","))
+
+
+@register("suspicious_areas", "SELECT c_custkey, round((c_acctbal - 5000) / 50, 6) AS percent FROM customer WHERE abs((c_acctbal - 5000) / 50) > 20 ORDER BY (c_acctbal - 5000) / 50, c_custkey LIMIT 20")
+def suspicious_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the twenty keys that fall short of 5,000 most: balances as areas."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_acctbal") - 5000) / 50).alias("percent"))
+    return rounded(R.beyond(rows, "percent", 20.0, ["percent", "c_custkey"], 20), 6)

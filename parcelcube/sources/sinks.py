@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import asdict, is_dataclass
 from datetime import datetime
 from typing import Any
@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionMode
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelcube.operators.ml import MedianForest
+from parcelcube.operators.ml import MedianForest, importance
 from parcelcube.operators.profile import column_profile, error_by
 
 # Units of bands and indices, and of meta columns.
@@ -97,6 +97,18 @@ def save_experiment(spark: SparkSession, directory: str, dataset: DataFrame, con
     write_json(spark, log, f"{directory}/run_log")
 
 
+def save_training(spark: SparkSession, directory: str, results: Mapping[tuple[str, str], Mapping[str, Any]], by: str = "variety") -> None:
+    """What a training made, a folder per model and target: predictions per split, importances, the model, the rows left out, and its figures as JSON."""
+    for (name, target), r in results.items():
+        place = f"{directory.rstrip('/')}/{name}/{target}"
+        for split, df in r["predictions"].items():
+            save_predictions(df, f"{place}/{split}", target, by)
+        save_importance(importance(r["model"], r["features"], spark), f"{place}/importance")
+        save_model(r["model"], f"{place}/model")
+        r["dropped"].withColumn("missing", F.array_join("missing", ",")).write.mode("overwrite").option("header", True).csv(f"{place}/dropped")
+        write_json(spark, {k: r[k] for k in ("params", "trials", "rounds", "features", "metrics")}, f"{place}/result")
+
+
 def write_cube(df: DataFrame, path: str, bands: Iterable[str]) -> None:
     """Pixels with their bands sorted by name, partitioned by sensor."""
     rest = [c for c in df.columns if c not in set(bands)]
