@@ -36,6 +36,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return at.select(F.col("a").alias("id"), F.col("b").alias("label")).union(at.select("b", F.col("b")).distinct())
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) after further links (a, b): components found already stand for all links that made them."""
+    return connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links.select("a", "b")))
+
+
 def _is_forest_of_stars(at: DataFrame) -> bool:
     """Every edge leads down to a node that has no edge down itself, and no node has two."""
     if not at.where("a <= b").isEmpty():

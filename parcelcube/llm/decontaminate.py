@@ -41,7 +41,7 @@ STRIDE, RANK, OVERSAMPLE, MAX_SHARE, KEEP, BLOCK = 16, 64, 8, 0.01, 3, 2_000
 MIN_WEIGHT, MIN_COSINE, COPY, PARAPHRASE = 0.35, 0.45, 0.8, 0.6
 
 #: Bytes of text hashed at a time; the arrays in between take about fifty times as much.
-HASH_BYTES = 1_500_000
+HASH_BYTES = 500_000
 #: Passages projected at a time.
 AT_ONCE = 4096
 

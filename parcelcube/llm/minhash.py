@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelcube.llm.common import chunks, release, salted_join, settle
-from parcelcube.llm.components import connected_components
+from parcelcube.llm.components import connected_components, joined
 from parcelcube.llm.shingles import band_keys, mix, shingle_hashes, super_minhash
 
 BANDS, ROWS = 42, 6
 #: Bytes of text hashed at a time; the arrays in between take about fifty times as much.
-HASH_BYTES = 1_500_000
+HASH_BYTES = 500_000
 
 
 def _bytes(text: str | None) -> bytes:
@@ -173,8 +173,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     stars = settle(_stars(buckets))
     scored = settle(_compare(stars.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, rest=True))
     linked = 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
-    links = scored.where(linked).select(*_ordered("a", "b"))
-    labels = connected_components(links)
+    labels = connected_components(scored.where(linked).select(*_ordered("a", "b")))
     with_pivot = scored.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "common")
     members = stars.join(with_pivot, ["id", "pivot"], "left").withColumn("common", F.coalesce("common", "n"))
     release(buckets)
@@ -182,12 +181,11 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     marks = settle(_marks(scored, apart))
     found = settle(_compare(_leading(members, apart, marks), sets).where(linked).select("a", "b"))
     if not found.isEmpty():
-        links = links.union(found)
-        labels = connected_components(links)
+        labels = joined(labels, found)
         members, apart = _apart(members.drop("label"), labels)
     found = settle(_compare(_possible(members, apart, marks, percent), sets).where(linked).select("a", "b"))
     if not found.isEmpty():
-        labels = connected_components(links.union(found))
+        labels = joined(labels, found)
     named = classes.select("h1", "h2", "id", "least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     reached = named.groupBy("label").agg(F.min("least").alias("component"))
     named = named.join(reached, "label").select("h1", "h2", "component")

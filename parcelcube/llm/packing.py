@@ -33,6 +33,8 @@ from parcelcube.llm.common import chunks, settle
 BUCKET_ROWS, MOST_BUCKETS = 1_000, 65_536
 #: Ids of at most so many words are kept by a task.
 MEMO_WORDS = 700_000
+#: Characters of text split into words at a time; the words and the encodings of new ones take about thirty times as much.
+AT_ONCE = 500_000
 #: Control characters that Python takes for white space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -99,7 +101,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, AT_ONCE):
             if len(self.memo) > self.limit:
                 self.memo.clear()
             docs, seen, odd = [], set(), set()

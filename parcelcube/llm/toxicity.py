@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelcube.llm.common import Shipped, WordMemo, by_length, chunks, sample_by_class, settle, ship
+from parcelcube.llm.common import Shipped, WordMemo, by_length, chunks, release, sample_by_class, settle, ship
 
 ORDER, SPAN, DISCOUNT = 6, 24, 0.75
 SIGNIFICANT, FACTOR = 16.0, 4.0
@@ -157,15 +157,22 @@ def _head(gram: Column | str) -> Column:
 
 
 def _with_shared(wanted: DataFrame, grams: DataFrame) -> DataFrame:
-    """Adds base to wanted: what the shared model of lower orders gives for the last byte after those before it."""
-    out, level = wanted.withColumns({"base": F.lit(0.0), "weight": F.lit(1.0)}), grams.select("gram")
+    """Adds base to wanted: what the shared model of lower orders gives for the last byte after those before it.
+
+    Each order is written before the next one is planned: in one plan every order would hold all higher ones, once for each join,
+    and the driver would plan and compile them anew after every stage.
+    """
+    out, level, spent = wanted.withColumns({"base": F.lit(0.0), "weight": F.lit(1.0)}), grams.select("gram"), []
     for order in range(ORDER - 1, 0, -1):
         short = F.col("gram").bitwiseAND(F.lit((1 << (8 * order)) - 1))
-        level = level.groupBy(short.alias("gram")).agg(F.count("*").alias("n"))  # distinct left extensions
+        level = settle(level.groupBy(short.alias("gram")).agg(F.count("*").alias("n")))  # distinct left extensions
         heads = level.groupBy(_head("gram").alias("head")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        out = out.withColumns({"code": short, "head": _head(short)}).join(level.withColumnRenamed("gram", "code"), "code").join(heads, "head").withColumns({
+        out = settle(out.withColumns({"code": short, "head": _head(short)}).join(level.withColumnRenamed("gram", "code"), "code").join(heads, "head").withColumns({
             "base": F.col("base") + F.col("weight") * F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total"), "weight": F.col("weight") * DISCOUNT * F.col("kinds") / F.col("total")
-        }).drop("code", "head", "n", "total", "kinds")
+        }).drop("code", "head", "n", "total", "kinds"))
+        release(*spent)
+        spent = [level, out]
+    release(level)
     return out.withColumn("base", F.col("base") + F.col("weight") / 256).drop("weight")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelcube.llm import ann, decontaminate, minhash, queries
-from parcelcube.llm.components import connected_components
+from parcelcube.llm.components import connected_components, joined
 from parcelcube.llm.decontaminate import common_length, leaks
 from parcelcube.llm.shingles import shingle_hashes, super_minhash
 from tests.llm.conftest import SF
@@ -91,6 +91,17 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_further_links_join_components_found_before(spark):
+    chance = random.Random(8)
+    edges = [(chance.randrange(60), chance.randrange(60)) for _ in range(45)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    found = lambda df: {(r["id"], r["label"]) for r in df.collect()}
+    whole = found(connected_components(frame(edges)))
+    assert len({label for _, label in whole}) > 3
+    for cut in (0, 20, 40, 45):
+        assert found(joined(connected_components(frame(edges[:cut])), frame(edges[cut:]))) == whole
+
+
 def neighbours(rows, k):
     good = [(i, np.array(v, float)) for i, v in rows if v and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}

@@ -286,6 +286,28 @@ def test_toxicity_equals_a_plain_kneser_ney_scorer(spark, monkeypatch, parts):
         assert r["clash"] == pytest.approx(1 / (1 + np.exp(-np.clip(scorer.slope * mean + scorer.bias, -30, 30))), abs=1e-6)
 
 
+def test_shared_model_is_planned_one_order_at_a_time(spark):
+    words = Counter(b"the cat sat on the mat and the hat that fat rats had".split())
+    grams = [int(g) for g in toxicity.gram_counts(words)[0]]
+    table = spark.createDataFrame([(g,) for g in grams], "gram long")
+    out = toxicity._with_shared(table, table)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    base, levels = dict.fromkeys(grams, 1 / 256), [Counter(grams)]
+    for order in range(toxicity.ORDER - 1, 0, -1):
+        levels.append(Counter(g & ((1 << 8 * order) - 1) for g in levels[-1]))
+    for order, level in enumerate(reversed(levels[1:]), 1):
+        total, kinds = Counter(), Counter()
+        for g, n in level.items():
+            total[g >> 8] += n
+            kinds[g >> 8] += 1
+        short = {g: g & ((1 << 8 * order) - 1) for g in grams}
+        base = {g: (level[s] - toxicity.DISCOUNT + toxicity.DISCOUNT * kinds[s >> 8] * base[g]) / total[s >> 8] for g, s in short.items()}
+    got = {r["gram"]: r["base"] for r in out.collect()}
+    assert got.keys() == base.keys()
+    assert all(got[g] == pytest.approx(base[g], rel=1e-12) for g in base)
+
+
 def test_toxicity_does_not_depend_on_partitions(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     one, other = toxicity.train(docs.repartition(1), labels), toxicity.train(docs.repartition(5), labels.repartition(3))
