@@ -299,7 +299,7 @@ def band_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("scene_bands", "WITH b AS (SELECT user_id AS scene_id, list_sort(list(DISTINCT 'B0' || CAST(value AS BIGINT) % 9)) AS bands FROM events GROUP BY 1) SELECT scene_id, array_to_string(CASE WHEN list_has_all(bands, ['B02', 'B03', 'B04']) THEN list_concat(['RGB'], bands) ELSE bands END, ',') AS bands FROM b")
 def scene_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("scene_id"), F.concat(F.lit("B0"), F.round("value").cast("bigint") % 9).alias("band"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("scene_id"), F.concat(F.lit("B0"), F.rint("value").cast("bigint") % 9).alias("band"))
     return readers.bands_of(e).select("scene_id", F.array_join("bands", ",").alias("bands"))
 
 
