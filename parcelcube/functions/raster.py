@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelcube.functions.bands import clip
@@ -71,25 +71,36 @@ def radar_false_colour(df: DataFrame, image: Iterable[str], vv: str = "VV", vh:
     return stretch(rows, ("r", "g", "b"), keys).withColumns({c: byte(F.coalesce(F.col(c), F.lit(0.0))) for c in ("r", "g", "b")}).withColumn("a", whole)
 
 
-def month_composite(df: DataFrame, value: str, pixel: Iterable[str], start: str, end: str, bias: float, low: float, high: float, time: str = "time") -> DataFrame:
-    """The last three months of the year seen in [start, end) as R, G, B: (bias + sum) / times, stretched."""
+def month_composite(df: DataFrame, value: str, pixel: Iterable[str], start: str, end: str, bias: float, low: float, high: float, time: str = "time", order: Iterable[str] = ()) -> DataFrame:
+    """The last three months of the year seen in [start, end) as R, G, B: (bias + sum) / times, stretched.
+
+    A sum close to the edge of two bytes falls on one side or the other by the order of its terms. With order, columns that tell the rows of a pixel
+    apart, they are added in it, however the rows are dealt.
+    """
+    pixel, order = list(pixel), list(order)
     rows = df.where((F.col(time) >= F.lit(start).cast("timestamp_ntz")) & (F.col(time) < F.lit(end).cast("timestamp_ntz"))).withColumn("__m", F.month(time))
     months = [r["__m"] for r in rows.select("__m").distinct().orderBy("__m").collect()]  # twelve at most
     if len(months) < 3:
         raise ValueError(f"three months are needed, found {months}")
-    out = rows.groupBy(*pixel).agg(*[
-        byte(((bias + F.coalesce(F.sum(F.when(F.col("__m") == m, F.col(value))), F.lit(0.0))) / F.greatest(F.count_if(F.col("__m") == m), F.lit(1)) - low) / (high - low)).alias(c)
-        for c, m in zip(("r", "g", "b"), months[-3:], strict=True)
-    ])
-    return out.withColumn("a", F.lit(255))
+    bands = dict(zip(("r", "g", "b"), months[-3:], strict=True))
+    sums = {f"__s{c}": F.sum(F.when(F.col("__m") == m, F.col(value))) for c, m in bands.items()} | {f"__n{c}": F.count_if(F.col("__m") == m) for c, m in bands.items()}
+    if order:
+        # running sums take row after row; the last row of a pixel has them all
+        w = Window.partitionBy(*pixel).orderBy(*order)
+        seen = rows.select(*pixel, *order, "__m", value).withColumns({c: s.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c, s in sums.items()} | {"__more": F.lead(F.lit(True)).over(w)})
+        found = seen.where("__more IS NULL")
+    else:
+        found = rows.groupBy(*pixel).agg(*[s.alias(c) for c, s in sums.items()])
+    shade = lambda c: byte(((bias + F.coalesce(F.col(f"__s{c}"), F.lit(0.0))) / F.greatest(F.col(f"__n{c}"), F.lit(1)) - low) / (high - low))
+    return found.select(*pixel, *[shade(c).alias(c) for c in bands], F.lit(255).alias("a"))
 
 
-def tracking_rvi(df: DataFrame, pixel: Iterable[str], start: str, end: str, value: str = "RVI") -> DataFrame:
-    return month_composite(df, value, pixel, start, end, 0.2, 0.25, 0.75)
+def tracking_rvi(df: DataFrame, pixel: Iterable[str], start: str, end: str, value: str = "RVI", order: Iterable[str] = ()) -> DataFrame:
+    return month_composite(df, value, pixel, start, end, 0.2, 0.25, 0.75, order=order)
 
 
-def growth_stage(df: DataFrame, pixel: Iterable[str], start: str, end: str, value: str = "NDVI") -> DataFrame:
-    return month_composite(df, value, pixel, start, end, 0.0, 0.1, 0.7)
+def growth_stage(df: DataFrame, pixel: Iterable[str], start: str, end: str, value: str = "NDVI", order: Iterable[str] = ()) -> DataFrame:
+    return month_composite(df, value, pixel, start, end, 0.0, 0.1, 0.7, order=order)
 
 
 def overlay(df: DataFrame, value: str, image: Iterable[str], low: float = 0.02, high: float = 0.98) -> DataFrame:

@@ -28,11 +28,15 @@ BANDS = {
 }
 
 
-def pixels(spark: SparkSession, sf_dir: str, bands: Iterable[str] | None = None) -> DataFrame:
+#: Where a row stands in its table.
+PLACE = ("_metadata.file_path AS file", "_metadata.row_index AS row")
+
+
+def pixels(spark: SparkSession, sf_dir: str, bands: Iterable[str] | None = None, more: Iterable[str] = ()) -> DataFrame:
     """lineitem as pixels: a supplier is a parcel, a row a pixel."""
     wanted = BANDS if bands is None else {b: BANDS[b] for b in bands}
     rows = read(spark, sf_dir, "lineitem")
-    return rows.selectExpr("l_orderkey AS o", "l_linenumber AS ln", "l_suppkey AS parcel_id", "l_shipdate AS time", "year(l_shipdate) AS year", "month(l_shipdate) AS month", *[f"{e} AS {b}" for b, e in wanted.items()])
+    return rows.selectExpr("l_orderkey AS o", "l_linenumber AS ln", "l_suppkey AS parcel_id", "l_shipdate AS time", "year(l_shipdate) AS year", "month(l_shipdate) AS month", *[f"{e} AS {b}" for b, e in wanted.items()], *more)
 
 
 PX = "px AS (SELECT l_orderkey AS o, l_linenumber AS ln, l_suppkey AS parcel_id, l_shipdate AS time, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, " + ", ".join(f"{e.replace('D END', ' END').replace('6D', '6').replace('8D', '8').replace('9D', '9')} AS {b}" for b, e in BANDS.items()) + " FROM lineitem)"

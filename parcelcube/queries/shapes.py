@@ -16,7 +16,7 @@ from parcelcube.operators.spatial import nearest_pixel
 from parcelcube.plans import panels, pipelines
 from parcelcube.plans.config import DatasetConfig
 from parcelcube.queries.base import G as GRID
-from parcelcube.queries.base import grid, pixels, read
+from parcelcube.queries.base import PLACE, grid, pixels, read
 
 _BOX = "b AS (SELECT s_suppkey AS parcel_id, CAST(100000 + s_suppkey * 10 AS DOUBLE) AS x0, CAST(5000000 + s_suppkey * 20 AS DOUBLE) AS y0, CAST(100050 + s_suppkey * 11 AS DOUBLE) AS x1, CAST(5000040 + s_suppkey * 23 AS DOUBLE) AS y1 FROM supplier)"
 
@@ -208,7 +208,7 @@ def tracking_rvi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("growth_stage", _months("l_tax * 10", 0.0, 0.1, 0.7))
 def growth_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.growth_stage(pixels(spark, sf_dir, ("VH",)).withColumn("NDVI", F.col("VH") * 10), ["parcel_id"], "1997-03-01", "1997-07-01")
+    return V.growth_stage(pixels(spark, sf_dir, ("VH",), PLACE).withColumn("NDVI", F.col("VH") * 10), ["parcel_id"], "1997-03-01", "1997-07-01", order=("file", "row"))
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,12 @@
 """Order of sums, halves, and unions, clips, stores and points at sizes that the forms before did not bear."""
 
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
 from parcelcube import catalog
+from parcelcube.functions import raster as V
 from tests.oracle import connect, rows_of_spark, rows_of_sql
 
 
@@ -12,3 +18,23 @@ def test_scene_bands_round_halves_to_even(spark, tmp_path):
     c = connect(str(tmp_path / "none"))
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert found == rows_of_sql(c, catalog.oracle_sql()["scene_bands"])[1]
+
+
+@pytest.mark.parametrize("name", ["growth_stage"])
+def test_month_bytes_do_not_depend_on_the_deal(spark, name):
+    # 0.1 + 0.2 + 0.3 is above 0.6, 0.3 + 0.2 + 0.1 is not: the bytes of such sums differ by one
+    value = "NDVI" if name == "growth_stage" else "RVI"
+    rows = [(p, datetime.datetime(1997, m, 1), n, [0.1, 0.2, 0.3, 0.7, 0.4, 0.6][(p * k + n) % 6]) for p, k in ((p, 1 + p % 5) for p in range(300)) for m in (4, 5, 6) for n in range(3 + p % 9)]
+    df = spark.createDataFrame(rows, f"parcel_id int, time timestamp_ntz, n int, {value} double")
+    bytes_of = lambda d: sorted(getattr(V, name)(d, ["parcel_id"], "1997-03-01", "1997-07-01", order=("time", "n")).collect())
+    found = bytes_of(df.coalesce(1))
+    assert found == bytes_of(df.repartition(7, "n")) == bytes_of(df.repartition(5, F.rand(3)).sortWithinPartitions(F.desc("n")))
+    assert len(found) == 300 and {r["a"] for r in found} == {255}
+    low, high, bias = (0.1, 0.7, 0.0) if name == "growth_stage" else (0.25, 0.75, 0.2)
+    for r in found:
+        for c, m in (("r", 4), ("g", 5), ("b", 6)):
+            total, n = 0.0, 0
+            for _, t, _, v in (x for x in rows if x[0] == r["parcel_id"]):
+                if t.month == m:
+                    total, n = total + v, n + 1
+            assert r[c] == int(max(0.0, min(1.0, ((bias + total) / n - low) / (high - low))) * 255)
