@@ -203,7 +203,7 @@ def _months(value: str, bias: float, low: float, high: float) -> str:
 
 @register("tracking_rvi", _months("l_discount * 10", 0.2, 0.25, 0.75))
 def tracking_rvi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.tracking_rvi(pixels(spark, sf_dir, ("VV",)).withColumn("RVI", F.col("VV") * 10), ["parcel_id"], "1997-03-01", "1997-07-01")
+    return V.tracking_rvi(pixels(spark, sf_dir, ("VV",), PLACE).withColumn("RVI", F.col("VV") * 10), ["parcel_id"], "1997-03-01", "1997-07-01", order=("file", "row"))
 
 
 @register("growth_stage", _months("l_tax * 10", 0.0, 0.1, 0.7))

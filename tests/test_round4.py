@@ -20,7 +20,7 @@ def test_scene_bands_round_halves_to_even(spark, tmp_path):
     assert found == rows_of_sql(c, catalog.oracle_sql()["scene_bands"])[1]
 
 
-@pytest.mark.parametrize("name", ["growth_stage"])
+@pytest.mark.parametrize("name", ["growth_stage", "tracking_rvi"])
 def test_month_bytes_do_not_depend_on_the_deal(spark, name):
     # 0.1 + 0.2 + 0.3 is above 0.6, 0.3 + 0.2 + 0.1 is not: the bytes of such sums differ by one
     value = "NDVI" if name == "growth_stage" else "RVI"
