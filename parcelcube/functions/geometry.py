@@ -33,7 +33,9 @@ def parse_wkt(wkt: Column) -> Column:
 def parts(shape: Column) -> Column:
     """array<shape>: each outline with the holes that follow it. A first ring starts a part whatever its turn."""
     starts = F.filter(F.sequence(F.lit(0), F.size(shape) - 1), lambda i: (i == 0) | (signed_area(F.get(shape, i)) >= 0))
-    return F.when(F.size(shape) > 0, F.transform(starts, lambda s, k: F.slice(shape, s + 1, F.coalesce(F.get(starts, k + 1), F.size(shape)) - s))).otherwise(F.array().cast("array<array<array<struct<x:double,y:double>>>>"))
+    # bound to a name, as an expression it would be worked out again for every part
+    listed = F.transform(F.array(starts), lambda found: F.transform(found, lambda s, k: F.slice(shape, s + 1, F.coalesce(F.get(found, k + 1), F.size(shape)) - s)))[0]
+    return F.when(F.size(shape) > 0, listed).otherwise(F.array().cast("array<array<array<struct<x:double,y:double>>>>"))
 
 
 def vertices(shape: Column) -> Column:
