@@ -139,14 +139,26 @@ def centroid_mean(shape: Column) -> Column:
     return F.struct((F.aggregate(ring, F.lit(0.0), lambda t, p: t + p["x"]) / n).alias("x"), (F.aggregate(ring, F.lit(0.0), lambda t, p: t + p["y"]) / n).alias("y"))
 
 
-def contains(shape: Column, x: Column, y: Column) -> Column:
-    """Inside one of the parts: even-odd rule over the edges of each."""
+def steep_edges(shape: Column) -> Column:
+    """array<array<struct>>: of each part the edges that a level line can cross, as a start and a way. Worked out once for all points of a shape."""
+    edge = lambda e: F.struct(e["x0"], e["y0"], e["y1"], (e["x1"] - e["x0"]).alias("dx"), (e["y1"] - e["y0"]).alias("dy"))
+    return F.transform(parts(shape), lambda part: F.transform(F.filter(F.flatten(F.transform(part, edges)), lambda e: e["y0"] != e["y1"]), edge))
+
+
+def crossings(steep: Column, y: Column) -> Column:
+    """array<array<double>>: where the line at y crosses each part. Worked out once for all points of a line."""
+    at = lambda e: F.when((e["y0"] > y) != (e["y1"] > y), e["dx"] * (y - e["y0"]) / e["dy"] + e["x0"])
+    return F.transform(steep, lambda part: F.array_compact(F.transform(part, at)))
 
-    def inside(part: Column) -> Column:
-        crossed = F.filter(F.flatten(F.transform(part, edges)), lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / F.when(e["y1"] == e["y0"], 1.0).otherwise(e["y1"] - e["y0"]) + e["x0"]))
-        return F.size(crossed) % 2 == 1
 
-    return F.exists(parts(shape), inside)
+def among(crossed: Column, x: Column) -> Column:
+    """Whether a place on a line is inside one of the parts that the line crosses."""
+    return F.exists(crossed, lambda part: F.size(F.filter(part, lambda c: x < c)) % 2 == 1)
+
+
+def contains(shape: Column, x: Column, y: Column) -> Column:
+    """Inside one of the parts: even-odd rule over the edges of each."""
+    return among(crossings(steep_edges(shape), y), x)
 
 
 def distance_to_edge(shape: Column, x: Column, y: Column) -> Column:

@@ -16,6 +16,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a small table dealt over all tasks, before each becomes many; the number is given, or else Spark would put them together again."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Sums in another order differ in their last bits."""
     return df.withColumns({c: F.round(c, digits) for c, kind in df.dtypes if kind == "double"})

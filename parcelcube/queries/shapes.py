@@ -16,7 +16,7 @@ from parcelcube.operators.spatial import nearest_pixel
 from parcelcube.plans import panels, pipelines
 from parcelcube.plans.config import DatasetConfig
 from parcelcube.queries.base import G as GRID
-from parcelcube.queries.base import PLACE, grid, pixels, read
+from parcelcube.queries.base import PLACE, grid, pixels, read, spread
 
 _BOX = "b AS (SELECT s_suppkey AS parcel_id, CAST(100000 + s_suppkey * 10 AS DOUBLE) AS x0, CAST(5000000 + s_suppkey * 20 AS DOUBLE) AS y0, CAST(100050 + s_suppkey * 11 AS DOUBLE) AS x1, CAST(5000040 + s_suppkey * 23 AS DOUBLE) AS y1 FROM supplier)"
 
@@ -87,9 +87,10 @@ def multipart_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("multipart_contains", """SELECT s_suppkey AS parcel_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT s_suppkey, 40 + s_suppkey % 7 AS side FROM supplier), (SELECT unnest(range(0, 40)) * 2.5 + 0.25 AS x), (SELECT unnest(range(0, 40)) * 2.5 + 0.25 AS y)
 WHERE (x BETWEEN 0 AND side AND y BETWEEN 0 AND side AND NOT (x BETWEEN 10 AND 20 AND y BETWEEN 10 AND 20)) OR (x BETWEEN 30 AND 30 + side AND y BETWEEN 15 AND 15 + side) GROUP BY 1""")
 def multipart_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda i: F.col("x0") + i * 2.5 + 0.25
-    points = _many_parts(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    return points.where(G.contains(F.col("shape"), at(F.col("i")), F.col("j") * 2.5 + 0.25)).groupBy("parcel_id").agg(F.count("*").alias("n"))
+    shapes = spread(_many_parts(spark, sf_dir), "parcel_id").select("parcel_id", "x0", G.steep_edges(F.col("shape")).alias("steep"))
+    lines = shapes.select("parcel_id", "x0", "steep", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("j")).select("parcel_id", "x0", G.crossings(F.col("steep"), F.col("j") * 2.5 + 0.25).alias("crossed"))
+    points = lines.select("parcel_id", "x0", "crossed", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i"))
+    return points.where(G.among(F.col("crossed"), F.col("x0") + F.col("i") * 2.5 + 0.25)).groupBy("parcel_id").agg(F.count("*").alias("n"))
 
 
 @register("multipart_geojson", """SELECT s_suppkey AS parcel_id, 'MultiPolygon' AS kind, CAST(2 AS INTEGER) AS n_parts, CAST(2 AS INTEGER) AS n_rings, true AS same FROM supplier""")

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelcube import catalog
+from parcelcube.functions import geometry as G
 from parcelcube.functions import raster as V
-from parcelcube.operators.dissolve import SHAPE, dissolve, rings_of, signed, united
+from parcelcube.operators.dissolve import SHAPE, dissolve, edges_of, inside, rings_of, signed, united
 from tests.oracle import connect, rows_of_spark, rows_of_sql
 from tests.test_shapes import box
 
@@ -65,3 +66,16 @@ def test_dissolve_is_dealt_to_tasks_by_number(spark):
     # Spark must not put its small partitions together, whose work is not small
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert {r["k"]: len(r["shape"]) for r in out.collect()}.keys() == set(range(6))
+
+
+def test_points_meet_edges_worked_out_once(spark):
+    rng = random.Random(4)
+    shape = [[{"x": float(a), "y": float(b)} for a, b in r] for r in (box(0, 0, 20), box(5, 5, 6)[::-1], [(30, 2), (41, 9), (33, 17), (30, 2)])]
+    points = [(rng.uniform(-2, 45), rng.choice([0.0, 2.0, 5.0, rng.uniform(-2, 22)])) for _ in range(300)]
+    df = spark.createDataFrame([(shape, x, y) for x, y in points], f"shape {SHAPE}, x double, y double")
+    lines = df.withColumn("crossed", G.crossings(G.steep_edges(F.col("shape")), F.col("y")))
+    found = [r[0] for r in lines.select(G.among(F.col("crossed"), F.col("x"))).collect()]
+    expected = np.logical_or.reduce([inside(edges_of(p), np.array(points)) for p in rings_of(shape)])
+    assert found == expected.tolist() == [r[0] for r in df.select(G.contains(F.col("shape"), F.col("x"), F.col("y"))).collect()]
+    # a table of one file is dealt over all tasks before each shape becomes 1,600 points
+    assert "REPARTITION_BY_NUM" in catalog.queries()["multipart_contains"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
