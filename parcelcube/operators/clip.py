@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelcube.operators.dissolve import BLOCK, SHAPE, edges_of, inside, rings_of, united
+from parcelcube.operators.dissolve import BLOCK, SHAPE, Ring, edges_of, inside, rings_of, united
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -115,7 +115,12 @@ def touched(shape: Iterable, xs: np.ndarray, ys: np.ndarray, cell: float, grow:
 
     A shape that shrinking leaves nothing of counts as it is.
     """
-    parts = [edges_of([np.array(r) for r in part]) for part in united(rings_of(shape))]
+    return _touched(united(rings_of(shape)), xs, ys, cell, grow, shrink)
+
+
+def _touched(whole: list[list[Ring]], xs: np.ndarray, ys: np.ndarray, cell: float, grow: float, shrink: float) -> np.ndarray:
+    """touched() of a union of parts."""
+    parts = [edges_of([np.array(r) for r in part]) for part in whole]
     hit = np.zeros((len(ys), len(xs)), dtype=bool)
     if not parts:
         return hit
@@ -133,10 +138,10 @@ def touched(shape: Iterable, xs: np.ndarray, ys: np.ndarray, cell: float, grow:
     return within(parts, xs, ys) | near_edges(np.vstack(parts), xs, ys, half, grow)
 
 
-def centroid(shape: Iterable) -> np.ndarray | None:
-    """Centre of gravity of the union of the parts."""
+def centroid(whole: list[list[Ring]]) -> np.ndarray | None:
+    """Centre of gravity of a union of parts."""
     total, moment = 0.0, np.zeros(2)
-    for part in united(rings_of(shape)):
+    for part in whole:
         for ring in part:
             r = np.array(ring)
             o = r[0]
@@ -159,12 +164,13 @@ def _axis(pairs: Iterable) -> tuple[np.ndarray, np.ndarray]:
 
 def _cells(batches: Iterator[pa.RecordBatch], cube: list[str], cell: float, erosion: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for nth, row in enumerate(batch.select(["__xs", "__ys", "__shape"]).to_pylist()):
-            (columns, xs), (rows, ys) = _axis(row["__xs"]), _axis(row["__ys"])
-            centre = centroid(row["__shape"])
+        for nth in range(batch.num_rows):
+            (columns, xs), (rows, ys) = (_axis(batch[c][nth].as_py()) for c in ("__xs", "__ys"))
+            whole = united(rings_of(batch["__shape"][nth].as_py()))
+            centre = centroid(whole)
             if not len(xs) or not len(ys) or centre is None:
                 continue
-            hit = touched(row["__shape"], xs, ys, cell, 0.0 if erosion > 0 else cell, erosion * cell)
+            hit = _touched(whole, xs, ys, cell, 0.0 if erosion > 0 else cell, erosion * cell)
             # of two that are as near, the one with the smaller number
             i, j = (min(range(len(a)), key=lambda k, a=a, n=n, c=c: (abs(a[k] - c), n[k])) for a, n, c in ((xs, columns, centre[0]), (ys, rows, centre[1])))
             r, c = np.nonzero(hit | ((np.arange(len(ys)) == j)[:, None] & (np.arange(len(xs)) == i)))
@@ -183,12 +189,14 @@ def clip(df: DataFrame, shapes: DataFrame, cell: float, erosion_cells: float = 0
     cube_columns = list(cube)
     pair = lambda n, c: F.collect_set(F.struct(F.col(n).cast("long").alias("n"), F.col(c).cast("double").alias("c")))
     axes = df.groupBy(*cube_columns).agg(pair("x", "x_coord").alias("__xs"), pair("y", "y_coord").alias("__ys"))
-    held = axes.join(shapes.select(key, F.col(shape).cast(SHAPE).alias("__shape")).where("__shape IS NOT NULL"), key)
+    # joins are merged, none is broadcast: what Spark takes a table of cells for is the size of the file of shapes it comes from
+    outlines = shapes.select(key, F.col(shape).cast(SHAPE).alias("__shape")).where("__shape IS NOT NULL")
+    held = axes.join(outlines.hint("merge"), key).repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *cube_columns)
     kinds = ", ".join(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in cube_columns)
     cells = held.select(*cube_columns, "__xs", "__ys", "__shape").mapInArrow(lambda batches: _cells(batches, cube_columns, cell, erosion_cells), f"{kinds}, y long, x long, __hit boolean, __near boolean")
     cells = cells.withColumns({c: F.col(c).cast(df.schema[c].dataType) for c in ("y", "x")})
     some = F.coalesce(*[F.col(b) for b in bands]).isNotNull() if bands else F.lit(True)
     on = [*cube_columns, "y", "x"]
-    alive = df.where(some).select(*on).join(cells.where("__hit").select(*on), on).select(*cube_columns).distinct().withColumn("__alive", F.lit(True))
-    met = df.join(cells, on).join(alive, cube_columns, "left")
-    return met.where(F.when(F.col("__alive"), F.col("__hit")).otherwise(F.col("__near"))).select(df.columns)
+    alive = df.where(some).select(*on).join(cells.where("__hit").select(*on).hint("merge"), on).select(*cube_columns).distinct().withColumn("__alive", F.lit(True))
+    kept = cells.join(alive.hint("merge"), cube_columns, "left").where(F.when(F.col("__alive"), F.col("__hit")).otherwise(F.col("__near")))
+    return df.join(kept.select(*on).hint("merge"), on).select(df.columns)

@@ -107,7 +107,7 @@ _CELLS = "c AS (SELECT parcel_id, x0, y0, x1, y1, CAST(i AS INTEGER) AS x, CAST(
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _shapes(spark, sf_dir).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    s = spread(_shapes(spark, sf_dir), "parcel_id").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(11))))
     return s.withColumns({"x_coord": F.col("x0") - 33.5 + 10 * F.col("x"), "y_coord": F.col("y0") - 33.5 + 10 * F.col("y"), "sensor": F.lit("S2")})
 
 

@@ -79,3 +79,10 @@ def test_points_meet_edges_worked_out_once(spark):
     assert found == expected.tolist() == [r[0] for r in df.select(G.contains(F.col("shape"), F.col("x"), F.col("y"))).collect()]
     # a table of one file is dealt over all tasks before each shape becomes 1,600 points
     assert "REPARTITION_BY_NUM" in catalog.queries()["multipart_contains"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["polygon_clip", "polygon_clip_eroded"])
+def test_cells_are_not_broadcast(spark, name):
+    # the file of shapes is small, the cells that come from it are many
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
