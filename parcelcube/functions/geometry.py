@@ -213,4 +213,5 @@ def mask(df: DataFrame, shape: str, cell: float, erosion_cells: float = 0.0, cub
         "__y": F.min(F.struct(F.col("__dy").alias("d"), F.col("y").alias("v"))).over(w)["v"],
     })
     kept = cells.where(F.when(F.col("__kept"), F.col("__hit")).otherwise((F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")))).select(*cube, "y", "x")
-    return df.join(kept, [*cube, "y", "x"], "left_semi").select(df.columns)
+    # merged: by the size of the file of shapes Spark would broadcast the cells that come from it
+    return df.join(kept.hint("merge"), [*cube, "y", "x"], "left_semi").select(df.columns)

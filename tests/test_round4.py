@@ -12,6 +12,7 @@ from parcelcube import catalog
 from parcelcube.functions import geometry as G
 from parcelcube.functions import raster as V
 from parcelcube.operators.dissolve import SHAPE, dissolve, edges_of, inside, rings_of, signed, united
+from parcelcube.sources import zarr as Z
 from tests.oracle import connect, rows_of_spark, rows_of_sql
 from tests.test_shapes import box
 
@@ -86,3 +87,18 @@ def test_cells_are_not_broadcast(spark, name):
     # the file of shapes is small, the cells that come from it are many
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_times_of_a_long_cube_do_not_come_with_its_pixels(spark, tmp_path):
+    start = datetime.datetime(2020, 1, 1)
+    rows = [("S2", p, start + datetime.timedelta(hours=7 * t), b, float(y), 5.0, t + y / 4 if (t + y) % 5 else None) for p, n in (("a", 600), ("b", 5)) for t in range(n) for b in ("B1", "B2") for y in (0, 1)]
+    rows += [("S2", "a", start, "B1", 0.0, 5.0, -3.0), ("S2", "a", start, "B1", 0.0, 5.0, None), ("S2", "a", start, "B1", 0.0, 5.0, 9.0)]
+    df = spark.createDataFrame(rows, "sensor string, parcel_id string, time timestamp_ntz, variable string, y_coord double, x_coord double, value double").repartition(3, F.rand(1))
+    path = tmp_path / "cubes"
+    Z.write_cubes(df, str(path), steps=4)
+    assert len([f for f in (path / "S2/a/cube.zarr/time").iterdir() if f.name.isdigit()]) == 150
+    back = Z.read_cubes(spark, str(path))
+    assert back.rdd.getNumPartitions() <= 80 and back.count() == (600 + 5) * 4
+    columns = ["parcel_id", "time", "variable", "y_coord", "x_coord"]
+    want = {tuple(r) for r in df.where("value IS NOT NULL").groupBy(*columns).agg(F.min("value")).collect()}
+    assert {tuple(r) for r in back.where("value IS NOT NULL").select(*columns, "value").collect()} == want
