@@ -225,8 +225,15 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def with_book(df: DataFrame, book: DataFrame, key: str) -> DataFrame:
-    """Left join with a book of places; of a place that it lists twice every entry counts."""
-    return df.join(book, key, "left")
+    """Left join with a book of places; of a place that it lists twice every entry counts.
+
+    Few keys with many rows and entries each are common, so the rows of a key are dealt over salts by their hash, and each salt meets the whole book.
+    The number of tasks is given, or else Spark would put small tables together whose join is not small.
+    """
+    salts = 8 * df.sparkSession.sparkContext.defaultParallelism
+    rows = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).repartition(salts, key, "__salt")
+    entries = book.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))).repartition(salts, key, "__salt")
+    return rows.join(entries.hint("merge"), [key, "__salt"], "left").drop("__salt")
 
 
 def incomplete(df: DataFrame, keys: Iterable[str], columns: Iterable[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from parcelcube import catalog
 from parcelcube.functions import geometry as G
 from parcelcube.functions import raster as V
 from parcelcube.operators.dissolve import SHAPE, dissolve, edges_of, inside, rings_of, signed, united
+from parcelcube.operators.relational import with_book
 from parcelcube.sources import zarr as Z
 from tests.oracle import connect, rows_of_spark, rows_of_sql
 from tests.test_shapes import box
@@ -102,3 +103,18 @@ def test_times_of_a_long_cube_do_not_come_with_its_pixels(spark, tmp_path):
     columns = ["parcel_id", "time", "variable", "y_coord", "x_coord"]
     want = {tuple(r) for r in df.where("value IS NOT NULL").groupBy(*columns).agg(F.min("value")).collect()}
     assert {tuple(r) for r in back.where("value IS NOT NULL").select(*columns, "value").collect()} == want
+
+
+def test_a_hot_key_of_a_book_is_dealt_over_tasks(spark):
+    rows = spark.range(400).select("id", F.when(F.col("id") < 390, 1).when(F.col("id") < 395, 2).otherwise(F.lit(None)).alias("k")).coalesce(1)
+    book = spark.createDataFrame([(1, f"e{i}") for i in range(30)] + [(3, "none"), (None, "null")], "k int, name string").coalesce(1)
+    found = with_book(rows, book, "k")
+    assert found.columns == ["k", "id", "name"]
+    assert sorted((r["id"], r["name"] or "") for r in found.collect()) == sorted([(i, f"e{j}") for i in range(390) for j in range(30)] + [(i, "") for i in range(390, 400)])
+    assert found.where("k = 1").select(F.spark_partition_id()).distinct().count() > 4
+
+
+@pytest.mark.parametrize("name", ["polygon_mask", "polygon_mask_eroded"])
+def test_masked_cells_are_not_broadcast(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
